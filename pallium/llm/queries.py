@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pallium.llm.bpe import decode, encode
+from pallium.llm.html_text import extract
+from pallium.llm.line_dedup import ORACLE as LINE_DEDUP_ORACLE
+from pallium.llm.line_dedup import line_dedup
 from pallium.llm.packing import pack
 from pallium.llm.quality import judge
 from pallium.llm.simhash import near_duplicates
 from pallium.llm.substring_dedup import substring_dedup
+from pallium.llm.urls import filter_urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,6 +28,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -44,9 +55,53 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_simhash_near_dedup, op4_packing, op5_bpe, op8_quality_rules)}
-ORACLES: dict[str, str] = {}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_url_filters,
+        op3_simhash_near_dedup,
+        op4_packing,
+        op5_bpe,
+        op6_line_dedup,
+        op8_quality_rules,
+        op10_html_extraction,
+    )
+}
+
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS s
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS n FROM windows) WHERE n > 1
+), marked AS (
+  SELECT words.doc_id, words.i, word, max(r.i) OVER (PARTITION BY words.doc_id ORDER BY words.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words LEFT JOIN repeated r ON words.doc_id = r.doc_id AND words.i = r.i
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count_if(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS t
+  FROM marked GROUP BY doc_id
+)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+""",
+    "op6_line_dedup": LINE_DEDUP_ORACLE,
+}
