@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pallium.llm.ann import search
 from pallium.llm.bpe import decode, encode
 from pallium.llm.html_text import extract
 from pallium.llm.line_dedup import ORACLE as LINE_DEDUP_ORACLE
 from pallium.llm.line_dedup import line_dedup
+from pallium.llm.lm import score
 from pallium.llm.packing import pack
 from pallium.llm.quality import judge
 from pallium.llm.simhash import near_duplicates
@@ -60,10 +62,20 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return score(_table(spark, sf_dir, "documents"), held_out, TOKENIZER)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter("vec_id % 100 = 0"), neighbours=10)
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
@@ -77,7 +89,9 @@ QUERIES = {
         op4_packing,
         op5_bpe,
         op6_line_dedup,
+        op7_lm_scoring,
         op8_quality_rules,
+        op9_nearest_neighbours,
         op10_html_extraction,
     )
 }
