@@ -73,7 +73,8 @@ def fold_overlaps(found: Column) -> Column:
             .otherwise(kept)
         )
 
-    return F.when(F.size(found) <= 1, found).otherwise(F.aggregate(F.array_sort(found), F.array().cast(EMPTY), step))
+    # bound, so that the expression of the spans stands in the plan once
+    return bind(found, lambda x: F.when(F.size(x) <= 1, x).otherwise(F.aggregate(F.array_sort(x), F.array().cast(EMPTY), step)))
 
 
 def digits(text: Column) -> Column:

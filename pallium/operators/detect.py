@@ -54,5 +54,8 @@ def detect(df: DataFrame, text_col: str = "text", locales: list[str] = P.LOCALES
 
 
 def detections(df: DataFrame, keys: list[str], spans_col: str = "spans") -> DataFrame:
-    """Long form: a row per span with keys, entity_type, start, end, score, text, locale."""
-    return df.select(*keys, F.explode(spans_col).alias("s")).select(*keys, *[F.col(f"s.{c}").alias(c) for c in ("entity_type", "start", "end", "score", "text", "locale")])
+    """Long form: a row per span with keys, entity_type, start, end, score, text, locale.
+
+    Outer, then filtered: for a plain explode, Spark would run the recognizers once more to skip empty arrays.
+    """
+    return df.select(*keys, F.explode_outer(spans_col).alias("s")).filter("s is not null").select(*keys, *[F.col(f"s.{c}").alias(c) for c in ("entity_type", "start", "end", "score", "text", "locale")])
