@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -232,6 +233,36 @@ def pattern(name: str, entity_type: str, locale: str, priority: int, regex: str,
     return Recognizer(name, (entity_type,), locale, priority, _listed(entity_type, locale, [(regex, score)], IU if ignore_case else "(?U)"))
 
 
+@dataclass(frozen=True)
+class PythonRecognizer:
+    """A user's recognizer in Python, for what expressions cannot say: analyze(text) yields (entity_type, start, end, score).
+
+    It runs on Arrow batches. If it raises for a text, that text has no spans of it, and its name among the errors.
+    """
+
+    name: str
+    analyze: Callable[[str], Iterable[tuple[str, int, int, float]]]
+    locale: str = "universal"
+    priority: int = 50
+
+    def apply(self, text: Column, rank: int) -> Column:
+        """Struct (spans, error)."""
+        analyze, locale = self.analyze, self.locale
+
+        def run(texts: pd.Series) -> pd.DataFrame:
+            rows = []
+            for t in texts:
+                try:
+                    found = [(int(s), -float(score), rank, 0, int(e), float(score), t[s:e], kind, locale) for kind, s, e, score in analyze(t)]
+                    rows.append((found, False))
+                except Exception:  # noqa: BLE001  whatever a user's code raises is an error of that row
+                    rows.append(([], True))
+            return pd.DataFrame(rows, columns=["spans", "error"])
+
+        run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+        return F.pandas_udf(run, f"spans {EMPTY}, error boolean")(text)
+
+
 def select_recognizers(locales: list[str] = P.LOCALES, extra: list[Recognizer] = ()) -> list[Recognizer]:
     """Recognizers of these locales, in the order of the locales; unknown locales have none."""
     return [r for loc in locales for r in RECOGNIZERS if r.locale == loc] + list(extra)

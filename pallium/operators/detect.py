@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pallium.functions import patterns as P
-from pallium.functions.recognizers import Recognizer, ranked, select_recognizers
+from pallium.functions.recognizers import PythonRecognizer, Recognizer, ranked, select_recognizers
 from pallium.functions.spans import EMPTY, fold_overlaps
 
 log = logging.getLogger(__name__)
@@ -37,20 +37,31 @@ def all_spans(text: Column, recognizers: list[Recognizer], threshold: float = P.
     return [above_threshold(r.recognize(text, rank), threshold) for rank, r in ranked(recognizers)]
 
 
-def detect(df: DataFrame, text_col: str = "text", locales: list[str] = P.LOCALES, threshold: float = P.CONFIDENCE, extra: list[Recognizer] = ()) -> DataFrame:
+def detect(df: DataFrame, text_col: str = "text", locales: list[str] = P.LOCALES, threshold: float = P.CONFIDENCE, extra: list[Recognizer] = (), python: list[PythonRecognizer] = ()) -> DataFrame:
     """`df` with `spans`, the resolved spans of its text; null texts have none.
 
     Every recognizer gets a column of its own, then one array joins them: no shuffle and no Python. Write or
     persist the result if several steps read the spans, as Spark would run the expressions for each.
+    With `python` recognizers there is a column `errors` too: the names of those that failed on a row. Their
+    ranks lie behind all others of the same priority.
     """
     for name in sorted(set(locales) - set(P.LOCALES)):
         log.warning("no recognizers for locale %s", name)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = all_spans(text, select_recognizers(locales, extra), threshold)
-    names = [f"_spans_{i}" for i in range(len(parts))]
-    found = df.withColumns(dict(zip(names, parts, strict=True))) if parts else df
-    joined = F.concat(*map(F.col, names)) if parts else F.array().cast(EMPTY)
-    return found.withColumn("spans", resolve_overlaps(boost_locale(joined))).drop(*names)
+    chosen = [*select_recognizers(locales, extra), *python]
+    parts, run = {}, {}
+    for rank, r in ranked(chosen):
+        if isinstance(r, PythonRecognizer):
+            run[f"_python_{rank}"] = (r, r.apply(text, rank))
+        else:
+            parts[f"_spans_{rank}"] = above_threshold(r.recognize(text, rank), threshold)
+    found = df.withColumns(parts | {n: c for n, (_, c) in run.items()}) if parts or run else df
+    arrays = [F.col(n) for n in parts] + [above_threshold(fold_overlaps(F.col(f"{n}.spans")), threshold) for n in run]
+    out = found.withColumn("spans", resolve_overlaps(boost_locale(F.concat(*arrays) if arrays else F.array().cast(EMPTY))))
+    if run:
+        failed = F.array(*[F.when(F.col(f"{n}.error"), F.lit(r.name)) for n, (r, _) in run.items()])
+        out = out.withColumn("errors", F.filter(failed, lambda e: e.isNotNull()))
+    return out.drop(*parts, *run)
 
 
 def detections(df: DataFrame, keys: list[str], spans_col: str = "spans") -> DataFrame:

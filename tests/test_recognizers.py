@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pallium.functions.recognizers import OPTIONAL, RECOGNIZERS, pattern, ranked, select_recognizers
+from pallium.functions.recognizers import OPTIONAL, RECOGNIZERS, PythonRecognizer, pattern, ranked, select_recognizers
 from pallium.functions.spans import luhn, mod97
 from pallium.operators.detect import detect, detections
+from pallium.operators.mask import mask, split_failed
 
 CASES = [
     ("email", "contact user@a.com or admin@b.org", ["user@a.com", "admin@b.org"]),
@@ -72,3 +73,17 @@ def test_luhn(spark, number, good):
 
 def test_mod97(spark):
     assert spark.range(1).select(mod97(F.lit("GB82WEST12345698765432"))).first()[0] == 1
+
+
+def test_python_recognizers_fail_closed(spark):
+    def shout(text):
+        if "!" in text:
+            raise ValueError(text)
+        return [("SHOUT", m, m + 3, 0.9) for m in [text.find("ABC")] if m >= 0]
+
+    df = spark.createDataFrame([(1, "x ABC a@b.com"), (2, "! ABC a@b.com"), (3, None)], "id int, text string")
+    out = {r.id: r for r in detect(df, python=[PythonRecognizer("shout", shout)]).collect()}
+    assert [s.entity_type for s in out[1].spans] == ["SHOUT", "EMAIL"] and out[1].errors == []
+    assert [s.entity_type for s in out[2].spans] == ["EMAIL"] and out[2].errors == ["shout"]
+    ok, bad = split_failed(mask(detect(df.withColumn("session_id", F.lit("s")), python=[PythonRecognizer("shout", shout)])), ["id"])
+    assert {r.id for r in ok.collect()} == {1, 3} and [(r.id, r.reason) for r in bad.collect()] == [(2, "recognizer failed")]
