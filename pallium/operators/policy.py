@@ -80,7 +80,9 @@ def masked_views(df: DataFrame, roles: DataFrame, policies: DataFrame, session_c
     """A masked text for each row of `df` (with spans) and each of the roles (columns role, policy): P rows per text."""
     from pallium.operators.mask import mask
 
-    few = roles.limit(MOST_ROWS).join(policies.select(F.col("name").alias("policy"), "default_action", "rules"), "policy", "left")
+    if roles.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} roles")
+    few = roles.join(policies.select(F.col("name").alias("policy"), "default_action", "rules"), "policy", "left")
     default = F.struct(F.lit("default").alias("name"), F.lit("mask").alias("default_action"), F.array().cast(RULES).alias("rules"))
     listed = few.agg(F.collect_list(F.struct("role", F.when(F.col("rules").isNotNull(), F.struct(F.col("policy").alias("name"), "default_action", "rules")).otherwise(default).alias("policy"))).alias("views"))
     each = df.join(F.broadcast(listed)).withColumn("v", F.explode("views")).withColumns({"role": F.col("v.role"), "spans": apply_policy(F.col("spans"), F.col("v.policy"))})

@@ -44,11 +44,11 @@ def candidate_tokens(text: Column, tiers: tuple[str, ...] = TIERS) -> Column:
 
 def _with_values(df: DataFrame, vault: DataFrame, text_col: str, session_col: str, tiers: tuple[str, ...]) -> DataFrame:
     """`df` with `values`, a map from each candidate token that its session knows to the value (column `value` of the vault)."""
-    rows = df.withColumn("_row", F.xxhash64(F.struct(*df.columns))).withColumn("_at", F.struct(F.col("_row"), F.col(session_col).alias("s"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("t")))
+    rows = df.withColumn("_at", F.struct(F.col(session_col).alias("s"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("t")))
     asked = rows.select("_at", F.col(session_col).alias("session_id"), F.explode(candidate_tokens(F.col(text_col), tiers)).alias("token")).distinct()
     known = asked.join(vault.select("session_id", "token", "value").filter("value is not null and value <> ''"), ["session_id", "token"])
     maps = known.groupBy("_at").agg(F.map_from_entries(F.collect_set(F.struct("token", "value"))).alias("values"))
-    return rows.join(maps, "_at", "left").withColumn("values", F.coalesce("values", F.create_map().cast("map<string,string>"))).drop("_row", "_at")
+    return rows.join(maps, "_at", "left").withColumn("values", F.coalesce("values", F.create_map().cast("map<string,string>"))).drop("_at")
 
 
 def _exact(text: Column, values: Column) -> Column:
