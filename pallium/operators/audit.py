@@ -77,7 +77,7 @@ def duration_histogram(requests: DataFrame, buckets: list[float], column: str =
 
 
 def duration_p99(requests: DataFrame, column: str = "duration", limit: float = 5.0) -> DataFrame:
-    p = requests.agg(F.percentile_approx(column, 0.99, 10_000).alias("p99"))
+    p = requests.agg(F.percentile_approx(column, 0.99, 1_000_000).alias("p99"))
     return p.withColumn("alert", F.col("p99") > limit)
 
 
