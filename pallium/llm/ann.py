@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pallium.llm.session import stored
 
-TABLES, PROBES, BLOCK = 16, 512, 512
+TABLES, PROBES, BLOCK, HASHES = 16, 512, 512, 2
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -92,7 +92,7 @@ class QueryBlock:
         for code in probe_codes(_unit(vectors), tables, k, probes, seed):
             flat = code.ravel()
             order = np.argsort(flat, kind="stable")
-            self.tables.append((flat[order].astype(np.int32), (order // code.shape[1]).astype(np.int32)))
+            self.tables.append((flat[order], (order // code.shape[1]).astype(np.int32)))
 
     def candidates(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (row, query) pairs that share a code."""
@@ -122,14 +122,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def search(vectors: DataFrame, queries: DataFrame, neighbours: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, k: int | None = None, block: int = BLOCK, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, neighbours: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, k: int = HASHES, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): per row of `queries`, its nearest rows of `vectors` found, nearest first.
 
     Nearness is the smallest Euclidean distance, ties go to the smaller id; rows with the query's own id are no
     candidates. Vectors that are null, empty, zero, or hold a null or non-finite component take no part, and
     neither do those of another length than most. Ids are longs; rows with a null id take no part. `k` is the
-    number of hashes in a code: 2, or 3 from four million rows on. Every row is indexed. An empty table on
-    either side gives an empty result; other columns are ignored.
+    number of hashes in a code, the same at every size: as rows grow, the nearest ones of a query get nearer and
+    share codes more often, but with a third hash `probes` codes would be too few. Every row is indexed. An empty
+    table on either side gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
 
@@ -143,8 +144,7 @@ def search(vectors: DataFrame, queries: DataFrame, neighbours: int = 10, id_col:
     schema = "query_id long, vec_id long, score double"
     merged = spark.createDataFrame([], schema)
     if widths is not None:
-        width, n = widths["width"], widths["n"]
-        hashes = k or (2 if n < 4_000_000 else 3)
+        width = widths["width"]
         rows = rows.filter(F.size("v") == width)
         asked = stored(usable(queries).filter(F.size("v") == width), "queries")
         blocks = math.ceil(asked.count() / block)
@@ -154,7 +154,7 @@ def search(vectors: DataFrame, queries: DataFrame, neighbours: int = 10, id_col:
             some = asked.filter(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == b).toArrow()
             if some.num_rows:
                 ids = some["id"].to_numpy().astype(np.int64)
-                shared = spark.sparkContext.broadcast(QueryBlock(ids, _matrix(some["v"].combine_chunks(), width), tables, hashes, probes, seed))
+                shared = spark.sparkContext.broadcast(QueryBlock(ids, _matrix(some["v"].combine_chunks(), width), tables, k, probes, seed))
                 parts.append(stored(rows.mapInArrow(_compare(shared, width, neighbours), schema), "nearest-of-tasks"))
         if parts:
             merged = parts[0]

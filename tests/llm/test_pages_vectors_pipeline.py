@@ -1,10 +1,12 @@
 """URL filters, page text, nearest neighbours, and the pipeline."""
 
+import inspect
+
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from pallium.llm.ann import exact_search, search
+from pallium.llm.ann import PROBES, TABLES, QueryBlock, exact_search, search
 from pallium.llm.html_text import extract, main_text
 from pallium.llm.urls import filter_urls
 
@@ -65,6 +67,19 @@ def test_nearest_neighbours(spark):
     assert search(df.limit(0), df).count() == 0 and search(df, df.limit(0)).count() == 0
 
 
+def test_codes_join_two_hashes_at_every_size():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20_000, 64))
+    assert inspect.signature(search).parameters["k"].default == 2
+    recall = {}
+    for k in (2, 3):
+        row, query = QueryBlock(np.arange(20), x[:20], TABLES, k, PROBES, 11).candidates(x)
+        met = set(zip(query.tolist(), row.tolist(), strict=True))
+        want = [(q, i) for q, _, i, _ in exact_search(x, np.arange(len(x)), np.arange(20), 10)]
+        recall[k] = sum(w in met for w in want) / len(want)
+    assert recall[2] >= 0.9 > recall[3]
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = np.random.default_rng(4)
     words = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 3000, n))
