@@ -6,7 +6,8 @@ come in blocks of bounded size: a block's multiprobe tables (the `probes` best c
 table, by how much worse their axes are than the best) are broadcast, every row computes its own codes, meets
 the queries that probe them, and is compared with them exactly, on the original vectors in double precision.
 A task keeps the nearest rows of each query; the last step merges the tasks'. Nothing is dealt out by code, so
-a code or a vector that a third of all rows share costs no more than others.
+a code or a vector that a third of all rows share costs no more than others. Queries that met fewer rows than
+asked for, as outliers do, are then compared with all rows.
 """
 
 from __future__ import annotations
@@ -107,9 +108,21 @@ class QueryBlock:
         return both // n, both % n
 
 
+class WholeBlock:
+    """A block of queries each of which meets every row."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+
+    def candidates(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(vectors)), len(self.ids)), np.tile(np.arange(len(self.ids)), len(vectors))
+
+
 def _nearest(query: np.ndarray, distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k first rows of each query by (distance, id)."""
+    """The k first rows of each query by (distance, id); equal ones count once."""
     order = np.lexsort((ids, distance, query))
+    same = (query[order[1:]] == query[order[:-1]]) & (distance[order[1:]] == distance[order[:-1]]) & (ids[order[1:]] == ids[order[:-1]])
+    order = order[np.concatenate([[True], ~same])] if len(order) else order
     query = query[order]
     new = np.concatenate([[True], query[1:] != query[:-1]]) if len(query) else np.zeros(0, dtype=bool)
     begin = np.flatnonzero(new)
@@ -129,8 +142,9 @@ def search(vectors: DataFrame, queries: DataFrame, neighbours: int = 10, id_col:
     candidates. Vectors that are null, empty, zero, or hold a null or non-finite component take no part, and
     neither do those of another length than most. Ids are longs; rows with a null id take no part. `k` is the
     number of hashes in a code, the same at every size: as rows grow, the nearest ones of a query get nearer and
-    share codes more often, but with a third hash `probes` codes would be too few. Every row is indexed. An empty
-    table on either side gives an empty result; other columns are ignored.
+    share codes more often, but with a third hash `probes` codes would be too few. Every row is indexed. A query
+    has all candidates if there are fewer than `neighbours`. An empty table on either side gives an empty
+    result; other columns are ignored.
     """
     spark = vectors.sparkSession
 
@@ -143,23 +157,25 @@ def search(vectors: DataFrame, queries: DataFrame, neighbours: int = 10, id_col:
     widths = rows.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "width").first()
     schema = "query_id long, vec_id long, score double"
     merged = spark.createDataFrame([], schema)
-    if widths is not None:
-        width = widths["width"]
-        rows = rows.filter(F.size("v") == width)
-        asked = stored(usable(queries).filter(F.size("v") == width), "queries")
+
+    def compared(asked: DataFrame, make) -> DataFrame:
         blocks = math.ceil(asked.count() / block)
-        parts = []
+        out = spark.createDataFrame([], schema)
         for b in range(blocks):
             # about `block` rows of a fixed width: the hash deals them evenly
             some = asked.filter(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == b).toArrow()
             if some.num_rows:
-                ids = some["id"].to_numpy().astype(np.int64)
-                shared = spark.sparkContext.broadcast(QueryBlock(ids, _matrix(some["v"].combine_chunks(), width), tables, k, probes, seed))
-                parts.append(stored(rows.mapInArrow(_compare(shared, width, neighbours), schema), "nearest-of-tasks"))
-        if parts:
-            merged = parts[0]
-            for p in parts[1:]:
-                merged = merged.union(p)
+                shared = spark.sparkContext.broadcast(make(some["id"].to_numpy().astype(np.int64), _matrix(some["v"].combine_chunks(), width)))
+                out = out.union(stored(rows.mapInArrow(_compare(shared, width, neighbours), schema), "nearest-of-tasks"))
+        return out
+
+    if widths is not None:
+        width = widths["width"]
+        rows = rows.filter(F.size("v") == width)
+        asked = stored(usable(queries).filter(F.size("v") == width), "queries")
+        merged = compared(asked, lambda ids, x: QueryBlock(ids, x, tables, k, probes, seed)).distinct()
+        full = merged.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= neighbours)
+        merged = merged.union(compared(stored(asked.join(full, "id", "left_anti"), "short-queries"), WholeBlock))
     first = W.partitionBy("query_id").orderBy("score", "vec_id")
     return merged.distinct().withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 

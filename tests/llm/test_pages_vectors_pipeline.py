@@ -67,6 +67,21 @@ def test_nearest_neighbours(spark):
     assert search(df.limit(0), df).count() == 0 and search(df, df.limit(0)).count() == 0
 
 
+def test_small_tables_outliers_and_copies_get_all_neighbours(spark):
+    rng = np.random.default_rng(5)
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    few = rng.standard_normal((8, 64))
+    crowd = rng.standard_normal(64) + 0.001 * rng.standard_normal((400, 64))
+    for x, asked in ((few, range(8)), (np.concatenate([crowd, -crowd[:1] + 0.5 * rng.standard_normal(64)]), [0, 400])):
+        df = frame(x)
+        got = {(r.query_id, r.rank, r.vec_id) for r in search(df, df.filter(F.col("vec_id").isin(*asked))).collect()}
+        want = exact_search(x, np.arange(len(x)), np.array(list(asked)), 10)
+        assert len(want) == min(10, len(x) - 1) * len(asked) and {w[:3] for w in want if w[0] == 400 or len(x) == 8} <= got
+        assert len(got) == len(want)
+    df = frame(rng.standard_normal((30, 8)))
+    assert search(df.union(df.filter("vec_id < 15")).union(df), df.limit(3)).count() == 30
+
+
 def test_codes_join_two_hashes_at_every_size():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((20_000, 64))
