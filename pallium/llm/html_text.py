@@ -5,6 +5,7 @@ Per path, text length and punctuation are added up and divided by the number of
 smoothed over neighbouring paths, fused into one score, and paths under a threshold are not content. Paths
 are then joined by container: headings, list items and short paragraphs belong to the container of their
 neighbours, and a container is content if its content paths hold a good part of the text outside links.
+An article or main element is a bonus in both scores and no more. Lists of links go from content containers.
 Elements that are boilerplate by their tag, or by a word of their class, id or role, never count.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +40,8 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 #: A content path scores at least this share of the page's best path; a content container holds at least this share of the best container's text.
 PATH_SHARE, CONTAINER_SHARE = 0.15, 0.3
+#: Factor of scores and texts within an article or main.
+ARTICLE_BONUS = 2
 
 
 def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
@@ -121,7 +125,7 @@ def blocks(page: str) -> list[tuple[int, int, bool, str, int]]:
         _, path, container, out_of_it, article, link = stack[-1]
         if tag in BLOCK:
             path = paths.setdefault((path, tag), len(paths) + 1)
-            container = container if tag in LEAVES else path
+            container = container if tag in LEAVES or (tag == "header" and article) else path
         stack.append((tag, path, container, out_of_it or _boilerplate(tag, m[3], article), article or tag in ("article", "main"), link or tag == "a"))
     read_text(page[at:])
     close_block()
@@ -131,8 +135,6 @@ def blocks(page: str) -> list[tuple[int, int, bool, str, int]]:
 def main_text(page: str | None) -> str:
     """Blocks of the main text in page order, joined by an empty line; '' if there is none."""
     found = blocks(page or "")
-    if any(b[2] for b in found):
-        found = [b for b in found if b[2]]
     if not found:
         return ""
     order = list(dict.fromkeys(b[0] for b in found))
@@ -148,15 +150,28 @@ def main_text(page: str | None) -> str:
         return [max(v, sum(x[max(i - 1, 0) : i + 2]) / len(x[max(i - 1, 0) : i + 2])) for i, v in enumerate(x)]
 
     length, marks = smooth(length), smooth(marks)
-    fused = {p: (1 + a / max(max(length), 1)) * (1 + b / max(max(marks), 1)) - 1 for p, a, b in zip(order, length, marks, strict=True)}
+    bonus = {b[k]: ARTICLE_BONUS if b[2] else 1 for k in (1, 0) for b in found}
+    fused = {p: bonus[p] * ((1 + a / max(max(length), 1)) * (1 + b / max(max(marks), 1)) - 1) for p, a, b in zip(order, length, marks, strict=True)}
     content = {p for p in order if fused[p] >= PATH_SHARE * max(fused.values())}
     weight: dict[int, int] = {}
     for path, container, _, text, linked in found:
         if path in content:
             weight[container] = weight.get(container, 0) + max(len(text) - linked, 0)
-    best = max(weight.values(), default=0)
-    chosen = {c for c, w in weight.items() if w >= CONTAINER_SHARE * best}
-    return "\n\n".join(b[3] for b in found if b[1] in chosen or b[2])
+    best, raised = max(weight.values(), default=0), max((bonus[c] * w for c, w in weight.items()), default=0)
+    chosen = {c for c, w in weight.items() if bonus[c] * w >= CONTAINER_SHARE * (best if bonus[c] > 1 else raised)}
+    kept = [b for b in found if b[1] in chosen]
+    if best:
+        kept = [b for run in _runs(kept) for b in run if not _links(b) or (len(run) == 1 and b[0] in content)]
+    return "\n\n".join(b[3] for b in kept)
+
+
+def _links(block: tuple[int, int, bool, str, int]) -> bool:
+    return 2 * block[4] > len(block[3])
+
+
+def _runs(found: list[tuple[int, int, bool, str, int]]) -> list[list[tuple[int, int, bool, str, int]]]:
+    """Neighbouring blocks of one path, all of them mostly links or none."""
+    return [list(run) for _, run in groupby(found, lambda b: (b[0], _links(b)))]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -46,6 +46,16 @@ def test_main_text():
     assert main_text(None) == ""
 
 
+def test_main_text_is_chosen_by_ratios_beside_and_within_articles():
+    body = [f"Sentence {i} of the real body, which is long enough to matter, and ends here." for i in range(6)]
+    inner = "".join(f"<p>{b}</p>" for b in body)
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Other story {i}</a></li>" for i in range(8)) + "</ul>"
+    whole = "\n\n".join(body)
+    assert main_text(f"<body><div><h1>T</h1>{inner}</div><article><p>Teaser, short.</p></article>") == "T\n\n" + whole
+    assert main_text(f"<body><article><header><h1>T</h1></header>{inner}{links}<div>Buy now.</div></article><div>Sale.</div>") == "T\n\n" + whole
+    assert main_text(f"<article>{inner}<ul><li>a</li><li>b</li></ul><p>See <a href=/>this</a>.</p></article>") == whole + "\n\na\n\nb\n\nSee this."
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (2, None, "<article><p>é x</article>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in extract(df).collect()) == [(1, "", 0), (2, "é x", 3)]
