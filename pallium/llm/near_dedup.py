@@ -8,8 +8,10 @@ within its proportional budgets), then the full Hamming check, and then the exac
 
 Equal texts are one row throughout. Linking goes in two rounds. In the first, every text is compared with the
 least id of its key only, which joins large groups of near copies with linear work. In the second, texts of
-one key whose components still differ are compared with each other: with all others where up to `CROWD` texts
-share the key, else with the next `CROWD` in the order of fingerprints. Other tables deal them anew.
+one key whose components still differ are compared with each other where up to `CROWD` + 1 texts share the key.
+All texts of fuller keys go through one exact join: of two texts with that similarity, the first shingles of
+both (all but that share, and one more) in any common order have one in common. The order puts frequent
+shingles last; counting them decides on the work alone, so a share of the texts is enough for it.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from pallium.llm.words import Words, mix, pieces, powers
 BITS, GROUP, TABLES, GROUPS_IN_KEY = 256, 32, 32, 3
 SEGMENTS = 8
 CROWD = 16
+#: Every how many texts are counted for the order of shingles, and how many frequent shingles come last in it.
+COUNTED, FREQUENT = 4, 500_000
+#: Rows of one shingle on one side of a task's join.
+SALTED = 1000
 
 _rng = np.random.default_rng(77)
 _SPREAD = _rng.integers(1, 1 << 62, BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,18 +148,64 @@ def _candidates(keyed: DataFrame, distance: int, leads_only: bool) -> DataFrame:
     return dealt.mapInArrow(apply, "a long, b long").distinct()
 
 
+def _shingle_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
+    h, begin = shingle_hashes(Words(_lower(column)), shingle)
+    return [np.unique(h[lo:hi]).view(np.int64) for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def _crowded(keyed: DataFrame) -> DataFrame:
+    """(id, component) of texts in keys that are too full to compare all, unless they are one component."""
+    full = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    full = full.filter((F.col("n") > CROWD + 1) & (F.col("lo") < F.col("hi"))).select("table", "key")
+    return keyed.select("table", "key", "id", "component").join(full, ["table", "key"], "left_semi").select("id", "component").distinct()
+
+
+def _prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) of different components, among them all with that similarity. `texts` has id, component, text."""
+    spark = texts.sparkSession
+
+    def shingles(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *_shingle_sets(part.column("text"), shingle)]))], ["shingle"])
+
+    counted = texts.filter(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0).select("text").mapInArrow(shingles, "shingle long")
+    often = counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 3").orderBy(F.desc("n"), "shingle").limit(FREQUENT).orderBy("shingle").toArrow()
+    shared = spark.sparkContext.broadcast((often["shingle"].to_numpy(), often["n"].to_numpy()))
+
+    def first(batches):
+        value, number = shared.value
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                sets, size = [], []
+                for x in _shingle_sets(part.column("text"), shingle):
+                    at = np.minimum(np.searchsorted(value, x), max(len(value) - 1, 0))
+                    n = np.where(value[at] == x, number[at], 0) if len(value) else np.zeros(len(x), dtype=np.int64)
+                    sets.append(x[np.lexsort((x, n))][: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1])
+                    size.append(len(x))
+                times = [len(x) for x in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])), *[pa.array(np.repeat(part.column(c).to_numpy(), times)) for c in ("id", "component")], pa.array(np.repeat(np.array(size, dtype=np.int64), times))],
+                    ["shingle", "id", "component", "n"],
+                )
+
+    prefix = stored(texts.select("id", "component", "text").mapInArrow(first, "shingle long, id long, component long, n long"), "first-shingles")
+    met = prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    rows = stored(prefix.join(met.select("shingle", F.ceil(F.col("c") / SALTED).alias("parts")), "shingle"), "shared-shingles")
+    left = rows.select("shingle", F.pmod(F.xxhash64("id"), "parts").alias("salt"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
+    right = rows.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    near = (F.col("na") >= similarity * F.col("nb") - 1e-9) & (F.col("nb") >= similarity * F.col("na") - 1e-9)
+    return left.join(right, ["shingle", "salt"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
+
+
 def _jaccard(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b, text_a, text_b) whose sets of shingles have at least that Jaccard similarity."""
 
-    def shingles(column: pa.Array) -> list[np.ndarray]:
-        h, begin = shingle_hashes(Words(_lower(column)), shingle)
-        return [np.unique(h[lo:hi]) for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-
     def apply(batches):
         for batch in batches:
             for part in pieces(batch, "text_a"):
                 good = []
-                for x, y in zip(shingles(part.column("text_a")), shingles(part.column("text_b")), strict=True):
+                for x, y in zip(_shingle_sets(part.column("text_a"), shingle), _shingle_sets(part.column("text_b"), shingle), strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     good.append(both >= similarity * (len(x) + len(y) - both))
                 chosen = part.filter(pa.array(good))
@@ -167,7 +219,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Words are lower-cased (A-Z). Equal texts always link; null counts as empty. Ids are longs; rows with a null
     id have component null and link nothing. Candidates are found with a probability that grows with the
-    similarity (tests measure it); links are exact. An empty table gives an empty result.
+    similarity (tests measure it), and all of them among texts of crowded keys; links are exact. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     named = rows.filter("id is not null").select("id", F.struct(F.xxhash64("text"), F.xxhash64(F.lit("again"), "text")).alias("same"), "text")
@@ -181,18 +233,21 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     share = float(np.arccos(cosine) / np.pi)
     distance = int(BITS * share + 2.5 * (BITS * share * (1 - share)) ** 0.5)
 
-    def links(components: DataFrame, leads_only: bool) -> DataFrame:
+    def keyed(components: DataFrame) -> DataFrame:
         placed = marked.join(components, marked.id == components.node, "left").withColumn("component", F.coalesce("component", "id"))
-        keyed = placed.select("id", "component", *[F.col("fp")[i].alias(f"f{i}") for i in range(4)], F.posexplode("keys").alias("table", "key"))
-        pairs = stored(_candidates(keyed, distance, leads_only), "candidates")
+        return placed.select("id", "component", *[F.col("fp")[i].alias(f"f{i}") for i in range(4)], F.posexplode("keys").alias("table", "key"))
+
+    def links(found: DataFrame) -> DataFrame:
+        pairs = stored(found, "candidates")
         # only texts of candidates travel
         wanted = stored(texts.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi"), "candidate-texts")
         sides = pairs.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return stored(_jaccard(sides, shingle, similarity), "near-links")
 
-    spark = docs.sparkSession
-    led = links(spark.createDataFrame([], "node long, component long"), True)
-    both = led.union(links(connected_components(led, "a", "b"), False))
+    led = links(_candidates(keyed(docs.sparkSession.createDataFrame([], "node long, component long")), distance, True))
+    dealt = keyed(connected_components(led, "a", "b"))
+    crowd = stored(texts.join(_crowded(dealt), "id"), "crowded-texts")
+    both = led.union(links(_candidates(dealt, distance, False).union(_prefix_pairs(crowd, shingle, similarity)).distinct()))
     groups = connected_components(both, "a", "b")
     component = first.join(groups, first.least == groups.node, "left").select("same", "n", F.coalesce("component", "least").alias("component_id"))
     found = join_by_hot_key(copies, component, "same", "id", "n").select(F.col("id").alias(id_col), "component_id")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pallium.llm import line_dedup as LD
+from pallium.llm import near_dedup
 from pallium.llm import quality as Q
 from pallium.llm import simhash as S
 from pallium.llm.bpe import Encoder, decode, encode, read_tokenizer
@@ -250,3 +251,26 @@ def test_attention_gradients_and_mass():
 def test_sha_of_kept_text(spark, docs):
     row = substring_dedup(docs).filter("doc_id = 4").select(F.sha2(F.encode("kept_text", "utf-8"), 256).alias("s")).first()
     assert row.s == hashlib.sha256(b"two words").hexdigest()
+
+
+def test_crowded_keys_miss_no_near_copy(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    shared, texts = [f"c{i}" for i in range(15)], []
+    for _ in range(110):
+        base = shared + [f"w{i}" for i in rng.integers(0, 5000, 85)]
+        for changes in (0, 1, 2):
+            copy = list(base)
+            for at in rng.choice(np.arange(20, 95, 10), changes, replace=False):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = list(range(len(texts)))
+    for _ in range(3):
+        for i, x in enumerate(sets):
+            want[i] = min(want[j] for j, y in enumerate(sets) if len(x & y) >= 0.8 * len(x | y))
+    real = near_dedup._marked
+    monkeypatch.setattr(near_dedup, "_marked", lambda docs, shingle: real(docs, shingle).withColumn("keys", F.array(F.lit(7).cast("long"))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicate_groups(df).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) == 110
