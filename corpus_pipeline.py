@@ -14,36 +14,45 @@ from pallium.llm.session import stored
 from pallium.llm.substring_dedup import substring_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+COLUMNS = ["row_id", "doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of each row, written once; ids may be null or repeat, so the stages join on it."""
+    return docs if "row_id" in docs.columns else stored(docs.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the risk-controlled cutoffs keep."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = judge(docs, labels).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    docs = _numbered(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").distinct()
+    kept = judge(docs, docs.select("row_id", "doc_id").join(labels, "doc_id"), id_col="row_id").filter("kept").select("row_id")
+    return docs.join(kept, "row_id", "left_semi").select(*COLUMNS)
 
 
 def _with_text(docs: DataFrame, new: DataFrame, text: str) -> DataFrame:
     """docs with the texts of `new`, unless that leaves no word of a document."""
-    joined = docs.select("doc_id", "lang", "source").join(new.select("doc_id", F.col(text).alias("text")), "doc_id")
+    joined = docs.select("row_id", "doc_id", "lang", "source").join(new.select("row_id", F.col(text).alias("text")), "row_id")
     return joined.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the later copies of repeated line runs; documents that were such copies throughout go."""
-    return _with_text(docs, line_dedup(docs), "kept_text")
+    docs = _numbered(docs)
+    return _with_text(docs, line_dedup(docs, "row_id"), "kept_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group at a similarity of 0.8 of five-word shingles."""
-    gone = near_duplicate_groups(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document, that of the least row number, of each group at a similarity of 0.8 of five-word shingles."""
+    docs = _numbered(docs)
+    gone = near_duplicate_groups(docs, "row_id").filter("row_id <> component_id").select("row_id")
+    return docs.join(gone, "row_id", "left_anti").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without all but the first copy of each repeated passage of 35 words or more."""
-    return _with_text(docs, substring_dedup(docs, keep_first=True, spaced=False), "kept_text")
+    docs = _numbered(docs)
+    return _with_text(docs, substring_dedup(docs, "row_id", keep_first=True, spaced=False), "kept_text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,3 +122,17 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == C.COLUMNS
         kept.append({r.doc_id for r in docs.collect()})
     assert kept[0] == {0, 1, 2, 3, 4, 5, 6, 7, 10, 11} and kept[1] == kept[0] - {10} and kept[2] == kept[1] - {11} and kept[3] == kept[2] == kept[4]
+
+
+def test_pipeline_keeps_one_copy_under_null_and_repeated_ids(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 3000, 80)) for _ in range(6)]
+    ids = [None, None, 1, 1, 2, 2, 3]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, [*texts[:2], texts[2], texts[2], *texts[3:]], strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    assert sorted(r.text for r in docs.collect()) == sorted(texts)
+    assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 0, 1, 2, 2, 3]
