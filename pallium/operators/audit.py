@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,22 +117,43 @@ def canonical_entry(data: Column, event: Column, prev_hash: Column, sequence: Co
     return F.concat(F.lit('{"data": '), data, F.lit(', "event": '), _quoted(event), F.lit(', "prev_hash": '), _quoted(prev_hash), F.lit(', "sequence": '), sequence.cast("string"), F.lit(', "timestamp": '), _quoted(timestamp), F.lit("}"))
 
 
+def _canonical(data: str | None, event: str | None, prev_hash: str | None, sequence: int, timestamp: str | None) -> str | None:
+    """canonical_entry of plain values."""
+    if data is None or event is None or prev_hash is None or timestamp is None:
+        return None
+    quoted = ['"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"' for x in (event, prev_hash, timestamp)]
+    return f'{{"data": {data}, "event": {quoted[0]}, "prev_hash": {quoted[1]}, "sequence": {sequence}, "timestamp": {quoted[2]}}}'
+
+
 def build_chain(entries: DataFrame, chain_col: str = "chain_id", order_col: str = "ts") -> DataFrame:
     """(chain, sequence, timestamp, event, data, prev_hash, entry_hash) of entries (timestamp, event, data).
 
-    Each hash needs the one before: a chain is one fold, so logs are cut into chains of bounded length (a day,
-    a writer) by `chain_col`. Ties of the order are settled by the entry's own fields.
+    Each hash needs the one before: rows of a chain are streamed through one task, sorted by Spark, which holds
+    the last hash only. Logs are cut into chains (a day, a writer) by `chain_col` to work side by side. Ties of
+    the order are settled by the entry's own fields.
     """
-    listed = entries.groupBy(chain_col).agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), "timestamp", "event", "data"))).alias("es"))
-
-    def step(a: Column, e: Column) -> Column:
-        hashed = F.sha2(canonical_entry(e["data"], e["event"], a["prev"], a["n"], e["timestamp"]), 256)
-        row = F.struct(a["n"].alias("sequence"), e["timestamp"].alias("timestamp"), e["event"].alias("event"), e["data"].alias("data"), a["prev"].alias("prev_hash"), hashed.alias("entry_hash"))
-        return F.struct((a["n"] + 1).alias("n"), hashed.alias("prev"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    none = F.array().cast("array<struct<sequence:int,timestamp:string,event:string,data:string,prev_hash:string,entry_hash:string>>")
-    start = F.struct(F.lit(0).alias("n"), F.lit(GENESIS).alias("prev"), none.alias("out"))
-    return listed.select(chain_col, F.explode(F.aggregate("es", start, step, lambda a: a["out"])).alias("e")).select(chain_col, "e.*")
+    kind = entries.schema[chain_col].dataType.simpleString()
+    names = ["sequence", "timestamp", "event", "data", "prev_hash", "entry_hash"]
+
+    def chained(batches):
+        last, n, prev = object(), 0, GENESIS
+        for batch in batches:
+            numbers, before, hashes = [], [], []
+            for chain, timestamp, event, data in zip(*[batch.column(c).to_pylist() for c in (chain_col, "timestamp", "event", "data")], strict=True):
+                if chain != last:
+                    last, n, prev = chain, 0, GENESIS
+                entry = _canonical(data, event, prev, n, timestamp)
+                numbers.append(n)
+                before.append(prev)
+                prev = None if entry is None else hashlib.sha256(entry.encode()).hexdigest()
+                hashes.append(prev)
+                n += 1
+            fields = [pa.array(numbers, pa.int32()), *[batch.column(c) for c in ("timestamp", "event", "data")], pa.array(before, pa.string()), pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(chain_col), *fields], [chain_col, *names])
+
+    rows = entries.select(chain_col, F.col(order_col).alias("_order"), "timestamp", "event", "data")
+    dealt = rows.repartition(chain_col).sortWithinPartitions(chain_col, "_order", "timestamp", "event", "data").drop("_order")
+    return dealt.mapInArrow(chained, f"`{chain_col}` {kind}, sequence int, timestamp string, event string, data string, prev_hash string, entry_hash string")
 
 
 def chain_head(chain: DataFrame, chain_col: str = "chain_id") -> DataFrame:

@@ -487,7 +487,7 @@ def chat_stream_restored(spark, sf_dir):
 
     m = masked_notes(spark, sf_dir)
     chunk = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("delta").alias("content")).alias("delta"))).alias("choices")))
-    cut = m.select(F.concat_ws("|", "session_id", "id").alias("stream_id"), F.posexplode(F.regexp_extract_all("masked_text", F.lit("(?s).{1,7}"), F.lit(0))).alias("seq", "delta"))
+    cut = m.select("session_id", F.concat_ws("|", "session_id", "id").alias("stream_id"), F.posexplode(F.regexp_extract_all("masked_text", F.lit("(?s).{1,7}"), F.lit(0))).alias("seq", "delta"))
     deltas = chat.stream_deltas(cut.withColumn("chunk", chunk).drop("delta"))
-    vault = note_vault(spark, sf_dir).join(m.select("session_id", "id"), "session_id").select(F.concat_ws("|", "session_id", "id").alias("session_id"), "token", "value")
-    return restore_chunks(deltas, vault).select(F.regexp_extract("stream_id", r"\|(\d+)$", 1).cast("long").alias("stream_id"), F.col("restored_text").alias("text"))
+    vault = note_vault(spark, sf_dir).select("session_id", "token", "value")
+    return restore_chunks(deltas, vault, session_col="session_id").select(F.regexp_extract("stream_id", r"\|(\d+)$", 1).cast("long").alias("stream_id"), F.col("restored_text").alias("text"))

@@ -89,13 +89,13 @@ def join_parts(pieces: DataFrame, session_col: str = "stream_id") -> DataFrame:
     return pieces.groupBy(session_col).agg(F.array_join(F.transform(listed, lambda x: x["text"]), "").alias("text"))
 
 
-def restore_chunks(chunks: DataFrame, vault: DataFrame, tiers: tuple[str, ...] = ("exact",)) -> DataFrame:
-    """Batch twin: whole texts of (stream_id, seq, delta), restored."""
+def restore_chunks(chunks: DataFrame, vault: DataFrame, tiers: tuple[str, ...] = ("exact",), session_col: str = "stream_id") -> DataFrame:
+    """Batch twin: whole texts of (stream_id, seq, delta), restored with the tokens of `session_col` in the vault."""
     from pallium.operators.restore import restore
 
     listed = F.array_sort(F.collect_list(F.struct("seq", "delta")))
-    whole = chunks.groupBy("stream_id").agg(F.array_join(F.transform(listed, lambda x: x["delta"]), "").alias("text"))
-    return restore(whole, vault.withColumnRenamed("stream_id", "session_id"), "text", "stream_id", tiers)
+    whole = chunks.groupBy(*dict.fromkeys(["stream_id", session_col])).agg(F.array_join(F.transform(listed, lambda x: x["delta"]), "").alias("text"))
+    return restore(whole, vault.withColumnRenamed("stream_id", "session_id"), "text", session_col, tiers)
 
 
 def session_stream(events: DataFrame, ttl: str = "3600 seconds", watermark: str = "10 minutes", session_col: str = "session_id", ts: str = "ts") -> DataFrame:

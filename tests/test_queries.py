@@ -82,3 +82,23 @@ def test_chain_finds_tampering(spark):
     assert not lost.valid and lost.first_broken_at == 4
     malformed = A.verify_chain(chain.withColumn("event", F.when(F.col("sequence") != 1, F.col("event")))).first()
     assert malformed.first_broken_at == 2 and malformed.entries_checked == 4
+
+
+def test_chain_streams_long_chains(spark):
+    rows = [(f"c{i % 2}", float(i // 2), f"t{i}", 'a"b\\\\', f'{{"n": {i}}}') for i in range(8000)]
+    df = spark.createDataFrame(rows, "chain_id string, ts double, timestamp string, event string, data string").repartition(3)
+    chain = A.build_chain(df)
+    assert "collect_list" not in chain._jdf.queryExecution().toString(), "no chain is gathered in one row"
+    checked = A.verify_chain(chain.withColumn("pos", F.col("sequence"))).collect()
+    assert [(r.valid, r.entries_checked) for r in checked] == [(True, 4000)] * 2
+    assert all(r.data == f'{{"n": {2 * r.sequence + int(r.chain_id[1])}}}' for r in chain.collect())
+
+
+def test_chunks_share_the_vault_of_their_session(spark):
+    from pallium.streaming.jobs import restore_chunks
+
+    token = "{{SG_EMAIL_0123456789ab}}"
+    kept = spark.createDataFrame([("s", token, "a@b.c")], "session_id string, token string, value string")
+    chunks = spark.createDataFrame([(f"n{i}", "s", k, part) for i in range(3) for k, part in enumerate([f"{i} {token[:5]}", token[5:]])], "stream_id string, session_id string, seq int, delta string")
+    out = restore_chunks(chunks, kept, session_col="session_id")
+    assert out.count() == 3 and set(out.columns) >= {"stream_id", "session_id", "restored_text"}
