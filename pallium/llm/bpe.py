@@ -6,7 +6,7 @@ token of the shorter prefix) stays next to it under the merges is that last toke
 tokens backwards from the end gives the ids. Work is linear in the text, whatever the pieces look like.
 
 Texts are first cut at special tokens, then into units (a run of non-space characters with the space before
-it, or white space), then into the pieces of the pattern. Frequent units are remembered.
+it, or white space), then into the pieces of the pattern. Short units are remembered, up to a number of bytes.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from array import array
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pallium.llm.words import pieces
+from pallium.llm.words import pieces, slices
 
 # Fixed value: the pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,8 +36,11 @@ _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _UNIT = re.compile(rf" ?[{_LATIN}]++(?=[\x00-@\[-`{{-\x7f]|\Z)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _PIECE = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{_WS}\p{{L}}\p{{N}}]").replace(r"\s+(?!\S)", f"[{_WS}]+(?![^{_WS}])").replace(r"\s+", f"[{_WS}]+"))
 
-#: Units remembered by a worker before it starts afresh, and the longest of them.
-REMEMBERED, LONGEST = 700_000, 64
+#: Bytes of remembered units after which a worker starts afresh, bytes that one takes besides its characters and
+#: tokens, characters of the longest one remembered, and remembered pairs of tokens.
+REMEMBERED, OVERHEAD, LONGEST, PAIRS = 96 << 20, 150, 64, 250_000
+#: Bytes of text that are encoded at once.
+AT_ONCE = 1 << 20
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -79,7 +84,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known = _Units(self)
-        self.flat, self.begin = array("i"), array("q", [0])
+        self.flat, self.begin, self.used = array("i"), array("q", [0]), 0
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether the merges leave `left` and `right` standing side by side.
@@ -131,7 +136,7 @@ class Encoder:
                 pair = last[end - size] << 32 | token
                 good = fit.get(pair)
                 if good is None:
-                    if len(fit) > 2_000_000:
+                    if len(fit) >= PAIRS:
                         fit.clear()
                     good = fit[pair] = self._fits(pair >> 32, token)
             if good:
@@ -150,47 +155,58 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text's ids)."""
-        if len(self.known) > REMEMBERED:
+        if self.used > REMEMBERED:
             self.forget()
-        known, numbers, count, special = self.known, [], [], {}
+        #: ranks of units that aren't remembered; special tokens count as ranks behind those of the vocabulary
+        self.once: list[list[int]] = []
+        known, numbers, count, first_special = self.known, [], [], len(self.vocabulary.ids)
         for text in texts:
             n = 0
             for part in self.cut.split(text or "") if self.cut else [text or ""]:
                 if part in self.vocabulary.special:
-                    special[sum(map(len, numbers))] = self.vocabulary.special[part]
-                    number = np.array([known[""]], dtype=np.int64)
+                    self.once.append([first_special + self.vocabulary.special[part]])
+                    number = np.array([-len(self.once)])
                 else:
                     number = np.fromiter(map(known.__getitem__, _UNIT.findall(part)), dtype=np.int64)
                 numbers.append(number)
                 n += len(number)
             count.append(n)
         number = np.concatenate([*numbers, np.zeros(0, dtype=np.int64)])
-        begin, flat = np.array(self.begin, dtype=np.int64), np.array(self.flat, dtype=np.int64)
-        if special:  # an own place behind the remembered tokens, below with the id itself
-            flat = np.concatenate([flat, len(self.vocabulary.ids) + np.array(list(special.values()))])
-        lengths = np.diff(begin)[number]
-        starts = begin[:-1][number]
-        for i, at in enumerate(special):
-            starts[at], lengths[at] = len(self.flat) + i, 1
+        # views; units encoded once lie behind the remembered ones, and their numbers count from the end
+        flat, begin = np.frombuffer(self.flat, dtype=np.int32), np.frombuffer(self.begin, dtype=np.int64)
+        if self.once:
+            sizes = np.array([len(x) for x in self.once])
+            flat = np.concatenate([flat, np.array([r for x in self.once for r in x], dtype=np.int32)])
+            begin = np.concatenate([begin, begin[-1] + np.cumsum(sizes)])
+            number = np.where(number < 0, len(self.begin) - 2 - number, number)
+        starts = begin[number]
+        lengths = begin[number + 1] - starts
         total = np.concatenate([[0], np.cumsum(lengths)])
         ranks = flat[np.repeat(starts - total[:-1], lengths) + np.arange(total[-1])]
-        ids = np.where(ranks < len(self.vocabulary.ids), self.vocabulary.ids[np.minimum(ranks, len(self.vocabulary.ids) - 1)], ranks - len(self.vocabulary.ids)).astype(np.int32)
+        ids = np.where(ranks < first_special, self.vocabulary.ids[np.minimum(ranks, first_special - 1)], ranks - first_special).astype(np.int32)
+        del flat, begin, self.once  # the arrays can grow again
         return ids, total[np.cumsum(count)] if count else total[:0]
 
 
 class _Units(dict):
-    """Number of each unit seen; the tokens of unit i are flat[begin[i]:begin[i+1]]."""
+    """Number of each unit seen; the tokens of unit i are flat[begin[i]:begin[i+1]].
+
+    Units that are long, or come when the memory is full, are encoded for this call only and numbered -1, -2, ...
+    """
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
 
     def __missing__(self, unit: str) -> int:
-        e, number = self.encoder, len(self.encoder.begin) - 1
-        e.flat.extend(e.unit(unit))
+        e, ranks = self.encoder, self.encoder.unit(unit)
+        if len(unit) > LONGEST or e.used > REMEMBERED:
+            e.once.append(ranks)
+            return -len(e.once)
+        e.flat.extend(ranks)
         e.begin.append(len(e.flat))
-        if len(unit) <= LONGEST:
-            self[unit] = number
+        e.used += OVERHEAD + 4 * (len(unit) + len(ranks))
+        self[unit] = number = len(e.begin) - 2
         return number
 
 
@@ -227,6 +243,41 @@ def read_tokenizer(path: str) -> str:
         return f.read()
 
 
+#: A white-space run of so many characters is too long for the other encoder, which goes back over it.
+_LONG_SPACE = re.compile(f"[{_WS}]{{10000}}")
+
+
+class FastEncoder:
+    """Ids of one text by the tiktoken library on the same vocabulary; texts that it can't take go to Encoder."""
+
+    def __init__(self, spec: str):
+        self.vocabulary = v = Vocabulary(spec)
+        self.spec = spec
+        self.library = tiktoken.Encoding("of-vocabulary", pat_str=PATTERN, mergeable_ranks=dict(zip(v.tokens, v.ids.tolist(), strict=True)), special_tokens=v.special)
+
+    def encode(self, text: str) -> np.ndarray:
+        """All ids, special tokens included."""
+        if len(text) >= 10_000 and _LONG_SPACE.search(text):
+            return encoder_of(self.spec).encode([text])[0].astype(np.uint32)
+        return self.library.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        """The ids of a text whose special tokens count as plain text."""
+        if len(text) >= 10_000 and _LONG_SPACE.search(text):
+            e = encoder_of(self.spec)
+            return [int(e.vocabulary.ids[r]) for u in _UNIT.findall(text) for r in e.unit(u)]
+        return self.library.encode_ordinary(text)
+
+
+@functools.lru_cache(2)
+def fast_encoder_of(spec: str) -> FastEncoder:
+    return FastEncoder(spec)
+
+
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: (id, ids array<int>). Null texts are empty: no ids. Other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
@@ -234,10 +285,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def apply(batches):
         encoder = encoder_of(shared.value)
         for batch in batches:
-            for part in pieces(batch, text_col):
-                ids, ends = encoder.encode(part.column(text_col).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([part.column(id_col), lists], [id_col, "ids"])
+            for part in pieces(batch, text_col, AT_ONCE):
+                yield pa.RecordBatch.from_arrays([part.column(id_col), _lists(*encoder.encode(part.column(text_col).to_pylist()))], [id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(apply, f"`{id_col}` {kind}, ids array<int>")
@@ -250,14 +299,27 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
     def apply(batches):
         decoder = decoder_of(shared.value)
         for batch in batches:
-            column = batch.column(ids_col)
-            ids = np.clip(column.flatten().to_numpy(zero_copy_only=False), -1, len(decoder.size) - 1).astype(np.int64)
-            sizes = np.array([n or 0 for n in pa.compute.list_value_length(column).to_pylist()], dtype=np.int64)
-            for lo in range(0, batch.num_rows, 1000):
-                part, before = batch.slice(lo, 1000), int(sizes[:lo].sum())
-                ends = np.cumsum(sizes[lo : lo + 1000])
-                texts = decoder.decode(ids[before : before + int(ends[-1])], ends)
-                yield pa.RecordBatch.from_arrays([part.column(id_col), part.column(ids_col), pa.array(texts, pa.string())], [id_col, "ids", "text"])
+            sizes = pc.fill_null(pc.list_value_length(batch.column(ids_col)), 0).to_numpy(zero_copy_only=False)
+            for part in slices(batch, 4 * sizes, AT_ONCE):
+                column = part.column(ids_col)
+                ids = np.clip(column.flatten().to_numpy(zero_copy_only=False), -1, len(decoder.size) - 1).astype(np.int64)
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([part.column(id_col), column, pa.array(decoder.decode(ids, ends), pa.string())], [id_col, "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(id_col, ids_col).mapInArrow(apply, f"`{id_col}` {kind}, ids array<int>, text string")
+
+
+def encode_and_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one Python stage: (id, ids, text), the text being what the ids decode to."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
+
+    def apply(batches):
+        encoder, decoder = encoder_of(shared.value), decoder_of(shared.value)
+        for batch in batches:
+            for part in pieces(batch, text_col, AT_ONCE):
+                ids, ends = encoder.encode(part.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(id_col), _lists(ids, ends), pa.array(decoder.decode(ids, ends), pa.string())], [id_col, "ids", "text"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(apply, f"`{id_col}` {kind}, ids array<int>, text string")

@@ -11,16 +11,13 @@ shuffled, a task holds one group, and each group wastes next to nothing.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pallium.llm.bpe import PATTERN, Vocabulary, read_tokenizer
+from pallium.llm.bpe import fast_encoder_of, read_tokenizer
 from pallium.llm.words import pieces
 
 PIECES = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -120,12 +117,6 @@ def _powers_of_two(pieces_: list[tuple[int, int, int]]) -> list[list[tuple[int,
     return out
 
 
-@functools.lru_cache(2)
-def _fast_encoder(spec: str) -> tiktoken.Encoding:
-    v = Vocabulary(spec)
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=dict(zip(v.tokens, v.ids.tolist(), strict=True)), special_tokens=v.special)
-
-
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, group_tokens: int = 4_000_000, gap: int = 32) -> DataFrame:
     """One row per piece: (id, start, length, doc_tokens, sequence_id, offset, ids).
 
@@ -138,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer))
 
     def apply(batches):
-        encoder, number = _fast_encoder(shared.value), TaskContext.get().partitionId() << 36
+        encoder, number = fast_encoder_of(shared.value), TaskContext.get().partitionId() << 36
         held_ids, held = [], []
 
         def packed():
@@ -163,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             id_type = batch.schema.field(id_col).type
             for part in pieces(batch, text_col):
                 for i, text in zip(part.column(id_col).to_pylist(), part.column(text_col).to_pylist(), strict=True):
-                    ids = encoder.encode_to_numpy(text or "", allowed_special="all", disallowed_special=())
+                    ids = encoder.encode(text or "")
                     held_ids.append(i)
                     held.append(np.append(ids, end_id).astype("<u4"))
                     total += len(held[-1])

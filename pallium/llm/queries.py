@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pallium.llm.ann import search
-from pallium.llm.bpe import decode, encode
+from pallium.llm.bpe import encode_and_decode
 from pallium.llm.html_text import extract
 from pallium.llm.line_dedup import ORACLE as LINE_DEDUP_ORACLE
 from pallium.llm.line_dedup import line_dedup
@@ -48,7 +48,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decode(encode(_table(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER)
+    out = encode_and_decode(_table(spark, sf_dir, "documents"), TOKENIZER)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

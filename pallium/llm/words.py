@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -48,9 +49,8 @@ def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(b"\n".join([*values, b""]), dtype=np.uint8), offsets
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
-    """Slices of a batch with at most about `most` bytes of text each; a longer text gets its own slice."""
-    sizes = np.array([len(x) if x is not None else 0 for x in batch.column(column).cast(pa.binary()).to_pylist()], dtype=np.int64)
+def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int):
+    """Slices of a batch whose rows' sizes add up to at most `most` each; a larger row gets its own slice."""
     begin, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > begin and total + n > most:
@@ -61,6 +61,11 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         yield batch.slice(begin)
 
 
+def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+    """Slices of a batch with at most about `most` bytes of text each; a longer text gets its own slice."""
+    return slices(batch, pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), most)
+
+
 class Words:
     """Words of a batch of texts: byte spans [start, end) and the range [first[i], first[i+1]) of text i."""
 
