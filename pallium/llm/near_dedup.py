@@ -250,5 +250,5 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     both = led.union(links(_candidates(dealt, distance, False).union(_prefix_pairs(crowd, shingle, similarity)).distinct()))
     groups = connected_components(both, "a", "b")
     component = first.join(groups, first.least == groups.node, "left").select("same", "n", F.coalesce("component", "least").alias("component_id"))
-    found = join_by_hot_key(copies, component, "same", "id", "n").select(F.col("id").alias(id_col), "component_id")
+    found = join_by_hot_key(copies, component, "same", "n").select(F.col("id").alias(id_col), "component_id")
     return found.unionByName(rows.filter("id is null").select(F.col("id").alias(id_col), F.lit(None).cast("long").alias("component_id")))

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "pallium-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -35,18 +37,20 @@ def text_megabytes(docs: DataFrame, column: str = "text") -> float:
     return (row["n"] or 0) / 1e6
 
 
-def join_by_hot_key(left: DataFrame, right: DataFrame, key: str, spread: str, weight: str, hot_share: float = 1e-3) -> DataFrame:
+def join_by_hot_key(left: DataFrame, right: DataFrame, key: str, weight: str, total: int | None = None, hot_share: float = 1e-3) -> DataFrame:
     """left join of `left` with `right` (unique by `key`), where few keys may hold most left rows.
 
-    `right[weight]` says how many left rows have the key. Keys with over `hot_share` of them number at
-    most 1 / hot_share, so their right rows are broadcast; the left rows of these keys are spread by the
-    hash of `spread` in the shuffle join of all others. `weight` isn't returned.
+    `right[weight]` says how many left rows have the key, `total` how many there are (counted if not given). Keys
+    with over `hot_share` of them number at most 1 / hot_share: that is the proven size of what is broadcast. Their
+    left rows stay where they are, all others are joined by a shuffle. `left` is read twice, so it should be stored.
+    `weight` isn't returned.
     """
-    total = right.agg(F.sum(weight).alias("n")).first()["n"] or 0
-    values = [c for c in right.columns if c not in (key, weight)]
-    hot = right.filter(F.col(weight) > max(hot_share * total, 100)).select(F.col(key), *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot"))
-    out = left.join(F.broadcast(hot), key, "left")
-    out = out.withColumn("_salt", F.when(F.col("_hot"), F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
-    cold = right.select(key, F.lit(0).cast("long").alias("_salt"), *values)
-    out = out.join(cold, [key, "_salt"], "left")
-    return out.select(*left.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in values])
+    if total is None:
+        total = right.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    least = max(hot_share * total, 100)
+    hot = right.filter(F.col(weight) > least).drop(weight)
+    cold = right.filter(F.col(weight) <= least).drop(weight)
+    spread = left.join(F.broadcast(hot), key)
+    dealt = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    columns = [*left.columns, *[c for c in right.columns if c not in (key, weight)]]
+    return spread.select(*columns).unionByName(dealt.select(*columns))

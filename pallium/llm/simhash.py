@@ -115,4 +115,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = fps.join(groups, fps.fp == groups.node, "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("fp", "n", "component_id")
-    return join_by_hot_key(marked, named, "fp", id_col, "n")
+    return join_by_hot_key(marked, named, "fp", "n")
