@@ -1,14 +1,15 @@
-"""Line dedup by prefix doubling over sequences of line ids, in DataFrame expressions only.
-
-A document is the sequence of its lines that hold a word. Line ids are ranks of the distinct lines in the
-order of their hashes; doubling gives the suffixes ranks by their first 2, 4, ... lines, and a last step with
-two overlapping halves ranks them by their first m lines for any m. Suffixes of equal rank form an interval
-of the suffix array with a longest common prefix of at least m lines. In each interval, the suffix that comes
-first (by document id, then line) is the original; the m lines of every other one go. Overlapping and adjacent
-such stretches together are the later copies of the maximal repeated runs.
-
-Only suffixes whose rank is shared go into the next round, so work shrinks with every doubling. Ranks are
-given to distinct keys, counted before they are sorted; a line that a third of all documents hold is one key.
+"""Line dedup by a suffix array over sequences of line ids, in DataFrame expressions only.
+
+A document is the sequence of its lines that hold a word. Lines that occur once end every repeat, so the suffixes
+are those that begin with a repeated line, and each reaches to the end of its stretch of repeated lines. Prefix
+doubling ranks them by their first 1, 2, 4, ... lines, until no rank is divided any more. Then ranks are classes of
+equal stretches in the order of the suffix array. The longest common prefix of two neighbouring classes follows from
+the ranks of all levels, the longest first. Neighbours with a prefix of at least m lines form an interval, which is a
+repeated run; in each interval, the suffix that comes first (by document, then line) is the original, and the m
+lines of all others go. Overlapping and adjacent such stretches together are the later copies of the maximal runs.
+
+Ranks are given to distinct keys, counted before they are sorted, and joined by join_by_hot_key: a line or run that a
+third of all documents hold is one key.
 """
 
 from __future__ import annotations
@@ -20,54 +21,108 @@ from pyspark.sql import functions as F
 from pallium.llm.session import join_by_hot_key, stored
 
 WORD = r"[^\x20\x09-\x0D]"
+#: Neighbouring classes that one task numbers.
+CHUNK = 1 << 16
 
 
-def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """`rows` with `rank`, the order of their keys, where two or more rows share the keys; other rows go.
-
-    Sorting distinct shared keys by range and numbering them as they lie needs no single task.
-    """
-    shared = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    order = stored(shared.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()).select(F.struct(*keys).alias("key"), "rank", "n"), "ranks")
-    keyed = rows.withColumn("key", F.struct(*keys))
-    return stored(join_by_hot_key(keyed, order, "key", "at", "n").filter("rank is not null").select("at", "line", "rank"), "suffixes")
-
-
-def _shifted(suffixes: DataFrame, by: int) -> DataFrame:
-    """Each suffix with the rank of the suffix `by` lines later in its document; those without one go."""
-    return suffixes.select("at", "line", F.col("rank").alias("head")).join(suffixes.select("at", (F.col("line") - by).alias("line"), F.col("rank").alias("tail")), ["at", "line"])
+def document_lines(docs: DataFrame) -> DataFrame:
+    """(at, line, place, words, id) of `docs` (at, text): place counts all lines of the text, line those with a word."""
+    split = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("place"), x.alias("text")))
+    held = docs.select("at", F.posexplode(F.filter(split, lambda x: x["text"].rlike(WORD))).alias("line", "l"))
+    # two hashes make ids of distinct lines distinct; the second one's seed is the text in front
+    id_ = F.struct(F.xxhash64("l.text").alias("a"), F.xxhash64(F.lit("line"), "l.text").alias("b"))
+    return held.select("at", "line", "l.place", F.regexp_count("l.text", F.lit(WORD + "+")).alias("words"), id_.alias("id"))
 
 
-def suffix_ranks(lines: DataFrame, length: int) -> DataFrame:
-    """(at, line, rank) of suffixes that share their first `length` lines with another; `lines` has at, line, id.
+def _ranked(rows: DataFrame, keys: list[str], least: int = 1) -> tuple[DataFrame, int]:
+    """(`rows` with `rank` instead of the keys, number of ranks): rank is the order of the keys. Rows whose keys fewer than `least` rows share go.
 
-    `at` numbers documents, `line` the lines of each from 0. Equal ranks mean equal first lines, and ranks
-    follow the order of the line ids (hashes), then that of the next lines, and so on.
+    Sorting distinct keys by range and numbering them as they lie needs no single task. `rows` are stored.
     """
-    ranks, reach = _ranked(lines, ["id"]), 1
-    while reach < length:
-        step = min(reach, length - reach)
-        ranks, reach = _ranked(_shifted(ranks, step), ["head", "tail"]), reach + step
-    return ranks
-
+    shared = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    order = stored(shared.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()).select(F.struct(*keys).alias("key"), "rank", "n"), "ranks")
+    found = order.agg(F.count(F.lit(1)).alias("ranks"), F.sum("n").alias("n")).first()
+    keyed = rows.withColumn("key", F.struct(*keys)).drop(*keys)
+    return join_by_hot_key(keyed, order, "key", "n", found["n"] or 0).filter("rank is not null").drop("key"), found["ranks"]
 
-def document_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(at, line, place, words, id): place counts all lines of the text, line those with a word."""
-    every = docs.select(F.col(id_col).alias("at"), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)).alias("place", "text"))
-    held = every.filter(F.col("text").rlike(WORD))
-    # two hashes make ids of distinct lines distinct; the second one's seed is the text in front
-    named = held.select("at", "place", F.regexp_count("text", F.lit(WORD + "+")).alias("words"), F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("line"), "text").alias("b")).alias("id"))
-    return named.withColumn("line", F.row_number().over(W.partitionBy("at").orderBy("place")) - 1)
 
+def suffix_levels(lines: DataFrame) -> list[DataFrame]:
+    """Level k: (at, line, words, first, reach, rank) of all suffixes that begin with a repeated line, by their first 2^k lines.
 
-def repeated_lines(lines: DataFrame, min_lines: int = 2, alone_words: int = 8) -> DataFrame:
+    `lines` (stored) has at, line, words and id. `first` is the rank of the first line, `reach` the number of lines
+    up to the next line that occurs once. Suffixes of equal rank share min(2^k, reach) lines. Ranks of the last
+    level are those of whole suffixes.
+    """
+    shared, ranks = _ranked(lines.select("at", "line", "words", "id"), ["id"], 2)
+    by_line = W.partitionBy("at").orderBy("line")
+    islands = stored(shared, "repeated-lines").withColumn("island", F.col("line") - F.row_number().over(by_line))
+    reach = F.max("line").over(W.partitionBy("at", "island")) - F.col("line") + 1
+    levels, step = [stored(islands.select("at", "line", "words", F.col("rank").alias("first"), reach.alias("reach"), "rank"), "level")], 1
+    most = levels[0].agg(F.max("reach").alias("n")).first()["n"] or 0
+    while step < most:
+        last = levels[-1]
+        tails = last.select("at", (F.col("line") - step).alias("line"), F.col("rank").alias("tail"))
+        both = last.withColumnRenamed("rank", "head").join(tails, ["at", "line"], "left").withColumn("tail", F.when(F.col("reach") > step, F.col("tail")).otherwise(-1))
+        divided, more = _ranked(stored(both, "pairs-of-ranks"), ["head", "tail"])
+        if more == ranks:
+            break
+        levels.append(stored(divided, "level"))
+        ranks, step = more, 2 * step
+    return levels
+
+
+def _dense(classes: DataFrame) -> DataFrame:
+    """`classes` with `i`, the place of their ranks in order: 0, 1, ... Ranks are numbers of monotonically_increasing_id."""
+    part, at = F.shiftrightunsigned("rank", 33), F.col("rank").bitwiseAND(F.lit((1 << 33) - 1))
+    # a row for each of the sort's partitions
+    sizes = classes.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    begin = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
+    return classes.withColumn("part", part).join(F.broadcast(begin), "part").withColumn("i", F.col("begin") + at).drop("part", "begin")
+
+
+def suffix_classes(levels: list[DataFrame]) -> DataFrame:
+    """(rank, i, n, reach, first, origin, common): the suffix array by classes of equal suffixes.
+
+    `i` is a class' place in the array, `n` its number of suffixes, `origin` the first of them (at, line), and
+    `common` the longest common prefix with the class before, in lines.
+    """
+    classes = levels[-1].groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.first("reach").alias("reach"), F.first("first").alias("first"), F.min(F.struct("at", "line")).alias("origin"))
+    classes = stored(_dense(classes), "classes")
+    before = classes.select((F.col("i") + 1).alias("i"), F.col("origin").alias("other"), F.col("first").alias("other_first"))
+    pairs = classes.join(before, "i").filter("first = other_first").select("i", F.col("origin.at").alias("a"), F.col("origin.line").alias("p"), F.col("other.at").alias("b"), F.col("other.line").alias("q"), F.lit(0).alias("common"))
+    for k in reversed(range(len(levels))):
+        x = levels[k].select(F.col("at").alias("a"), (F.col("line")).alias("x"), F.col("rank").alias("rx"), F.least("reach", F.lit(1 << k)).alias("more"))
+        y = levels[k].select(F.col("at").alias("b"), (F.col("line")).alias("y"), F.col("rank").alias("ry"))
+        met = pairs.withColumns({"x": F.col("p") + F.col("common"), "y": F.col("q") + F.col("common")}).join(x, ["a", "x"], "left").join(y, ["b", "y"], "left")
+        pairs = met.withColumn("common", F.col("common") + F.when(F.col("rx") == F.col("ry"), F.col("more")).otherwise(0)).select(*pairs.columns)
+    return stored(classes.join(pairs.select("i", "common"), "i", "left").fillna({"common": 0}), "suffix-array")
+
+
+def _intervals(classes: DataFrame, length: int) -> DataFrame:
+    """(rank, n, original): for each class of at least `length` lines, the first suffix of its interval."""
+    chunk = F.floor(F.col("i") / CHUNK)
+    inside = W.partitionBy("chunk").orderBy("i")
+    counted = classes.filter(F.col("reach") >= length).withColumn("chunk", chunk).withColumn("interval", F.sum((F.col("common") < length).cast("long")).over(inside))
+    ends = counted.groupBy("chunk").agg(F.max("interval").alias("n")).select("chunk", F.coalesce(F.sum("n").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = stored(counted.join(ends, "chunk").select("rank", "n", "origin", (F.col("before") + F.col("interval")).alias("interval")), "intervals")
+    originals = placed.groupBy("interval").agg(F.min("origin").alias("original"), F.count(F.lit(1)).alias("classes"))
+    return join_by_hot_key(placed, originals, "interval", "classes").select("rank", "n", "original")
+
+
+def repeated_runs(levels: list[DataFrame], classes: DataFrame) -> DataFrame:
+    """(at, line, length) of the longest repeated run that begins at each suffix: that of the longer of its two common
+    prefixes, or all of it if there is an equal one. A run that begins within a longer one isn't left out."""
+    behind = classes.select((F.col("i") - 1).alias("i"), F.col("common").alias("next"))
+    longest = classes.join(behind, "i", "left").select("rank", "n", F.greatest("common", F.coalesce("next", F.lit(0)), F.when(F.col("n") > 1, F.col("reach")).otherwise(0)).alias("length"))
+    return join_by_hot_key(levels[-1].select("at", "line", "rank"), longest, "rank", "n").select("at", "line", "length")
+
+
+def repeated_lines(levels: list[DataFrame], classes: DataFrame, min_lines: int = 2, alone_words: int = 8) -> DataFrame:
     """(at, line) of all lines in later copies of runs of `min_lines` lines, or of one line of `alone_words` words."""
-    runs, gone = [(1, alone_words), (min_lines, 0)] if min_lines > 1 else [(1, 0)], None
-    for length, words in runs:
-        source = lines.filter(F.col("words") >= words) if words else lines
-        ranks = suffix_ranks(source.select("at", "line", "id"), length)
-        first = ranks.groupBy("rank").agg(F.min(F.struct("at", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
-        later = join_by_hot_key(ranks, first, "rank", "at", "n").filter(F.struct("at", "line") > F.col("first"))
+    gone = None
+    for length, words in dict.fromkeys([(1, alone_words if min_lines > 1 else 0), (min_lines, 0)]):
+        rows = levels[-1].filter((F.col("reach") >= length) & (F.col("words") >= words)).select("at", "line", "rank")
+        later = join_by_hot_key(rows, _intervals(classes, length), "rank", "n").filter(F.struct("at", "line") > F.col("original"))
         later = later.select("at", F.explode(F.sequence("line", F.col("line") + (length - 1))).alias("line"))
         gone = later if gone is None else gone.union(later)
     return gone.distinct()
@@ -82,32 +137,45 @@ def _kept_runs(places: Column) -> Column:
     )
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` (doc, text) with `at`, which differs for all rows and follows the order of doc: doc itself, if that does."""
+    if docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc is null").isEmpty():
+        return docs.withColumn("at", F.col("doc"))
+    return stored(docs.orderBy("doc", F.xxhash64("text"), F.rand(3)).withColumn("at", F.monotonically_increasing_id()), "numbered-documents")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, alone_words: int = 8) -> DataFrame:
-    """One row per row of `docs`: (id, n_lines, n_removed, kept_text).
+    """One row per row of `docs`: (id, n_lines, n_removed, longest_run, kept_text).
 
     Lines end at a line feed and compare byte by byte. A line goes if it lies in a later copy of a repeated
     run of at least `min_lines` lines with a word, or is itself a later copy of a line of `alone_words` words
-    or more. Lines without a word belong to no run and stay. Copies are ordered by (id, line). n_lines
-    counts all lines. Null texts are empty: one line, nothing removed. Rows with equal ids count as one
-    document; rows with a null id keep all their lines. An empty table gives an empty result; other columns are ignored.
+    or more. Lines without a word belong to no run and stay. Copies are ordered by (id, line), null ids first. n_lines
+    counts all lines; longest_run is the length of the longest run in the document, in lines with a word, that occurs
+    elsewhere or again, wherever it is the original too. Null texts are empty: one line, nothing removed. Rows with
+    equal or null ids are documents of their own, in the order of their texts' hashes. An empty table gives an empty
+    result; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    lines = stored(document_lines(docs.filter("doc is not null"), "doc", "text"), "lines")
-    gone = repeated_lines(lines, min_lines, alone_words)
-    places = lines.select("at", "line", "place").join(gone, ["at", "line"]).groupBy("at").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    joined = docs.join(places, F.col("doc") == F.col("at"), "left")
-    split = F.split("text", "\n", -1)
+    docs = _numbered(docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
+    lines = stored(document_lines(docs), "lines")
+    levels = suffix_levels(lines)
+    classes = suffix_classes(levels)
+    gone = lines.select("at", "line", "place").join(repeated_lines(levels, classes, min_lines, alone_words), ["at", "line"])
+    runs = repeated_runs(levels, classes).select("at", F.lit(None).cast("int").alias("place"), "length")
+    found = gone.select("at", "place", F.lit(0).alias("length")).union(runs).groupBy("at").agg(F.array_sort(F.collect_set("place")).alias("places"), F.max("length").alias("longest"))
+    joined = docs.join(found, "at", "left")
+    split, places = F.split("text", "\n", -1), F.coalesce(F.col("places"), F.array().cast("array<int>"))
     kept = F.transform(F.array(split), lambda x: F.array_join(F.flatten(F.transform(_kept_runs(F.col("places")), lambda r: F.slice(x, r["from"], r["length"]))), "\n"))[0]
     return joined.select(
         F.col("doc").alias(id_col),
         F.size(split).cast("long").alias("n_lines"),
-        F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("places").isNull(), F.col("text")).otherwise(kept).alias("kept_text"),
+        F.size(places).cast("long").alias("n_removed"),
+        F.coalesce("longest", F.lit(0)).cast("long").alias("longest_run"),
+        F.when(F.size(places) == 0, F.col("text")).otherwise(kept).alias("kept_text"),
     )
 
 
 ORACLE = """
-WITH every AS (
+WITH RECURSIVE every AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents
 ), lines AS (
   SELECT doc_id, place, t, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS line
@@ -121,12 +189,22 @@ WITH every AS (
 ), gone AS (
   SELECT doc_id, line FROM later WHERE alone OR paired
   UNION SELECT doc_id, line + 1 FROM later WHERE paired
+), hashed AS (
+  SELECT doc_id, line, md5(t) AS h FROM lines
+), runs AS (
+  SELECT doc_id, line, 1 AS n, h FROM (SELECT *, count(*) OVER (PARTITION BY h) AS c FROM hashed) WHERE c > 1
+  UNION ALL
+  SELECT doc_id, line, n, h FROM (
+    SELECT r.doc_id, r.line, r.n + 1 AS n, md5(concat(r.h, l.h)) AS h, count(*) OVER (PARTITION BY md5(concat(r.h, l.h))) AS c
+    FROM runs r JOIN hashed l ON l.doc_id = r.doc_id AND l.line = r.line + r.n) WHERE c > 1
+), longest AS (
+  SELECT doc_id, max(n) AS longest FROM runs GROUP BY doc_id
 ), marked AS (
   SELECT e.doc_id, e.place, e.t, g.line IS NOT NULL AS removed
   FROM every e LEFT JOIN lines l ON e.doc_id = l.doc_id AND e.place = l.place
   LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line
 )
-SELECT doc_id, count(*) AS n_lines, count_if(removed)::BIGINT AS n_removed,
+SELECT m.doc_id, count(*) AS n_lines, count_if(removed)::BIGINT AS n_removed, coalesce(any_value(longest), 0)::BIGINT AS longest_run,
   sha256(coalesce(string_agg(t, chr(10) ORDER BY place) FILTER (WHERE NOT removed), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked m LEFT JOIN longest g ON m.doc_id = g.doc_id GROUP BY m.doc_id
 """

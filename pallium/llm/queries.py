@@ -59,7 +59,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", "longest_run", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
