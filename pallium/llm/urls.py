@@ -1,6 +1,10 @@
 """URL filters: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 Everything is DataFrame expressions and Spark ML's tree learner; no Python runs on executors.
+
+A suffix is one to three last labels of a host, never the whole host, and its statistic is the rate of bad labels
+among hosts of the other fold: hosts are dealt into two folds, so neither a row's label nor its host's ever enters
+its own features, in training as in scoring. The trees thus learn what carries over to hosts that no label knows.
 """
 
 from __future__ import annotations
@@ -81,9 +85,14 @@ SUFFIXES = (1, 2, 3)
 FEATURES = ["length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "host_digit_ratio", "entropy", "parameters", "has_fragment", "is_https", *[f"suffix_{k}" for k in SUFFIXES]]
 
 
-def _suffix(host: Column, k: int) -> Column:
-    """The last k labels of the host."""
-    return F.substring_index(host, ".", -k)
+def _suffixes(host: Column, fold: Column) -> Column:
+    """Structs (k, key): the last k labels of a host that has more than k, with a fold in front."""
+    listed = [F.when(F.regexp_count(host, F.lit(r"[.]")) >= k, F.struct(F.lit(k).alias("k"), F.concat_ws("|", fold.cast("string"), F.substring_index(host, ".", -k)).alias("key"))) for k in SUFFIXES]
+    return F.filter(F.array(*listed), lambda s: s.isNotNull())
+
+
+def _fold(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host, F.lit("fold")), F.lit(2))
 
 
 def features(urls: DataFrame) -> DataFrame:
@@ -91,53 +100,47 @@ def features(urls: DataFrame) -> DataFrame:
     return urls.select("*", *[c.cast("double").alias(n) for n, c in lexical_features(F.col("url"), F.col("host"), F.col("path")).items()])
 
 
-def _with_suffix_rates(rows: DataFrame, rates: DataFrame | None, prior: float, spread: str) -> DataFrame:
-    for k in SUFFIXES:
-        name = f"suffix_{k}"
-        if rates is None:
-            rows = rows.withColumn(name, F.lit(prior))
-            continue
-        weights = rows.groupBy(_suffix(F.col("host"), k).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-        known = weights.join(rates.filter(F.col("k") == k).select("key", F.col("rate").alias(name)), "key")
-        rows = join_by_hot_key(rows.withColumn("key", _suffix(F.col("host"), k)), known, "key", spread, "n").drop("key").fillna({name: prior})
-    return rows
+def _with_suffix_rates(rows: DataFrame, rates: DataFrame, prior: float) -> DataFrame:
+    """`rows` with suffix_1, ...: rates are joined to the distinct hosts' suffixes, and these to the rows."""
+    hosts = stored(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
+    listed = stored(hosts.select("host", F.explode(_suffixes(F.col("host"), _fold(F.col("host")))).alias("s")).select("host", "s.k", "s.key"), "suffixes")
+    weights = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rated = join_by_hot_key(listed, weights.join(rates, "key"), "key", "n")
+    by_host = rated.groupBy("host").agg(*[F.max(F.when(F.col("k") == k, F.col("rate"))).alias(f"suffix_{k}") for k in SUFFIXES])
+    return join_by_hot_key(rows, hosts.join(by_host, "host", "left"), "host", "n").fillna(prior, [f"suffix_{k}" for k in SUFFIXES])
 
 
 class UrlModel:
-    """Suffix rates from one half of the labelled urls, trees from the other half."""
+    """Rates of bad labels by suffix and fold, and trees."""
 
     def __init__(self, rates: DataFrame | None, prior: float, trees: Model | None):
         self.rates, self.prior, self.trees = rates, prior, trees
 
-    def scored(self, rows: DataFrame, spread: str) -> DataFrame:
-        """`rows` (from features()) with `score`, the probability of being bad; without trees it is null."""
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """`rows` (from features(), stored) with `score`, the probability of being bad; without trees it is null."""
         if self.trees is None:
             return rows.withColumn("score", F.lit(None).cast("double"))
-        full = _with_suffix_rates(rows, self.rates, self.prior, spread)
+        full = _with_suffix_rates(rows, self.rates, self.prior)
         out = self.trees.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(full))
         return out.withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
 
 
-def fit(rows: DataFrame, label: Column, spread: str, most_rows: int = LABELLED_ROWS, iterations: int = 20, depth: int = 4) -> UrlModel:
+def fit(rows: DataFrame, label: Column, most_rows: int = LABELLED_ROWS, iterations: int = 20, depth: int = 4) -> UrlModel:
     """Fit on `rows` (from features()); label: 1 bad, 0 good, null unlabelled.
 
     If there are more labelled rows than `most_rows`, a sample by hash of about that size is used for the
-    trees; suffix rates count all labelled rows of their half. With labels of one kind only, or none, there
-    are no trees.
+    trees; suffix rates count all labelled rows. With labels of one kind only, or none, there are no trees.
     """
-    known = rows.withColumn("label", label.cast("double")).filter("label is not null").withColumn("half", F.pmod(F.xxhash64("url", F.lit("half")), F.lit(2)))
-    known = stored(known, "labelled-urls")
-    total = known.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate"), F.count_if((F.col("half") == 1) & (F.col("label") == 1)).alias("bad"), F.count_if((F.col("half") == 1) & (F.col("label") == 0)).alias("good")).first()
-    if not total["bad"] or not total["good"]:
+    known = stored(rows.withColumn("label", label.cast("double")).filter("label is not null"), "labelled-urls")
+    total = known.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("rate")).first()
+    if not total["rate"] or total["rate"] == 1:
         return UrlModel(None, total["rate"] or 0.0, None)
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _suffix(F.col("host"), k).alias("key")) for k in SUFFIXES])).alias("s")
-    rates = known.filter("half = 0").select("label", keys).groupBy("s.k", "s.key").agg(((F.sum("label") + PRIOR_ROWS * total["rate"]) / (F.count(F.lit(1)) + PRIOR_ROWS)).alias("rate"))
-    rates = stored(rates, "suffix-rates")
-    half = known.filter("half = 1")
-    share = most_rows / (total["bad"] + total["good"])
-    if share < 1:
-        half = half.filter(F.pmod(F.xxhash64("url", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
-    train = stored(_with_suffix_rates(half, rates, total["rate"], spread), "training-urls")
+    # a host looks up the rates under its own fold, so they are counted under the other one
+    keys = F.explode(_suffixes(F.col("host"), 1 - _fold(F.col("host")))).alias("s")
+    rates = known.select("label", keys).groupBy("s.key").agg(((F.sum("label") + PRIOR_ROWS * total["rate"]) / (F.count(F.lit(1)) + PRIOR_ROWS)).alias("rate"))
+    rates, share = stored(rates, "suffix-rates"), most_rows / total["n"]
+    some = known.filter(F.pmod(F.xxhash64("url", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
+    train = stored(_with_suffix_rates(some, rates, total["rate"]), "training-urls")
     trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=iterations, maxDepth=depth, seed=7, maxBins=32)
     return UrlModel(rates, total["rate"], trees.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(train)))
 
@@ -152,14 +155,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "p
 
     verdict: that of the longest rule that fits, else block if the trees' score is at least `threshold`, else
     allow. `labels` is an expression over url, host and path (1 bad, 0 good, null none); by default
-    seed_labels(host). Null urls and urls without :// have an empty host and path, no rule, and are judged by
+    seed_labels(host), an assumption that stands in for labelled urls where there are none. Null urls and urls without :// have an empty host and path, no rule, and are judged by
     the trees. Without trees (an empty table, or labels of one kind) the verdict is allow. Other columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     host, path = host_and_path(F.col("url"))
     rows = stored(features(rows.withColumns({"host": host, "path": path})), "url-features")
-    model = fit(rows, seed_labels(F.col("host")) if labels is None else labels, "url")
+    model = fit(rows, seed_labels(F.col("host")) if labels is None else labels)
     rule = matching_rule(F.col("host"), F.col("path"), rules)
-    out = model.scored(rows, "url").withColumn("r", rule)
+    out = model.scored(rows).withColumn("r", rule)
     verdict = F.coalesce("r.verdict", F.when(F.col("score") >= threshold, "block"), F.lit("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "score")
