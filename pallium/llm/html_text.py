@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from itertools import groupby
 
 import pyarrow as pa
@@ -29,9 +30,9 @@ _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "select", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"html", "head", "body", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "button", "label"}
-#: What a start tag closes if it is open nearer than a tag of the second set.
-CLOSES = {t: ({"p"}, {"button", "td", "th", "table"}) for t in BLOCK - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "button", "label", "legend", "summary"}}
-CLOSES |= {"li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Innermost open blocks that a start tag closes.
+CLOSES = {t: {"p"} for t in BLOCK - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "button", "label", "legend", "summary"}}
+CLOSES |= {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Tags that hold text within a container and are no containers themselves.
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "figure", "figcaption", "address", "details", "summary"}
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "head", "dialog", "menu", "button", "fieldset", "header"}
@@ -64,6 +65,8 @@ def blocks(page: str) -> list[tuple[int, int, bool, str, int]]:
     # open elements: tag, path, container, boilerplate depth, article depth, link depth
     root = ("", 0, 0, False, False, False)
     stack, out, held, linked, at = [root], [], [], 0, 0
+    # where the open block elements lie in the stack, how many there are of each tag, and of each inline tag since the last one
+    blocks_at, open_blocks, open_inline = [0], Counter(), [Counter()]
 
     def close_block():
         nonlocal linked
@@ -83,9 +86,16 @@ def blocks(page: str) -> list[tuple[int, int, bool, str, int]]:
                 linked += len(text)
 
     def pop_to(depth: int):
-        if any(e[0] in BLOCK for e in stack[depth:]):
+        if blocks_at[-1] >= depth:
             close_block()
-        del stack[depth:]
+        while len(stack) > depth:
+            tag = stack.pop()[0]
+            if tag in BLOCK:
+                blocks_at.pop()
+                open_inline.pop()
+                open_blocks[tag] -= 1
+            else:
+                open_inline[-1][tag] -= 1
 
     while (m := _TOKEN.search(page, at)) is not None:
         read_text(page[at : m.start()])
@@ -94,12 +104,12 @@ def blocks(page: str) -> list[tuple[int, int, bool, str, int]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if tag not in BLOCK and stack[depth][0] in BLOCK:
-                    break
+            # an inline element ends within its block only; without an open one nothing is searched
+            if (open_blocks if tag in BLOCK else open_inline[-1])[tag]:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                pop_to(depth)
             continue
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
@@ -112,20 +122,19 @@ def blocks(page: str) -> list[tuple[int, int, bool, str, int]]:
             elif tag == "br":
                 held.append(" ")
             continue
-        if tag in CLOSES:
-            shut, bound = CLOSES[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in bound or stack[depth][0] in BLOCK - shut:
-                    break
-                if stack[depth][0] in shut:
-                    pop_to(depth)
-                    break
+        if stack[blocks_at[-1]][0] in CLOSES.get(tag, ()):
+            pop_to(blocks_at[-1])
         if tag in BLOCK:
             close_block()
         _, path, container, out_of_it, article, link = stack[-1]
         if tag in BLOCK:
             path = paths.setdefault((path, tag), len(paths) + 1)
             container = container if tag in LEAVES or (tag == "header" and article) else path
+            blocks_at.append(len(stack))
+            open_inline.append(Counter())
+            open_blocks[tag] += 1
+        else:
+            open_inline[-1][tag] += 1
         stack.append((tag, path, container, out_of_it or _boilerplate(tag, m[3], article), article or tag in ("article", "main"), link or tag == "a"))
     read_text(page[at:])
     close_block()

@@ -132,10 +132,6 @@ def allowed_rejections(n: int, p: float, delta: float) -> int:
     return low
 
 
-#: Stands for all strata that have too few good labelled rows to prove anything alone.
-OTHERS = None
-
-
 def _choose(counts: dict[str, int], limit: int) -> dict[str, float]:
     """Per rule, the allowed cutoff that rejects most bad rows, if it rejects over twice the share of the good."""
     good, bad, chosen = max(counts["n_1"], 1), max(counts["n_0"], 1), {}
@@ -146,12 +142,12 @@ def _choose(counts: dict[str, int], limit: int) -> dict[str, float]:
     return chosen
 
 
-def fit_cutoffs(signals: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", alpha: float = 0.05, delta: float = 0.05, most_strata: int = 1000) -> dict[str | None, dict[str, float]]:
+def fit_cutoffs(signals: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", alpha: float = 0.05, delta: float = 0.05) -> dict[str, dict[str, float]]:
     """{stratum: {rule: cutoff}} from all labelled rows; rows that fail the base rules take no part.
 
     Labels: 1 good, 0 bad; null labels are ignored, and repeated ids count once, as good if any label says so.
-    The driver holds a row of counts for each of the `most_strata` strata with most good rows. Strata that are
-    too small to prove any cutoff, and all beyond these, form one stratum together, OTHERS.
+    A stratum that has too few good labels to prove any cutoff has none. Such a proof takes a number of good labels
+    that is known beforehand, so the driver holds a row of counts for each of at most (labels / that number) strata.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_good"))
     rows = signals.filter(~F.col("base_failed")).join(known, id_col)
@@ -159,27 +155,23 @@ def fit_cutoffs(signals: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     for rule, cuts in CUTOFFS.items():
         counts += [F.count_if((F.col("_good") == g) & (F.col(rule) > c)).alias(f"{rule}_{i}_{g}") for i, c in enumerate(cuts) for g in (0, 1)]
     by_stratum = stored(rows.groupBy("stratum").agg(*counts), "labelled-counts")
-    strata = [r.asDict() for r in by_stratum.orderBy(F.desc("n_1"), "stratum").limit(most_strata).collect()]
-    rest = by_stratum.drop("stratum").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in by_stratum.columns if c != "stratum"]).first().asDict()
-    share = delta / ((len(strata) + 1) * sum(map(len, CUTOFFS.values())))
-    out = {}
-    for s in strata:
+    # all strata share delta, whether they can prove anything or not
+    share = delta / (max(by_stratum.count(), 1) * sum(map(len, CUTOFFS.values())))
+    least, out = math.log(share) / math.log1p(-alpha / len(CUTOFFS)), {}
+    for s in by_stratum.filter(F.col("n_1") >= least).toLocalIterator():
         limit = allowed_rejections(s["n_1"], alpha / len(CUTOFFS), share)
         if limit >= 0:
-            out[s["stratum"]] = _choose(s, limit)
-            rest = {k: n - s[k] for k, n in rest.items()}
-    return out | {OTHERS: _choose(rest, allowed_rejections(rest["n_1"], alpha / len(CUTOFFS), share))}
+            out[s["stratum"]] = _choose(s.asDict(), limit)
+    return out
 
 
-def apply_cutoffs(signals: DataFrame, cutoffs: dict[str | None, dict[str, float]]) -> DataFrame:
+def apply_cutoffs(signals: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:
     """`signals` with `failed_rules` (array of strings) and `kept`: no base failure and no failed rule."""
-    own, failed = [s for s in cutoffs if s is not OTHERS], []
+    failed = []
     for rule in CUTOFFS:
         cut = F.lit(None).cast("double")
-        for values in sorted({c[rule] for s, c in cutoffs.items() if s is not OTHERS and rule in c}):
-            cut = F.when(F.col("stratum").isin([s for s in own if cutoffs[s].get(rule) == values]), F.lit(values)).otherwise(cut)
-        if rule in cutoffs.get(OTHERS, {}):
-            cut = F.when(F.col("stratum").isin(own), cut).otherwise(F.lit(cutoffs[OTHERS][rule])) if own else F.lit(cutoffs[OTHERS][rule])
+        for value in sorted({c[rule] for c in cutoffs.values() if rule in c}):
+            cut = F.when(F.col("stratum").isin([s for s, c in cutoffs.items() if c.get(rule) == value]), F.lit(value)).otherwise(cut)
         failed.append(F.when(F.col(rule) > cut, F.lit(rule)))
     out = signals.withColumn("failed_rules", F.filter(F.array(*failed), lambda x: x.isNotNull()))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
@@ -189,7 +181,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """One row per row of `docs`: id, the base columns, base_failed, failed_rules and kept.
 
     Signals are computed once for all texts and written; cutoffs come from the labelled rows among them.
-    An empty label table leaves the base rules alone. An empty `docs` gives an empty result.
+    Strata with too few labels to prove anything, and all if there are no labels, have the base rules alone. An empty `docs` gives an empty result.
     """
     signals = stored(text_signals(docs, id_col, text_col, strata), "signals")
     judged = apply_cutoffs(signals, fit_cutoffs(signals, labels, id_col, "quality", alpha, delta))

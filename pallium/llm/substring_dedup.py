@@ -6,7 +6,7 @@ repeat of `window` words has an indexed block on one side and the equal probe on
 words lies near a hit. Hits are then extended: the `window`-word sequences around them are compared by
 their own 64-bit hash and bucket, and overlapping equal ones together form the maximal exact repeats.
 
-Documents are dealt into chunks of a few MB by the hash of their id. A chunk sends each key once to each
+Documents are dealt into chunks of a few MB by the hash of their id and text. A chunk sends each key once to each
 bucket, packed, however often the passage occurs in it, so a passage found in a third of all documents
 costs a bucket one key a chunk. Answers go back as bits or word positions. The number of chunks and of
 buckets grows with the input; no pair of documents is ever made.
@@ -199,8 +199,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text keeps its own white space except behind removed words.
 
     A null text counts as empty: no words, kept text ''. Texts shorter than the window lose nothing. Equal
-    rows are copies of each other. Null ids are allowed. An empty table gives an empty result; other
-    columns are ignored. Ids should differ for most rows, as chunks are dealt by their hash.
+    rows are copies of each other. Rows with equal or null ids are documents of their own. An empty table gives an
+    empty result; other columns are ignored. Chunks are dealt by the hash of id and text.
     """
     spark = docs.sparkSession
     mb = text_megabytes(docs, text_col)
@@ -210,7 +210,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # about a key of 4 bytes for every 6 bytes of text
     buckets = max(8, math.ceil(mb * 4 / 6 / BUCKET_MB))
     id_field = docs.schema[id_col]
-    dealt = docs.select(F.pmod(F.xxhash64(id_col), F.lit(chunks)).cast("int").alias("chunk"), id_col, F.col(text_col).cast("string").alias(text_col)).repartition(parts, "chunk")
+    dealt = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int").alias("chunk"), id_col, F.col(text_col).cast("string").alias(text_col)).repartition(parts, "chunk")
     hits = dealt.groupBy("chunk").applyInArrow(_anchors(id_col, text_col, block, buckets), _PACKED).groupBy("bucket").applyInArrow(_answer_hits, "chunk int, bucket int, hits binary")
     by_chunk = dealt.groupBy("chunk")
     wide = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(_extend(id_col, text_col, window, block, buckets, buckets), _WIDE)
