@@ -4,7 +4,8 @@ Every rule rejects a text whose signal exceeds a cutoff. Cutoffs are chosen on l
 stratum and rule, the candidates are tested on the stratum's good rows, and a cutoff is allowed only if the
 exact binomial (Clopper-Pearson) upper bound of its false rejection rate is at most `alpha / rules`. So all
 rules together reject at most `alpha` of the good texts of a stratum. The confidence `1 - delta` is shared by
-all tests of all strata (Bonferroni). Of the allowed cutoffs the one that rejects most labelled bad rows is
+all rules of all strata (Bonferroni); the cutoffs of one rule are tested from the laxest on until one fails, and as
+a stricter one rejects whatever a laxer one does, that sequence needs no further share. Of the allowed cutoffs the one that rejects most labelled bad rows is
 taken, provided it rejects more of the bad than of the good; without one, the rule is off in that stratum.
 """
 
@@ -155,8 +156,8 @@ def fit_cutoffs(signals: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
     for rule, cuts in CUTOFFS.items():
         counts += [F.count_if((F.col("_good") == g) & (F.col(rule) > c)).alias(f"{rule}_{i}_{g}") for i, c in enumerate(cuts) for g in (0, 1)]
     by_stratum = stored(rows.groupBy("stratum").agg(*counts), "labelled-counts")
-    # all strata share delta, whether they can prove anything or not
-    share = delta / (max(by_stratum.count(), 1) * sum(map(len, CUTOFFS.values())))
+    # all strata and rules share delta, whether they can prove anything or not
+    share = delta / (max(by_stratum.count(), 1) * len(CUTOFFS))
     least, out = math.log(share) / math.log1p(-alpha / len(CUTOFFS)), {}
     for s in by_stratum.filter(F.col("n_1") >= least).toLocalIterator():
         limit = allowed_rejections(s["n_1"], alpha / len(CUTOFFS), share)

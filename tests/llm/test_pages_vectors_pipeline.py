@@ -1,14 +1,23 @@
 """URL filters, page text, nearest neighbours, and the pipeline."""
 
 import inspect
+import os
+import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from pallium.llm.ann import PROBES, TABLES, QueryBlock, exact_search, search
+from pallium.llm import html_text as H
 from pallium.llm.html_text import extract, main_text
-from pallium.llm.urls import filter_urls
+from pallium.llm.queries import op2_url_filters, op9_nearest_neighbours
+from pallium.llm.urls import BAD_HOST_WORDS, filter_urls
+
+SF = "/root/testdata/sf0.001"
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 URLS = [
@@ -35,6 +44,132 @@ def test_url_model_on_held_out_labels(spark):
     assert out.filter((F.col("verdict") == "block") == (F.col("bad") == 1)).count() >= 0.95 * out.count()
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_registered_url_query(spark):
+    """Verdicts without a rule follow the assumed labels of hosts, those of one fold judged by rates of the other."""
+    got = op2_url_filters(spark, SF).collect()
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert len(got) == len(pages)
+    free = [r for r in got if r.rule is None]
+    bad = [bool(set(re.split("[.-]", r.host)) & set(BAD_HOST_WORDS)) for r in free]
+    assert sum((r.verdict == "block") == b for r, b in zip(free, bad)) >= 0.97 * len(free)
+    assert {r.verdict for r in got if r.rule} <= {"block", "allow"}
+
+
+def test_urls_of_hosts_without_labels(spark):
+    """Hosts that no label knows, told by their looks."""
+    rng = np.random.default_rng(8)
+    rows = [(i, f"http://{'x-' * 3 + 'deal' if b else 'site'}{rng.integers(0, 60)}.example.com/{i}", int(b)) for i, b in enumerate(rng.random(900) < 0.4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    new = F.pmod(F.xxhash64("host", F.lit("held out")), F.lit(3)) == 0
+    out = filter_urls(df, [], labels=F.when(~new, F.col("url").contains("deal").cast("int"))).filter(new).join(df, "page_id")
+    assert out.count() > 100 and out.filter((F.col("verdict") == "block") == (F.col("bad") == 1)).count() >= 0.95 * out.count()
+
+
+class _PlainBlocks(HTMLParser):
+    """Blocks of well-formed pages by the standard library's parser, as blocks() gives them."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.text, self.linked, self.out, self.raw = [("", (), (), False, False, False)], "", 0, [], 0
+
+    def flush(self):
+        text = " ".join(self.text.split())
+        if text and not self.stack[-1][3]:
+            self.out.append((self.stack[-1][1], self.stack[-1][2], self.stack[-1][4], text, self.linked))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in H.RAW:
+            self.raw += 1
+        elif tag in H.VOID:
+            if tag == "br":
+                self.text += " "
+            elif tag == "hr":
+                self.flush()
+        else:
+            if tag in H.BLOCK:
+                self.flush()
+            _, path, box, out, article, link = self.stack[-1]
+            names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
+            words = {w.lower() for w in re.findall("[A-Z]?[a-z]+|[A-Z]+", names)}
+            if tag in H.BLOCK:
+                path = (*path, tag)
+                box = box if tag in H.LEAVES or (tag == "header" and article) else path
+            out = out or bool(words & H.BOILERPLATE_WORDS) or (tag in H.BOILERPLATE_TAGS and not (tag == "header" and article))
+            self.stack.append((tag, path, box, out, article or tag in ("article", "main"), link or tag == "a"))
+
+    def handle_endtag(self, tag):
+        if tag in H.RAW:
+            self.raw -= 1
+        elif tag not in H.VOID:
+            if tag in H.BLOCK:
+                self.flush()
+            assert self.stack.pop()[0] == tag, "this page isn't well-formed"
+
+    def handle_data(self, data):
+        if not self.raw and not self.stack[-1][3]:
+            self.text += data
+            self.linked += len(data) if self.stack[-1][5] else 0
+
+
+def _plain_main_text(page):
+    """Tag-path ratios by plain loops over all blocks, path by path."""
+    parser = _PlainBlocks()
+    parser.feed(page)
+    parser.close()
+    parser.flush()
+    found = parser.out
+    if not found:
+        return ""
+    paths = list(dict.fromkeys(b[0] for b in found))
+    ratio = lambda size: [sum(size(b) for b in found if b[0] == p) / sum(b[0] == p for b in found) for p in paths]
+    free = lambda b: max(len(b[3]) - b[4], 0)
+    near = lambda x, i: x[max(i - 1, 0) : i + 2]
+    length, marks = ([max(v, sum(near(x, i)) / len(near(x, i))) for i, v in enumerate(x)] for x in (ratio(free), ratio(lambda b: len(H.PUNCTUATION.findall(b[3])))))
+    fused = [(1 + a / max(max(length), 1)) * (1 + b / max(max(marks), 1)) - 1 for a, b in zip(length, marks)]
+    fused = [s * (2 if any(b[2] for b in found if b[0] == p) else 1) for s, p in zip(fused, paths)]
+    content = {p for s, p in zip(fused, paths) if s >= H.PATH_SHARE * max(fused)}
+    boxes = {b[1] for b in found if b[0] in content}
+    weight = {c: sum(free(b) for b in found if b[1] == c and b[0] in content) for c in boxes}
+    inside = {c: any(b[2] for b in found if b[1] == c) for c in boxes}
+    raised = {c: w * (2 if inside[c] else 1) for c, w in weight.items()}
+    chosen = {c for c in boxes if raised[c] >= H.CONTAINER_SHARE * (max(weight.values()) if inside[c] else max(raised.values()))}
+    kept = [b for b in found if b[1] in chosen]
+    links = [2 * b[4] > len(b[3]) for b in kept]
+    alone = [all(not 0 <= j < len(kept) or kept[j][0] != b[0] or not links[j] for j in (i - 1, i + 1)) for i, b in enumerate(kept)]
+    return "\n\n".join(b[3] for b, l, a in zip(kept, links, alone) if not l or not max(weight.values(), default=0) or (a and b[0] in content))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_main_text_against_plain_loops():
+    import duckdb
+
+    rng, tried = np.random.default_rng(11), 0
+    given = [r[0] or "" for r in duckdb.sql(f"SELECT html FROM '{SF}/pages.parquet'").fetchall()]
+
+    def made():
+        words = lambda n: " ".join(rng.choice(["news", "of", "the", "day,", "ends.", "and", "so"], n))
+        part = lambda: rng.choice(["<p>{}</p>", "<div>{}</div>", "<div class=ad><p>{}</p></div>", "<ul><li><a href=x>{}</a></li></ul>", "<h2>{}</h2>", "<section><p>{}</p><p>{}</p></section>", "<article><p>{}</p></article>"])
+        return "<body>" + "".join(part().replace("{}", words(int(rng.integers(1, 60)))) for _ in range(int(rng.integers(1, 14)))) + "</body>"
+
+    for page in [*given, *[made() for _ in range(300)]]:
+        try:
+            want = _plain_main_text(page)
+        except AssertionError:
+            continue
+        tried += 1
+        assert main_text(page) == want
+    assert tried >= 300
+
+
+def test_nested_markup_takes_linear_time():
+    began = time.process_time()
+    for page in ("<b>" * 40_000 + "</i>" * 40_000, "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000, "<div>" + "<b>" * 40_000 + "<p></p>" * 40_000, "<div>" * 40_000 + "x" + "</p>" * 40_000):
+        main_text(page)
+    assert time.process_time() - began < 20
+
+
 def test_main_text():
     cases = {
         "<body><nav><ul><li>Menu</li></ul></nav><div class='ad'>Buy.</div><article><h1>T</h1><p>One &amp; two,<br>three.<p><b>Four.</article><footer>f</footer>": "T\n\nOne & two, three.\n\nFour.",
@@ -77,6 +212,16 @@ def test_nearest_neighbours(spark):
     assert search(df.limit(0), df).count() == 0 and search(df, df.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_recall_on_the_given_table(spark):
+    sf = SF.replace("0.001", "0.01")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    got = {(r.query_id, r.vec_id) for r in op9_nearest_neighbours(spark, sf).collect()}
+    want = [(q, i) for q, _, i, _ in exact_search(x, ids, ids[ids % 100 == 0], 10)]
+    assert sum(w in got for w in want) >= 0.9 * len(want) and len(got) == len(want)
+
+
 def test_small_tables_outliers_and_copies_get_all_neighbours(spark):
     rng = np.random.default_rng(5)
     frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")

@@ -16,11 +16,13 @@ from pallium.llm import line_dedup as LD
 from pallium.llm import near_dedup
 from pallium.llm import quality as Q
 from pallium.llm import simhash as S
-from pallium.llm.bpe import Encoder, decode, encode, read_tokenizer
+from pallium.llm.bpe import Encoder, decode, encode, encode_and_decode, read_tokenizer
 from pallium.llm.components import connected_components
+from pallium.llm import lm
 from pallium.llm.lm import score
 from pallium.llm.near_dedup import near_duplicate_groups
 from pallium.llm.packing import best_fit, pack
+from pallium.llm.session import join_by_hot_key
 from pallium.llm.substring_dedup import substring_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -142,11 +144,50 @@ def test_line_dedup(docs, empty, spark):
         lines[i] = (len(every), len(gone), "\n".join(x for k, x in enumerate(every) if k not in gone))
     assert {i: (r.n_lines, r.n_removed, r.kept_text) for i, r in got.items()} == lines
     assert LD.line_dedup(empty).count() == 0
-    seq = spark.createDataFrame([(0, i, (x, 0)) for i, x in enumerate([1, 2, 3, 4, 9, 1, 2, 3, 4, 5])], "at long, line int, id struct<a:long,b:long>")
-    ranks = collections.defaultdict(list)
-    for r in LD.suffix_ranks(seq, 3).collect():
-        ranks[r["rank"]].append(r.line)
-    assert sorted(map(sorted, ranks.values())) == [[0, 5], [1, 6]]
+
+
+def _lines(spark, texts):
+    return LD.document_lines(spark.createDataFrame(list(enumerate(texts)), "at long, text string")).persist()
+
+
+def test_suffix_array_and_longest_runs(spark):
+    texts = ["\n".join("abcde"[i] for i in rng.integers(0, 5, n)) for n in rng.integers(1, 30, 14)]
+    texts += [texts[0], texts[1] + "\nz1\n" + texts[2], "x\n" * 40 + "q", "", "only\nonce", "a\nu1\nb", "a\nu2\nb"]
+    levels = LD.suffix_levels(_lines(spark, texts))
+    classes = LD.suffix_classes(levels)
+    held = [[x for x in t.split("\n") if x] for t in texts]
+    suffixes = {(i, j): tuple(x[j:]) for i, x in enumerate(held) for j in range(len(x))}
+
+    def common(x, y):
+        return next((n for n, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+
+    want = {k: max(common(x, y) for q, y in suffixes.items() if q != k) for k, x in suffixes.items()}
+    got = {(r.at, r.line): r.length for r in LD.repeated_runs(levels, classes).collect()}
+    assert got == {k: n for k, n in want.items() if n}
+    rank = {(r.at, r.line): r["rank"] for r in levels[-1].collect()}
+    array = sorted(classes.collect(), key=lambda r: r.i)
+    assert [r.i for r in array] == list(range(len(array))) and [r["rank"] for r in array] == sorted(set(rank.values()))
+    for x, y in zip(array[:-1], array[1:]):
+        assert y.common == common(suffixes[tuple(x.origin)], suffixes[tuple(y.origin)])
+
+
+def test_line_dedup_of_null_and_equal_ids(spark):
+    line = "a line of eight words or even some more"
+    rows = [(None, line), (None, line + "\nb"), (1, line), (1, line), (2, "b\n" + line), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit("clash"))
+    got = LD.line_dedup(df).collect()
+    assert len(got) == 6 and sum(r.kept_text.count(line) for r in got) == 1 and sum(r.n_removed for r in got) == 4
+    assert next(r.doc_id for r in got if line in r.kept_text) is None, "null ids come first"
+    assert sorted(r.longest_run for r in got) == [0, 1, 1, 1, 1, 1]
+
+
+def test_hot_keys_are_spread(spark):
+    left = spark.createDataFrame([(7 if i % 3 else i, i) for i in range(3000)], "key long, i long")
+    right = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("twice", F.col("key") * 2)
+    out = join_by_hot_key(left, right, "key", "n", hot_share=0.05)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "LeftAnti" in plan and plan.count("strategy=broadcast") == 2
+    assert sorted((r.i, r.key, r.twice) for r in out.collect()) == [(i, 7 if i % 3 else i, 2 * (7 if i % 3 else i)) for i in range(3000)]
 
 
 def test_quality(docs, empty, spark):
@@ -192,6 +233,42 @@ def test_bpe(docs, empty):
     assert decode(encode(empty, TOKENIZER), TOKENIZER).count() == 0
 
 
+def test_bpe_memory_is_bounded(monkeypatch):
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, n)) for _ in range(3000)) for n in (80, 9, 80, 9)]
+    e = Encoder(read_tokenizer(TOKENIZER))
+    want = [x.ids for x in Tokenizer.from_file(TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+    for budget in (96 << 20, 100_000):
+        monkeypatch.setattr("pallium.llm.bpe.REMEMBERED", budget)
+        e.forget()
+        for text, ids in zip(texts, want, strict=True):
+            assert e.encode([text])[0].tolist() == ids
+            assert e.used <= budget + 1000 and len(e.begin) <= len(e.known) + 1 <= budget // 150 + 2
+    assert all(len(u) <= 64 for u in e.known)
+
+
+def test_equal_and_null_ids_are_own_documents(spark):
+    rows = [(None, "a b"), (None, "c"), (1, "d"), (1, "d"), (1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in encode_and_decode(df, TOKENIZER).collect()) == ["", "a b", "c", "d", "d"]
+    assert sorted(r.n_words for r in substring_dedup(df).collect()) == [0, 1, 1, 1, 2]
+    assert pack(df, TOKENIZER).filter("start = 0").count() == 5
+    assert sorted(r.n_tokens for r in score(df, F.lit(False), TOKENIZER).collect()) == [1, 2, 2, 2, 3]
+
+
+def test_very_long_texts(spark):
+    long_ = " " * 400_000 + "x" + "y" * 300_000 + "\u3000" * 20_000 + "z " * 100_000
+    df = spark.createDataFrame([(1, long_), (2, "short")], "doc_id long, text string")
+    want = Tokenizer.from_file(TOKENIZER).encode(long_, add_special_tokens=False).ids
+    pieces = sorted((r.start, np.frombuffer(r.ids, dtype="<u4")) for r in pack(df, TOKENIZER).filter("doc_id = 1").collect())
+    assert np.concatenate([p for _, p in pieces]).tolist() == [*want, 1]
+    row = encode_and_decode(df, TOKENIZER).filter("doc_id = 1").first()
+    assert list(row.ids) == want and row.text == long_
+    assert substring_dedup(df).filter("doc_id = 1").first().n_removed == 99_999
+    assert score(df, F.col("doc_id") == 2, TOKENIZER).filter("doc_id = 1").first().n_tokens == 100_001
+    assert Q.judge(df, spark.createDataFrame([], "doc_id long, quality int")).filter("doc_id = 1").first().n_words == 100_000
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(df).collect()} == {1: 1, 2: 2}
+
+
 def test_packing(docs, empty):
     reference = Tokenizer.from_file(TOKENIZER)
     want = {i: [*reference.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(TEXTS)}
@@ -228,6 +305,63 @@ def test_scores(docs, empty):
     assert score(empty, held, TOKENIZER).count() == 0
 
 
+def _plain_scores(scorer, counts, encode, texts):
+    """log10 probabilities, token by token and without windows' arrays."""
+    from pallium.llm import attention as net
+
+    p = {k: v.astype(np.float64) for k, v in scorer.weights.items()}
+    table = np.clip(p["embed"] @ p["qkv"], -4, 4)
+    of, share = scorer.classes.of, scorer.classes.log_share
+    out = []
+    for t in texts:
+        words = [encode(" " + w.decode()) for w in (t or "").encode().lower().split()]
+        ids = [i for w in words for i in w] + [len(of) - 1]
+        seen = [net.EDGE, *of[ids[:-1]]]
+        logs = []
+        for i, target in enumerate(of[ids]):
+            first = i - i % net.STRIDE  # of the window
+            keys = [j for j in range(first - net.CONTEXT, i + 1) if j >= 0]
+            q = table[seen[i], : net.WIDTH] / np.sqrt(net.WIDTH)
+            w = np.exp([q @ table[seen[j], net.WIDTH : 2 * net.WIDTH] + p["place"][i - first, j - first + net.CONTEXT] for j in keys])
+            mean = sum(x * table[seen[j], 2 * net.WIDTH :] for x, j in zip(w, keys)) / w.sum()
+            x = np.tanh(mean @ p["mix"] + p["embed"][seen[i]])
+            group = x @ p["group"] + scorer.bigram.group[seen[i]]
+            inner = x @ p["inner"][target // net.SIZE] + scorer.bigram.inner[target // net.SIZE][seen[i]]
+            logs.append(group[target // net.SIZE] - np.log(np.exp(group).sum()) + inner[target % net.SIZE] - np.log(np.exp(inner).sum()) + share[ids[i]])
+        total, at, n = 0.0, 0, scorer.tokens + scorer.distinct + 1
+        for size, c in [(len(w), counts[x]) for w, x in zip(words, (t or "").encode().lower().split())] + [(1, counts[b" "])]:
+            total += np.log10(lm.MIX * np.exp(sum(logs[at : at + size])) + (1 - lm.MIX) * (c + 1) / n)
+            at += size
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("head", [200_000, 3])
+def test_scores_against_plain_loops(docs, monkeypatch, head):
+    """With few words at hand, all others meet their counts in the join, and scores stay the same."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    held = F.col("doc_id") % 5 == 2
+    kept = {}
+    real = lm.learn
+    monkeypatch.setattr(lm, "learn", lambda *a: kept.setdefault("out", real(*a)))
+    got = {r.doc_id: r for r in score(docs, held, TOKENIZER).collect()}
+    scorer = kept["out"][0]
+    words = {i: (t or "").encode().lower().split() + [b" "] for i, t in enumerate(TEXTS)}
+    counts = collections.Counter(x for i, w in words.items() if i % 5 != 2 for x in w)
+    encoder = lm.fast_encoder_of(read_tokenizer(TOKENIZER))
+    want = _plain_scores(scorer, counts, encoder.encode_ordinary, TEXTS)
+    for i, w in enumerate(want):
+        assert got[i].score == pytest.approx(w, rel=2e-4)
+        assert got[i].n_known == sum(x in counts for x in words[i])
+        assert got[i].base_score == pytest.approx(sum(np.log10((counts[x] + 1) / (sum(counts.values()) + len(counts) + 1)) for x in words[i]))
+
+
+def test_every_training_text_trains_once(docs, monkeypatch):
+    rows = docs.select(F.col("doc_id").alias("row"))
+    first = F.pmod(F.xxhash64("row", F.lit("round")), F.lit(lm.FIRST_ROUND)) == 0
+    assert rows.filter(first).count() + rows.filter(~first).count() == rows.count()
+
+
 def test_attention_gradients_and_mass():
     from pallium.llm import attention as net
 
@@ -248,6 +382,40 @@ def test_attention_gradients_and_mass():
         assert (loss(up) - loss(down)) / 2e-4 == pytest.approx(g[k][at], rel=2e-2)
 
 
+def test_kept_against_a_plain_choice_of_cutoffs(spark):
+    n = 3000
+    rows = [(i, "en" if i % 4 else "de", i % 97 == 0, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.beta(1, 40, n), rng.beta(1, 9, n)))]
+    good = {r[0]: int(r[3] < 0.04 or rng.random() < 0.2) for r in rows if r[0] % 10}
+    rest = [F.lit(0.0).alias(c) for c in Q.CUTOFFS if c not in ("symbol_ratio", "upper_ratio")]
+    signals = spark.createDataFrame(rows, "doc_id long, stratum string, base_failed boolean, symbol_ratio double, upper_ratio double").select("*", *rest)
+    cutoffs = Q.fit_cutoffs(signals, spark.createDataFrame(list(good.items()), "doc_id long, quality int"))
+    kept = {r.doc_id: r.kept for r in Q.apply_cutoffs(signals, cutoffs).collect()}
+
+    def bound_holds(k, m, p, share):  # exact tail by whole numbers' binomials
+        from math import comb
+
+        return m > 0 and sum(comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(k + 1)) <= share
+
+    plain = {r[0]: not r[2] for r in rows}
+    for stratum in ("en", "de"):
+        mine = [r for r in rows if r[1] == stratum]
+        known = [(r, good[r[0]]) for r in mine if r[0] in good and not r[2]]
+        for at, rule in ((3, "symbol_ratio"), (4, "upper_ratio")):
+            ok = [r for r, g in known if g]
+            bad = [r for r, g in known if not g]
+            allowed = []
+            for c in sorted(Q.CUTOFFS[rule], reverse=True):
+                a, b = sum(r[at] > c for r in ok), sum(r[at] > c for r in bad)
+                if not bound_holds(a, len(ok), 0.05 / len(Q.CUTOFFS), 0.05 / (2 * len(Q.CUTOFFS))):
+                    break
+                if b * len(ok) > 2 * a * len(bad):
+                    allowed.append((b, -a, c))
+            if allowed:
+                for r in mine:
+                    plain[r[0]] &= r[at] <= max(allowed)[2]
+    assert kept == plain and cutoffs.get("de") is None and cutoffs["en"]
+
+
 def test_sha_of_kept_text(spark, docs):
     row = substring_dedup(docs).filter("doc_id = 4").select(F.sha2(F.encode("kept_text", "utf-8"), 256).alias("s")).first()
     assert row.s == hashlib.sha256(b"two words").hexdigest()
