@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -109,7 +110,15 @@ GENESIS = "GENESIS"
 
 
 def _quoted(text: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    """A JSON string in ASCII: quotes, backslashes, control characters and all beyond ASCII are escaped, by UTF-16 units."""
+    short = F.create_map(*[F.lit(x) for pair in {"0022": '\\"', "005C": "\\\\", "0008": "\\b", "0009": "\\t", "000A": "\\n", "000C": "\\f", "000D": "\\r"}.items() for x in pair])
+
+    def unit(u: Column) -> Column:
+        plain = F.when(u.between("0020", "007E"), F.char(F.conv(u, 16, 10).cast("int")))
+        return F.coalesce(F.element_at(short, u), plain, F.concat(F.lit("\\u"), F.lower(u)))
+
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    return F.concat(F.lit('"'), F.when(text.rlike(r'[^ !#-\[\]-~]'), F.array_join(F.transform(units, unit), "")).otherwise(text), F.lit('"'))
 
 
 def canonical_entry(data: Column, event: Column, prev_hash: Column, sequence: Column, timestamp: Column) -> Column:
@@ -117,12 +126,19 @@ def canonical_entry(data: Column, event: Column, prev_hash: Column, sequence: Co
     return F.concat(F.lit('{"data": '), data, F.lit(', "event": '), _quoted(event), F.lit(', "prev_hash": '), _quoted(prev_hash), F.lit(', "sequence": '), sequence.cast("string"), F.lit(', "timestamp": '), _quoted(timestamp), F.lit("}"))
 
 
-def _canonical(data: str | None, event: str | None, prev_hash: str | None, sequence: int, timestamp: str | None) -> str | None:
+def _canonical(data: str, event: str | None, prev_hash: str | None, sequence: int, timestamp: str | None) -> str | None:
     """canonical_entry of plain values."""
     if data is None or event is None or prev_hash is None or timestamp is None:
         return None
-    quoted = ['"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"' for x in (event, prev_hash, timestamp)]
-    return f'{{"data": {data}, "event": {quoted[0]}, "prev_hash": {quoted[1]}, "sequence": {sequence}, "timestamp": {quoted[2]}}}'
+    return f'{{"data": {data}, "event": {json.dumps(event)}, "prev_hash": {json.dumps(prev_hash)}, "sequence": {sequence}, "timestamp": {json.dumps(timestamp)}}}'
+
+
+def _canonical_json(data: str | None) -> str | None:
+    """The same JSON with sorted keys, in ASCII. What isn't JSON becomes a JSON string."""
+    try:
+        return None if data is None else json.dumps(json.loads(data), sort_keys=True)
+    except ValueError:
+        return json.dumps(data)
 
 
 def build_chain(entries: DataFrame, chain_col: str = "chain_id", order_col: str = "ts") -> DataFrame:
@@ -130,7 +146,7 @@ def build_chain(entries: DataFrame, chain_col: str = "chain_id", order_col: str
 
     Each hash needs the one before: rows of a chain are streamed through one task, sorted by Spark, which holds
     the last hash only. Logs are cut into chains (a day, a writer) by `chain_col` to work side by side. Ties of
-    the order are settled by the entry's own fields.
+    the order are settled by the entry's own fields. `data` is put into canonical form.
     """
     kind = entries.schema[chain_col].dataType.simpleString()
     names = ["sequence", "timestamp", "event", "data", "prev_hash", "entry_hash"]
@@ -138,17 +154,19 @@ def build_chain(entries: DataFrame, chain_col: str = "chain_id", order_col: str
     def chained(batches):
         last, n, prev = object(), 0, GENESIS
         for batch in batches:
-            numbers, before, hashes = [], [], []
+            numbers, before, hashes, written = [], [], [], []
             for chain, timestamp, event, data in zip(*[batch.column(c).to_pylist() for c in (chain_col, "timestamp", "event", "data")], strict=True):
                 if chain != last:
                     last, n, prev = chain, 0, GENESIS
+                data = _canonical_json(data)
+                written.append(data)
                 entry = _canonical(data, event, prev, n, timestamp)
                 numbers.append(n)
                 before.append(prev)
                 prev = None if entry is None else hashlib.sha256(entry.encode()).hexdigest()
                 hashes.append(prev)
                 n += 1
-            fields = [pa.array(numbers, pa.int32()), *[batch.column(c) for c in ("timestamp", "event", "data")], pa.array(before, pa.string()), pa.array(hashes, pa.string())]
+            fields = [pa.array(numbers, pa.int32()), *[batch.column(c) for c in ("timestamp", "event")], pa.array(written, pa.string()), pa.array(before, pa.string()), pa.array(hashes, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(chain_col), *fields], [chain_col, *names])
 
     rows = entries.select(chain_col, F.col(order_col).alias("_order"), "timestamp", "event", "data")
@@ -184,8 +202,9 @@ def verify_chain(lines: DataFrame, chain_col: str = "chain_id", pos_col: str = "
 def rate_decisions(calls: DataFrame, key: str = "client", ts: str = "ts", limit: int = 60, window_s: float = 60.0, id_col: str = "event_id") -> DataFrame:
     """(key, id, ts, allowed, remaining): a call is allowed if fewer than `limit` allowed ones lie in (ts - window, ts].
 
-    `ts` is in seconds. Each key is one fold over its calls in time order, which holds at most `limit` times:
-    rows of a key are streamed through, sorted by Spark, so a busy key needs no more memory.
+    `ts` is in seconds. A pause of a window or more forgets all calls before it, so each stretch of calls between
+    pauses is one fold in time order, which holds at most `limit` times. Rows are streamed through, sorted by
+    Spark: a busy key's stretches go to many tasks, and a long one needs no more memory.
     """
     schema = f"`{key}` {calls.schema[key].dataType.simpleString()}, `{id_col}` {calls.schema[id_col].dataType.simpleString()}, `{ts}` double, allowed boolean, remaining int"
 
@@ -193,7 +212,7 @@ def rate_decisions(calls: DataFrame, key: str = "client", ts: str = "ts", limit:
         last, held = object(), []
         for pdf in batches:
             out = []
-            for k, i, t in pdf.itertuples(index=False):
+            for *k, i, t in pdf.itertuples(index=False):
                 if k != last:
                     last, held = k, []
                 held = [h for h in held if h > t - window_s]
@@ -201,10 +220,13 @@ def rate_decisions(calls: DataFrame, key: str = "client", ts: str = "ts", limit:
                 if ok:
                     held.append(t)
                 out.append((ok, limit - len(held) if ok else 0))
-            yield pdf.assign(allowed=[o[0] for o in out], remaining=[o[1] for o in out])
+            yield pdf.drop(columns="_stretch").assign(allowed=[o[0] for o in out], remaining=[o[1] for o in out])
 
-    rows = calls.select(key, id_col, F.col(ts).cast("double").alias(ts))
-    return rows.repartition(key).sortWithinPartitions(key, ts, id_col).mapInPandas(decide, schema)
+    in_time = W.partitionBy(key).orderBy(ts, id_col)
+    paused = F.coalesce((F.lag(ts).over(in_time) <= F.col(ts) - window_s).cast("long"), F.lit(0))
+    rows = calls.select(key, id_col, F.col(ts).cast("double").alias(ts)).withColumn("_paused", paused)
+    rows = rows.select(key, F.sum("_paused").over(in_time).alias("_stretch"), id_col, ts)
+    return rows.repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", ts, id_col).mapInPandas(decide, schema)
 
 
 def session_activity(events: DataFrame, session_col: str = "session_id", ts: str = "ts", ttl: str = "3600 seconds") -> DataFrame:

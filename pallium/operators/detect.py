@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import logging
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,12 @@ def all_spans(text: Column, recognizers: list[Recognizer], threshold: float = P.
     return [above_threshold(r.recognize(text, rank), threshold) for rank, r in ranked(recognizers)]
 
 
+@functools.lru_cache(512)
+def _recognized(application: str, text_col: str, recognizer: Recognizer, rank: int, threshold: float) -> Column:
+    """The spans' expression. Building one takes hundreds of calls to the JVM, so an application keeps it."""
+    return above_threshold(recognizer.recognize(F.coalesce(F.col(text_col), F.lit("")), rank), threshold)
+
+
 def detect(df: DataFrame, text_col: str = "text", locales: list[str] = P.LOCALES, threshold: float = P.CONFIDENCE, extra: list[Recognizer] = (), python: list[PythonRecognizer] = ()) -> DataFrame:
     """`df` with `spans`, the resolved spans of its text; null texts have none.
 
@@ -47,14 +55,14 @@ def detect(df: DataFrame, text_col: str = "text", locales: list[str] = P.LOCALES
     """
     for name in sorted(set(locales) - set(P.LOCALES)):
         log.warning("no recognizers for locale %s", name)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text, application = F.coalesce(F.col(text_col), F.lit("")), SparkContext.getOrCreate().applicationId
     chosen = [*select_recognizers(locales, extra), *python]
     parts, run = {}, {}
     for rank, r in ranked(chosen):
         if isinstance(r, PythonRecognizer):
             run[f"_python_{rank}"] = (r, r.apply(text, rank))
         else:
-            parts[f"_spans_{rank}"] = above_threshold(r.recognize(text, rank), threshold)
+            parts[f"_spans_{rank}"] = _recognized(application, text_col, r, rank, threshold)
     found = df.withColumns(parts | {n: c for n, (_, c) in run.items()}) if parts or run else df
     arrays = [F.col(n) for n in parts] + [above_threshold(fold_overlaps(F.col(f"{n}.spans")), threshold) for n in run]
     out = found.withColumn("spans", resolve_overlaps(boost_locale(F.concat(*arrays) if arrays else F.array().cast(EMPTY))))
@@ -64,6 +72,15 @@ def detect(df: DataFrame, text_col: str = "text", locales: list[str] = P.LOCALES
     return out.drop(*parts, *run)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as the session has cores: a table of few files or row groups would be detected by few tasks.
+
+    Texts are small beside the work on them. Larger tables have more partitions anyway, and stay as they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def detections(df: DataFrame, keys: list[str], spans_col: str = "spans") -> DataFrame:
     """Long form: a row per span with keys, entity_type, start, end, score, text, locale.
 

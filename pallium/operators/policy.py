@@ -17,12 +17,21 @@ POLICIES = f"name string, description string, default_action string, rules {RULE
 BINDINGS = "api_key string, role string, policy string"
 
 
+def parse_policies(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
+    """(policies, bindings) of a JSON document with `policies` and `role_bindings`."""
+    return _read(spark.createDataFrame([(text,)], "value string"))
+
+
 def load_policies(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(policies, bindings) of a JSON file with `policies` and `role_bindings`."""
+    """parse_policies of a file in any store that Spark reads."""
+    return _read(spark.read.text(path, wholetext=True))
+
+
+def _read(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = f"policies array<struct<name:string,description:string,default_action:string,rules:{RULES}>>, role_bindings array<struct<api_key:string,role:string,policy:string>>"
-    raw = spark.read.schema(schema).json(path, multiLine=True)
-    policies = raw.select(F.explode("policies").alias("p")).select("p.*").withColumn("default_action", F.coalesce("default_action", F.lit("mask")))
-    return policies, raw.select(F.explode("role_bindings").alias("b")).select("b.*")
+    read = raw.select(F.from_json("value", schema).alias("d")).select("d.*")
+    policies = read.select(F.explode("policies").alias("p")).select("p.*").withColumn("default_action", F.coalesce("default_action", F.lit("mask")))
+    return policies, read.select(F.explode("role_bindings").alias("b")).select("b.*")
 
 
 def with_policy(policies: DataFrame, name: str, default_action: str = "mask", rules: list[dict] = ()) -> DataFrame:

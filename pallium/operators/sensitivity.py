@@ -25,14 +25,15 @@ def correlate(score: Column, types: Column) -> Column:
     return score
 
 
-def sensitivity(types: Column) -> Column:
-    """Struct (score in 0..1, reasons) of an array of types, one for each span."""
+def sensitivity(types: Column, threshold: float = P.SENSITIVE) -> Column:
+    """Struct (score in 0..1, reasons) of an array of types, one for each span; a score from `threshold` on is a reason."""
     distinct = F.array_distinct(types)
     n = F.size(distinct)
-    score = correlate(base_score(types), distinct) * F.when(n >= 4, 1.2).otherwise(1.0)
+    score = F.least(correlate(base_score(types), distinct) * F.when(n >= 4, 1.2).otherwise(1.0), F.lit(1.0))
     reasons = [F.when(_holds(distinct, g), F.lit(f"{' + '.join(g)}: {f}x")) for g, f in P.CORRELATED]
     reasons.append(F.when(n >= 4, F.concat(n.cast("string"), F.lit(" types: 1.2x"))))
-    return F.struct(F.least(score, F.lit(1.0)).alias("score"), F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias("reasons"))
+    reasons.append(F.when(score >= threshold, F.concat(F.lit("score "), F.format_number(score, 2), F.lit(f" >= {threshold}"))))
+    return F.struct(score.alias("score"), F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias("reasons"))
 
 
 def route(score: Column, threshold: float = P.SENSITIVE, local_available: bool = False) -> Column:

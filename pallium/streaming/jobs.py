@@ -72,21 +72,21 @@ def chunk_stream(chunks: DataFrame, tail: int = 96, timeout_ms: int = 60_000) ->
 
 
 def restore_stream(parts: DataFrame, vault: DataFrame, session_col: str = "stream_id") -> DataFrame:
-    """Parts of chunk_stream with exact tokens restored: one stateless join with the vault (token, value) for each token.
+    """Parts of chunk_stream with exact tokens restored: one stateless join with the vault (session_id, token, value) for each token.
 
-    Texts are cut into tokens and what lies between, tokens are joined, and a batch puts them together again with
-    join_parts: streams cannot be regrouped without a watermark.
+    Texts are cut into tokens and what lies between, tokens are joined within their `session_col`, and a batch puts
+    them together again with join_parts: streams cannot be regrouped without a watermark.
     """
     pieces = F.regexp_extract_all("text", F.lit(r"(?s)\{\{SG_[A-Z_]+_[a-f0-9]{6,12}\}\}|(?:(?!\{\{SG_[A-Z_]+_[a-f0-9]{6,12}\}\}).)+"), F.lit(0))
-    rows = parts.filter("text is not null").select(session_col, "part", F.posexplode(pieces).alias("pos", "piece"))
+    rows = parts.filter("text is not null").select(*dict.fromkeys(["stream_id", session_col]), "part", F.posexplode(pieces).alias("pos", "piece"))
     known = vault.select(F.col("session_id").alias(session_col), F.col("token").alias("piece"), "value")
-    return rows.join(known, [session_col, "piece"], "left").select(session_col, "part", "pos", F.coalesce("value", "piece").alias("text"))
+    return rows.join(known, [session_col, "piece"], "left").select("stream_id", "part", "pos", F.coalesce("value", "piece").alias("text"))
 
 
-def join_parts(pieces: DataFrame, session_col: str = "stream_id") -> DataFrame:
+def join_parts(pieces: DataFrame) -> DataFrame:
     """Batch: the whole text of each stream from restored pieces."""
     listed = F.array_sort(F.collect_list(F.struct("part", "pos", "text")))
-    return pieces.groupBy(session_col).agg(F.array_join(F.transform(listed, lambda x: x["text"]), "").alias("text"))
+    return pieces.groupBy("stream_id").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "").alias("text"))
 
 
 def restore_chunks(chunks: DataFrame, vault: DataFrame, tiers: tuple[str, ...] = ("exact",), session_col: str = "stream_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pallium.operators.detect import detect, detections
 from pallium.operators.mask import mask, normalize_type, split_failed, token
 from pallium.operators.restore import restore, round_trip
 from pallium.operators.sensitivity import sensitivity
-from pallium.operators.vault import build_vault, purge_expired, seal, token_clashes, unseal, upsert_vault
+from pallium.operators.vault import build_vault, leaks, purge_expired, read_vault, seal, token_clashes, unseal, upsert_vault, write_vault
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +103,32 @@ def test_sensitivity(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t array<string>")
     for r in df.select("i", sensitivity(F.col("t")).alias("s")).collect():
         assert r.s.score == pytest.approx(cases[r.i][1])
+
+
+def test_leaks_look_through_the_session(spark):
+    texts = [(1, "s1", "safe"), (2, "s1", "has Jean Dupont within"), (3, "s2", "has Jean Dupont within"), (4, "s1", None), (5, "s1", "only 7x"), (6, "s1", "a Jean Dupon")]
+    masked = spark.createDataFrame(texts, "id int, session_id string, masked_text string")
+    found = spark.createDataFrame([(1, "s1", "PERSON_NAME", "Jean Dupont"), (1, "s1", "CODE", "7x"), (3, "s2", "EMAIL", "a@b.com")], "id int, session_id string, entity_type string, text string")
+    assert {tuple(r) for r in leaks(masked, found, ["id"]).collect()} == {(2, "PERSON_NAME"), (5, "CODE")}
+
+
+def test_vault_and_policies_are_written_and_read(spark, vault, tmp_path):
+    write_vault(vault, str(tmp_path / "vault"))
+    assert sorted(read_vault(spark, str(tmp_path / "vault")).collect()) == sorted(vault.collect())
+    (tmp_path / "p.json").write_text('{"policies": [{"name": "x", "rules": []}],\n "role_bindings": [{"api_key": "k", "role": "r", "policy": "x"}]}')
+    policies, bindings = P.load_policies(spark, str(tmp_path / "p.json"))
+    assert policies.first().default_action == "mask" and tuple(bindings.first()) == ("k", "r", "x")
+
+
+def test_texts_and_audit_lines_are_read(spark, tmp_path):
+    from pallium.sources.audit_log import read_audit, write_audit
+    from pallium.sources.chat import read_texts
+
+    spark.createDataFrame([(1, "t", 5)], "k int, text string, other int").write.json(str(tmp_path / "t"))
+    assert read_texts(spark, str(tmp_path / "t"), ["k"], "text", "json").collect() == [(1, "t")]
+    events = spark.createDataFrame([(5.5, "E", "s", 3)], "timestamp double, event string, session_id string, entity_count long")
+    write_audit(events, str(tmp_path / "a"))
+    row = read_audit(spark, str(tmp_path / "a")).first()
+    assert (row.ts, row.event, row.session_id, row.entity_count) == (5.5, "E", "s", 3)
+    with pytest.raises(ValueError, match="text"):
+        write_audit(events.withColumn("text", F.lit("secret")), str(tmp_path / "b"))

@@ -1,5 +1,7 @@
 """A few registered queries against DuckDB on the smallest tables, and the streaming jobs against their batch twins."""
 
+import hashlib
+import json
 import os
 
 import duckdb
@@ -8,10 +10,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pallium.operators import audit as A
-from pallium.streaming.jobs import chunk_stream, live_metrics, mask_stream, rate_stream, safe_cut
+from pallium.streaming.jobs import chunk_stream, join_parts, live_metrics, mask_stream, rate_stream, restore_stream, safe_cut
 
 SF = "/root/testdata/sf0.001"
-SOME = ["recognize_person_name", "mask_notes", "vault_build", "restore_reformatted", "policy_masked_views", "sensitivity_scores", "chain_heads", "metric_active_sessions", "session_activity", "chat_request_texts"]
+SOME = ["recognize_person_name", "mask_notes", "mask_leaks", "vault_build", "vault_written_and_read", "rate_decisions", "audit_written_and_read", "detect_with_failing_recognizer", "sensitivity_reasons", "restore_reformatted", "policy_masked_views", "sensitivity_scores", "chain_heads", "metric_active_sessions", "session_activity", "chat_request_texts"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -102,3 +104,35 @@ def test_chunks_share_the_vault_of_their_session(spark):
     chunks = spark.createDataFrame([(f"n{i}", "s", k, part) for i in range(3) for k, part in enumerate([f"{i} {token[:5]}", token[5:]])], "stream_id string, session_id string, seq int, delta string")
     out = restore_chunks(chunks, kept, session_col="session_id")
     assert out.count() == 3 and set(out.columns) >= {"stream_id", "session_id", "restored_text"}
+
+
+def test_chain_hashes_are_those_of_sorted_ascii_json(spark):
+    """Accents, emojis, control characters, quotes and backslashes, in events and in data."""
+    odd = ["plain", 'a"b\\c', "é\u0301 à", "日本 🎉", "line\nfeed\ttab\r\x00\x1f\x7f\b\f", ""]
+    rows = [("c", float(i), f"t{i} é", e, json.dumps({"z": e, "a": [1, {"é": None}]}, ensure_ascii=False)) for i, e in enumerate(odd)]
+    chain = A.build_chain(spark.createDataFrame(rows, "chain_id string, ts double, timestamp string, event string, data string")).persist()
+    prev = "GENESIS"
+    for r, (_, _, at, event, data) in zip(sorted(chain.collect(), key=lambda r: r.sequence), rows, strict=True):
+        entry = {"sequence": r.sequence, "timestamp": at, "event": event, "data": json.loads(data), "prev_hash": prev}
+        prev = hashlib.sha256(json.dumps(entry, sort_keys=True).encode()).hexdigest()
+        assert r.entry_hash == prev
+    assert A.verify_chain(chain.withColumn("pos", F.col("sequence"))).first().valid, "the Column form escapes alike"
+
+
+def test_a_masked_stream_is_cut_and_restored(spark, tmp_path):
+    """chunk_stream and the streaming join with the vault, end to end."""
+    token = "{{SG_EMAIL_0123456789ab}}"
+    texts = {f"n{i}": "x" * (i * 40) + f" {token} and {token}, " + "y" * 130 for i in range(4)}
+    chunks = [(k, i, t[i * 9 : i * 9 + 9], (i + 1) * 9 >= len(t)) for k, t in texts.items() for i in range(-(-len(t) // 9))]
+    spark.createDataFrame(chunks, "stream_id string, seq long, delta string, last boolean").write.json(str(tmp_path / "in"))
+    vault = spark.createDataFrame([(k, token, f"{k}@b.c") for k in texts], "session_id string, token string, value string")
+    stream = spark.readStream.schema("stream_id string, seq long, delta string, last boolean").json(str(tmp_path / "in"))
+    pieces = _run(restore_stream(chunk_stream(stream), vault), "restored_pieces")
+    assert {r.stream_id: r.text for r in join_parts(pieces).collect()} == {k: t.replace(token, f"{k}@b.c") for k, t in texts.items()}
+
+
+def test_busy_clients_are_cut_at_pauses(spark):
+    calls = spark.createDataFrame([("a", i, float(100 * (i // 5) + i % 5)) for i in range(200)], "client string, event_id long, ts double")
+    out = A.rate_decisions(calls, limit=3, window_s=50.0)
+    assert "_stretch" in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.allowed for r in sorted(out.collect(), key=lambda r: r.event_id)] == [i % 5 < 3 for i in range(200)]
