@@ -88,13 +88,21 @@ def suffix_classes(levels: list[DataFrame]) -> DataFrame:
     """
     classes = levels[-1].groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.first("reach").alias("reach"), F.first("first").alias("first"), F.min(F.struct("at", "line")).alias("origin"))
     classes = stored(_dense(classes), "classes")
-    before = classes.select((F.col("i") + 1).alias("i"), F.col("origin").alias("other"), F.col("first").alias("other_first"))
-    pairs = classes.join(before, "i").filter("first = other_first").select("i", F.col("origin.at").alias("a"), F.col("origin.line").alias("p"), F.col("other.at").alias("b"), F.col("other.line").alias("q"), F.lit(0).alias("common"))
+    before = classes.select((F.col("i") + 1).alias("i"), F.col("origin").alias("other"), F.col("first").alias("other_first"), F.col("reach").alias("other_reach"))
+    alike = classes.join(before, "i").filter("first = other_first").select("i", F.col("origin.at").alias("a"), F.col("origin.line").alias("p"), F.col("other.at").alias("b"), F.col("other.line").alias("q"), F.least("reach", "other_reach").alias("left"), F.lit(0).alias("common"))
+    alike, pairs = stored(alike, "neighbours"), None
+    # different classes that share 2^k more lines both reach so far, so each level meets the pairs and suffixes that do
     for k in reversed(range(len(levels))):
-        x = levels[k].select(F.col("at").alias("a"), (F.col("line")).alias("x"), F.col("rank").alias("rx"), F.least("reach", F.lit(1 << k)).alias("more"))
-        y = levels[k].select(F.col("at").alias("b"), (F.col("line")).alias("y"), F.col("rank").alias("ry"))
-        met = pairs.withColumns({"x": F.col("p") + F.col("common"), "y": F.col("q") + F.col("common")}).join(x, ["a", "x"], "left").join(y, ["b", "y"], "left")
-        pairs = met.withColumn("common", F.col("common") + F.when(F.col("rx") == F.col("ry"), F.col("more")).otherwise(0)).select(*pairs.columns)
+        size = 1 << k
+        entering = alike.filter(F.col("left") >= size) if pairs is None else alike.filter((F.col("left") >= size) & (F.col("left") < 2 * size))
+        pairs = entering if pairs is None else pairs.unionByName(entering)
+        there = levels[k].filter(F.col("reach") >= size)
+        x = there.select(F.col("at").alias("a"), F.col("line").alias("x"), F.col("rank").alias("rx"))
+        y = there.select(F.col("at").alias("b"), F.col("line").alias("y"), F.col("rank").alias("ry"))
+        ready = pairs.filter(F.col("left") >= size).withColumns({"x": F.col("p") + F.col("common"), "y": F.col("q") + F.col("common")})
+        more = F.when(F.col("rx") == F.col("ry"), size).otherwise(0)
+        met = ready.join(x, ["a", "x"]).join(y, ["b", "y"]).withColumns({"left": F.col("left") - more, "common": F.col("common") + more})
+        pairs = stored(met.select(*alike.columns).union(pairs.filter(F.col("left") < size)), "common-prefixes")
     return stored(classes.join(pairs.select("i", "common"), "i", "left").fillna({"common": 0}), "suffix-array")
 
 
@@ -105,8 +113,8 @@ def _intervals(classes: DataFrame, length: int) -> DataFrame:
     counted = classes.filter(F.col("reach") >= length).withColumn("chunk", chunk).withColumn("interval", F.sum((F.col("common") < length).cast("long")).over(inside))
     ends = counted.groupBy("chunk").agg(F.max("interval").alias("n")).select("chunk", F.coalesce(F.sum("n").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     placed = stored(counted.join(ends, "chunk").select("rank", "n", "origin", (F.col("before") + F.col("interval")).alias("interval")), "intervals")
-    originals = placed.groupBy("interval").agg(F.min("origin").alias("original"), F.count(F.lit(1)).alias("classes"))
-    return join_by_hot_key(placed, originals, "interval", "classes").select("rank", "n", "original")
+    originals = stored(placed.groupBy("interval").agg(F.min("origin").alias("original"), F.count(F.lit(1)).alias("classes")), "originals")
+    return stored(join_by_hot_key(placed, originals, "interval", "classes").select("rank", "n", "original"), "originals-of-classes")
 
 
 def repeated_runs(levels: list[DataFrame], classes: DataFrame) -> DataFrame:
@@ -114,7 +122,7 @@ def repeated_runs(levels: list[DataFrame], classes: DataFrame) -> DataFrame:
     prefixes, or all of it if there is an equal one. A run that begins within a longer one isn't left out."""
     behind = classes.select((F.col("i") - 1).alias("i"), F.col("common").alias("next"))
     longest = classes.join(behind, "i", "left").select("rank", "n", F.greatest("common", F.coalesce("next", F.lit(0)), F.when(F.col("n") > 1, F.col("reach")).otherwise(0)).alias("length"))
-    return join_by_hot_key(levels[-1].select("at", "line", "rank"), longest, "rank", "n").select("at", "line", "length")
+    return join_by_hot_key(levels[-1].select("at", "line", "rank"), stored(longest, "longest-runs"), "rank", "n").select("at", "line", "length")
 
 
 def repeated_lines(levels: list[DataFrame], classes: DataFrame, min_lines: int = 2, alone_words: int = 8) -> DataFrame:
@@ -125,7 +133,7 @@ def repeated_lines(levels: list[DataFrame], classes: DataFrame, min_lines: int =
         later = join_by_hot_key(rows, _intervals(classes, length), "rank", "n").filter(F.struct("at", "line") > F.col("original"))
         later = later.select("at", F.explode(F.sequence("line", F.col("line") + (length - 1))).alias("line"))
         gone = later if gone is None else gone.union(later)
-    return gone.distinct()
+    return stored(gone.distinct(), "later-copies")
 
 
 def _kept_runs(places: Column) -> Column:
