@@ -14,6 +14,8 @@ from pallium.llm.line_dedup import line_dedup
 from pallium.llm.lm import score
 from pallium.llm.packing import pack
 from pallium.llm.quality import judge
+from pallium.llm.resampling import ORACLE as RESAMPLING_ORACLE
+from pallium.llm.resampling import resample
 from pallium.llm.simhash import near_duplicates
 from pallium.llm.substring_dedup import substring_dedup
 from pallium.llm.urls import filter_urls
@@ -80,6 +82,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +99,7 @@ QUERIES = {
         op8_quality_rules,
         op9_nearest_neighbours,
         op10_html_extraction,
+        op11_importance_resampling,
     )
 }
 
@@ -118,4 +125,5 @@ SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """,
     "op6_line_dedup": LINE_DEDUP_ORACLE,
+    "op11_importance_resampling": RESAMPLING_ORACLE,
 }

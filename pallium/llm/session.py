@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -54,3 +55,17 @@ def join_by_hot_key(left: DataFrame, right: DataFrame, key: str, weight: str, to
     dealt = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
     columns = [*left.columns, *[c for c in right.columns if c not in (key, weight)]]
     return spread.select(*columns).unionByName(dealt.select(*columns))
+
+
+def in_order(df: DataFrame, *order: Column, name: str = "sorted") -> DataFrame:
+    """`df` sorted by range and written, with `at`: a number that grows in that order, and `chunk`, its range."""
+    out = stored(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), name)
+    return out.withColumn("chunk", F.shiftrightunsigned("at", 33))
+
+
+def numbered_in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """`df` with `place`: 0, 1, 2, ... in that order. No task holds more than a range; the ranges' sizes, a row each, are summed and broadcast."""
+    rows = in_order(df, *order)
+    sizes = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    begin = sizes.select("chunk", F.coalesce(F.sum("n").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
+    return rows.join(F.broadcast(begin), "chunk").withColumn("place", F.col("begin") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("chunk", "at", "begin")
