@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from pallium.llm.ann import search
 from pallium.llm.bpe import encode_and_decode
+from pallium.llm.collocations import ORACLE as COLLOCATIONS_ORACLE
+from pallium.llm.collocations import collocations
 from pallium.llm.html_text import extract
 from pallium.llm.line_dedup import ORACLE as LINE_DEDUP_ORACLE
 from pallium.llm.line_dedup import line_dedup
@@ -86,6 +88,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,6 +106,7 @@ QUERIES = {
         op9_nearest_neighbours,
         op10_html_extraction,
         op11_importance_resampling,
+        op12_collocations,
     )
 }
 
@@ -126,4 +133,5 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """,
     "op6_line_dedup": LINE_DEDUP_ORACLE,
     "op11_importance_resampling": RESAMPLING_ORACLE,
+    "op12_collocations": COLLOCATIONS_ORACLE,
 }

@@ -76,7 +76,7 @@ def test_texts_like_the_target_are_drawn_more_often(spark):
     docs = spark.createDataFrame(list(enumerate(near + far)), "doc_id long, text string")
     target = spark.createDataFrame([(" ".join(f"near{i}" for i in rng.integers(0, 50, 400)),)], "text string")
     drawn = R.resample(docs, target).filter("rank is not null")
-    assert drawn.count() == 250 and drawn.filter("doc_id < 300").count() > 200
+    assert drawn.count() == 250 and drawn.filter("doc_id < 300").count() > 2 * 0.3 * 250, "an even draw would take three in ten"
 
 
 def test_numbers_in_order(spark):
