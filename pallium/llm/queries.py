@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pallium.llm.ann import search
+from pallium.llm.boosted_quality import classify
 from pallium.llm.bpe import encode_and_decode
 from pallium.llm.collocations import ORACLE as COLLOCATIONS_ORACLE
 from pallium.llm.collocations import collocations
@@ -92,6 +93,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -107,6 +112,7 @@ QUERIES = {
         op10_html_extraction,
         op11_importance_resampling,
         op12_collocations,
+        op13_quality_classifier,
     )
 }
 
