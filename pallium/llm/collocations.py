@@ -23,12 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pallium.llm.session import in_order, stored
-from pallium.llm.words import pieces, text_bytes
+from pallium.llm.words import mix, pieces, text_bytes
 
 #: Bits of the bitmap of frequent n-grams of an order.
 FILTER_BITS = 1 << 26
 #: Bytes of text that are counted together.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
@@ -87,25 +87,44 @@ class Block:
         return lang, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if size > 1 else parts[0]
 
 
-def _marked(bitmap: np.ndarray, lang: pa.Array, phrase: pa.Array) -> np.ndarray:
-    """Whether each phrase may be frequent."""
-    spot = np.array([xxhash.xxh64_intdigest(k.encode() + b"\t" + p, 42) & (8 * len(bitmap) - 1) for k, p in zip(lang.to_pylist(), phrase.to_pylist(), strict=True)], dtype=np.int64)
-    return (bitmap[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _word_hashes(langs: list[str], words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(k.encode() + b"\t" + w) for k, w in zip(langs, words, strict=True)], dtype=np.uint64)
+
+
+def _spots(hashes: list[np.ndarray], bits: int) -> np.ndarray:
+    """Bits of n-grams whose words have those hashes."""
+    total = np.zeros(len(hashes[0]), dtype=np.uint64)
+    for h in hashes:
+        total = mix(total * _ODD + h)
+    return (total & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _set(bitmap: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return (bitmap[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1 == 1
 
 
 def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
-    """`bits` bits (a power of two), set at the hashes of all rows; it is built by the executors, a page of 4 KB in a row."""
-    spot = F.xxhash64(F.concat_ws("\t", "lang", "phrase")).bitwiseAND(F.lit(bits - 1)) + 1
-    rows = frequent.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("set"))
+    """`bits` bits (a power of two), set for all rows; it is built by the executors, a page of 4 KB in a row."""
+
+    def spots(batches):
+        for batch in batches:
+            langs, phrases = batch.column("lang").to_pylist(), [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
+            if phrases:
+                yield pa.RecordBatch.from_arrays([pa.array(_spots([_word_hashes(langs, list(w)) for w in zip(*phrases, strict=True)], bits) + 1)], ["spot"])
+
+    rows = frequent.select("lang", "phrase").mapInArrow(spots, "spot long").groupBy(F.bitmap_bucket_number("spot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("set"))
     out = np.zeros(max(bits // 32768, 1) * 4096, dtype=np.uint8)
     for r in rows.toLocalIterator():
         out[(r["page"] - 1) * 4096 : r["page"] * 4096] = np.frombuffer(r["set"], dtype=np.uint8)
-    return out[: bits // 8]
+    return out[: max(bits // 8, 1)]
 
 
 def _counted(docs: DataFrame, sizes: tuple[int, ...], filters: list[np.ndarray], block_bytes: int) -> DataFrame:
     """(lang, size, phrase, n) of n-grams of these sizes, n being a long; `docs` has lang and text. With a bitmap for an
-    order, an n-gram is counted only if those of that order within it may be frequent."""
+    order, an n-gram is counted only if those of that order within it may be frequent. Longer ones than words need that of words."""
     shared = [docs.sparkSession.sparkContext.broadcast(f) for f in filters]
 
     def rows(block: Block):
@@ -117,7 +136,8 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], filters: list[np.ndarray],
             yield 1, first, np.bincount(block.word)
         if max(sizes) == 1:
             return
-        known = _marked(shared[0].value, block.lang_of, block.word_of)[block.word] if shared else np.ones(len(block.word), dtype=bool)
+        hashes = _word_hashes(block.lang_of.to_pylist(), block.word_of.to_pylist())
+        known = _set(shared[0].value, _spots([hashes], 8 * len(shared[0].value)))[block.word]
         number, ok, place = block.word, block.joined & known[:-1] & known[1:], np.arange(len(block.word))
         pair = None
         for size in range(2, max(sizes) + 1):
@@ -128,7 +148,7 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], filters: list[np.ndarray],
                 return
             good = np.zeros(len(block.word), dtype=bool)
             if size == 2 and len(shared) > 1:
-                good[at] = _marked(shared[1].value, *block.phrases(first, 2))[inverse]
+                good[at] = _set(shared[1].value, _spots([hashes[block.word[first]], hashes[block.word[first + 1]]], 8 * len(shared[1].value)))[inverse]
             else:
                 good[at] = True
             pair = good if pair is None else pair
