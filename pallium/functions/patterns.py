@@ -29,6 +29,8 @@ TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Eng|Mme|Mlle|M\.|Maître|Si|Sra|Sidi|Lalla|
 NAME_CONTEXTS = r"(?:name|nom|اسم|client|customer|employee|patient|contact|debtor|creditor|borrower|user|subscriber|applicant|candidate|owner|beneficiary|signataire|signed by|from|to|dear|cher|chère|attn)"
 NAME = r"([A-ZÀ-ÿ][a-zà-ÿ]+(?:\s+(?:ben|el|al|de|du|van|von|di|le|la|ibn|bint|ould|ait|ou)?(?:\s+)?[A-ZÀ-ÿ][a-zà-ÿ]+){1,3})"
 BIRTH_CONTEXT = r"(?:date\s+(?:of\s+)?birth|birth\s*date|dob|d\.o\.b|born\s+(?:on)?|née?\s+le|date\s+de\s+naissance|تاريخ\s*الميلاد|تاريخ\s*الولادة|fecha\s+de\s+nacimiento|data\s+di\s+nascita|geburtsdatum|birthday)"
+#: Upper-case parts of the keywords above without the letter i: every text with such a keyword holds one of them.
+BIRTH_FRAGMENTS = ["RTH", "DOB", "D.O.B", "BORN", "NÉ", "NA", "GEBURTSDATUM", "تاريخ"]
 MONTHS = r"(?:january|february|march|april|may|june|july|august|september|october|november|december|janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)"
 DATES = [
     r"(\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4})",
@@ -50,6 +52,9 @@ TN_GOVERNORATES = "Tunis|Ariana|Ben Arous|Manouba|Nabeul|Zaghouan|Bizerte|Béja|
 TN_POSTAL = rf"\b(\d{{4}})\s+({TN_GOVERNORATES})\b"
 TN_LOCALITY = r"\bdelegation\b|\bimmeuble\b|\bappt\b|\bappartement\b|\bcite\b|\bcit[eé]\b|\blot\b|\blotissement\b|\broute\s+de\b|\bzone\s+industrielle\b|حي|نهج|شارع|طريق|عمارة|شقة|ولاية"
 TN_STREET = r"(?:rue|avenue|av\.|boulevard|blvd|impasse|lotissement|cité|résidence|حي|شارع|نهج)[\s\w\-\',éèêëàâîïôùûü]{3,60}(?:,\s*\d{4}\s*[A-Za-zéèêëàâîïôùûü\s]+)?"
+#: As BIRTH_FRAGMENTS, of the streets' first words.
+TN_STREET_FRAGMENTS = ["RUE", "AVENUE", "AV.", "BOULEVARD", "BLVD", "MPASSE", "SSEMENT", "TÉ", "DENCE", "حي", "شارع", "نهج"]
+TN_NUMBER = r"\b\d{1,4}\b"
 TN_PREFIXES = [r"\bM(?:r|me|onsieur|adame)\.?\s+", r"\bMme\.?\s+", r"\bDr\.?\s+", r"\bPr\.?\s+", r"\bالسيد\s+", r"\bالسيدة\s+", r"\bالاستاذ\s+", r"\bالدكتور\s+"]
 TN_NAME = r"(?:[A-Z][a-z]{2,}(?:\s+(?:Ben|ben|Bin|bin|Ibn|ibn)\s+[A-Z][a-z]{2,})?(?:\s+[A-Z][a-z]{2,})?|[ء-ي]{2,}(?:\s+(?:بن|ابن|بن\s+علي|عبد)\s+[ء-ي]{2,})?(?:\s+[ء-ي]{2,})?)"
 TN_BEN = r"\bBen\s+[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})?\b"

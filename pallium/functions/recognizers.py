@@ -1,4 +1,9 @@
-"""Recognizers of personal data: each turns a text column into an array of spans. No shuffle, no Python at run time."""
+"""Recognizers of personal data: each turns a text column into an array of spans. No shuffle, no Python at run time.
+
+What depends on the whole text (keywords somewhere in it) is found once, not for each match. A recognizer whose matches
+must hold something that a cheap scan can tell (an @, a few digits close together, a fragment of a keyword) asks for
+that first; such a test never is false where the recognizer matches.
+"""
 
 from __future__ import annotations
 
@@ -10,197 +15,187 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pallium.functions import patterns as P
-from pallium.functions.spans import EMPTY, around, capped, digits, fold_overlaps, luhn, matches, mod97, spans
+from pallium.functions.spans import EMPTY, around, blocks_of, bound, digits, fold_sql, let, lit, luhn_sql, matches, mod97_sql, spans
 
 IU = "(?iU)"
+NOT_DIGITS, OUTER_BLANKS, BLANKS = r"(?U)\D", r"(?U)^\s+|\s+$", r"(?U)\s"
 
 
 @dataclass(frozen=True)
 class Recognizer:
-    """`find(text, rank)` gives the spans before per-recognizer deduplication."""
+    """`find(rank)` gives, as SQL over the text `t`, the spans before per-recognizer deduplication."""
 
     name: str
     entity_types: tuple[str, ...]
     locale: str
     priority: int
-    find: Callable[[Column, int], Column]
-
-    def recognize(self, text: Column, rank: int = 0) -> Column:
-        return fold_overlaps(self.find(text, rank))
-
-
-def _listed(entity: str, locale: str, specs: list[tuple[str, float]], flags: str = IU, adjust=None):
-    def find(text: Column, rank: int) -> Column:
-        return F.concat(*[spans(matches(text, p, flags), entity, locale, rank, i, (lambda m, s=s: adjust(text, F.lit(s))) if adjust else s) for i, (p, s) in enumerate(specs)])
-
-    return find
-
-
-def _email(text: Column, rank: int) -> Column:
-    # starts only at the start of a run or where the last match ended: equal to a plain search, but linear
-    p = r"(?:(?<![a-zA-Z0-9._%+\-])|\G)[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
-    return F.when(F.contains(text, F.lit("@")), spans(matches(text, p, ""), "EMAIL", "universal", rank, 0, 0.95)).otherwise(F.array().cast(EMPTY))
+    find: Callable[[int], str]
 
+    def sql(self, rank: int = 0) -> str:
+        return fold_sql(self.find(rank))
 
-def _phone(text: Column, rank: int) -> Column:
-    def score(s: float):
-        def f(m: Column) -> Column:
-            n = F.length(F.regexp_replace(m["text"], r"(?U)\D", ""))
-            return F.when(n.between(7, 15), F.lit(s))
+    def recognize(self, text: Column, rank: int = 0) -> Column:
+        return bound(text, "t", self.sql(rank))
 
-        return f
 
-    return F.concat(*[spans(matches(text, p), "PHONE", "universal", rank, i, score(s), lambda m: F.trim(F.regexp_replace(m["text"], r"(?U)^\s+|\s+$", ""))) for i, (p, s) in enumerate(P.PHONES)])
+def _has(value: str, pattern: str, flags: str = IU) -> str:
+    return f"{value} RLIKE {lit(flags + pattern)}"
 
 
-def _card(text: Column, rank: int) -> Column:
-    def score(m: Column) -> Column:
-        d = digits(m["text"])
-        n = F.length(d)
-        known = (
-            (d.startswith("4") & n.isin(13, 16, 19))
-            | F.substring(d, 1, 2).isin("51", "52", "53", "54", "55")
-            | (F.substring(d, 1, 2).isin("34", "37") & (n == 15))
-            | F.substring(d, 1, 4).isin("6011", "6221", "6229")
-            | d.startswith("65")
-        )
-        return F.when(n.between(13, 19) & luhn(d), F.when(known, 0.95).otherwise(0.80))
+def _where(test: str, found: str) -> str:
+    """`found` of texts that pass the test; no spans of others."""
+    return f"CASE WHEN {test} THEN {found} ELSE cast(array() AS {EMPTY}) END"
 
-    return spans(matches(text, P.CARD), "CREDIT_CARD", "universal", rank, 0, score, lambda m: F.trim(m["text"]))
 
+FOUR_DIGITS = r"\p{Nd}{4}"
+#: Five digits, each at most three characters behind the one before.
+FIVE_DIGITS = _has("t", r"(?:\p{Nd}[^\p{Nd}]{0,3}+){5}", "")
 
-def _iban(text: Column, rank: int) -> Column:
-    lengths = F.create_map(*[F.lit(x) for pair in P.IBAN_LENGTHS.items() for x in pair])
 
-    def score(m: Column) -> Column:
-        d = digits(m["text"])
-        fits = F.coalesce(F.element_at(lengths, F.substring(d, 1, 2)) == F.length(d), F.lit(False))
-        return F.when(fits, F.when(mod97(d) == 1, 0.95).otherwise(0.70))
+def _fragments(fragments: list[str]) -> str:
+    """Whether the text holds one of these in any case; `fragments` are upper case, and hold no i, whose case is not the same everywhere."""
+    return let("upper", "upper(lower(t))", "(" + " OR ".join(f"contains(upper, {lit(x)})" for x in fragments) + ")")
 
-    return spans(matches(text, P.IBAN), "IBAN", "universal", rank, 0, score)
 
+def _joined(found: list[str]) -> str:
+    return f"concat({', '.join(found)})"
 
-def _ip(text: Column, rank: int) -> Column:
-    def score(s: float):
-        return lambda m: F.when(~m["text"].isin(P.IGNORED_IPS), F.lit(s))
 
-    return F.concat(spans(matches(text, P.IPV4), "IP_ADDRESS", "universal", rank, 0, score(0.90)), spans(matches(text, P.IPV6), "IP_ADDRESS", "universal", rank, 1, score(0.85)))
+def _listed(entity: str, locale: str, specs: list[tuple[str, float]], flags: str = IU, test: str = "true"):
+    def find(rank: int) -> str:
+        return _where(test, _joined([spans(matches("t", p, flags), entity, locale, rank, i, s) for i, (p, s) in enumerate(specs)]))
 
+    return find
 
-def _inner_name(found: Column) -> Column:
-    """Matches narrowed to the name in them, which is searched with regard to case; without one they go."""
-    p = "(?U)" + P.NAME
 
-    def narrow(m: Column) -> Column:
-        name = F.regexp_extract(m["text"], p, 0)
-        begin = m["start"] + F.regexp_instr(m["text"], F.lit(p)) - 1
-        return F.struct(begin.alias("start"), (begin + F.length(name)).alias("end"), name.alias("text"))
+def _email(rank: int) -> str:
+    # starts only at the start of a run or where the last match ended: equal to a plain search, but linear
+    p = r"(?:(?<![a-zA-Z0-9._%+\-])|\G)[a-zA-Z0-9._%+\-]++@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+    return _where("contains(t, '@')", spans(matches("t", p, ""), "EMAIL", "universal", rank, 0, 0.95))
 
-    return F.filter(F.transform(found, narrow), lambda m: m["text"] != "")
 
+def _phone(rank: int) -> str:
+    n = f"length(regexp_replace(m.text, {lit(NOT_DIGITS)}, ''))"
+    value = f"trim(regexp_replace(m.text, {lit(OUTER_BLANKS)}, ''))"
+    return _where(FIVE_DIGITS, _joined([spans(matches("t", p), "PHONE", "universal", rank, i, f"CASE WHEN {n} BETWEEN 7 AND 15 THEN {s} END", value) for i, (p, s) in enumerate(P.PHONES)]))
 
-def _person(text: Column, rank: int) -> Column:
-    titled = spans(_inner_name(matches(text, rf"\b{P.TITLES}\.?\s+{P.NAME}", IU)), "PERSON_NAME", "universal", rank, 0, 0.85)
-    # a hit with the same span as a titled one loses in the fold, as its score is lower
-    named = spans(_inner_name(matches(text, rf"\b{P.NAME_CONTEXTS}\s*[:=\-]?\s*{P.NAME}", IU)), "PERSON_NAME", "universal", rank, 1, 0.75)
-    return F.concat(titled, named)
 
+def _card(rank: int) -> str:
+    known = (
+        "(d LIKE '4%' AND length(d) IN (13, 16, 19)) OR substring(d, 1, 2) IN ('51', '52', '53', '54', '55') OR (substring(d, 1, 2) IN ('34', '37') AND length(d) = 15) "
+        "OR substring(d, 1, 4) IN ('6011', '6221', '6229') OR d LIKE '65%'"
+    )
+    score = let("d", digits("m.text"), f"CASE WHEN length(d) BETWEEN 13 AND 19 AND {luhn_sql('d')} THEN CASE WHEN {known} THEN 0.95 ELSE 0.80 END END")
+    return _where(FIVE_DIGITS, spans(matches("t", P.CARD), "CREDIT_CARD", "universal", rank, 0, score, "trim(m.text)"))
 
-def _birth(text: Column, rank: int) -> Column:
-    def score(m: Column) -> Column:
-        return F.when(around(text, m, 50).rlike(IU + P.BIRTH_CONTEXT), F.lit(0.85))
 
-    return F.when(text.rlike(IU + P.BIRTH_CONTEXT), F.concat(*[spans(matches(text, p, IU), "DATE_OF_BIRTH", "universal", rank, i, score) for i, p in enumerate(P.DATES)])).otherwise(F.array().cast(EMPTY))
+def _iban(rank: int) -> str:
+    lengths = "map(" + ", ".join(f"'{k}', {v}" for k, v in P.IBAN_LENGTHS.items()) + ")"
+    fits = f"coalesce({lengths}[substring(d, 1, 2)] = length(d), false)"
+    score = let("d", digits("m.text"), f"CASE WHEN {fits} THEN CASE WHEN {mod97_sql('d')} = 1 THEN 0.95 ELSE 0.70 END END")
+    return _where(_has("t", r"[A-Z]{2}\p{Nd}{2}", ""), spans(matches("t", P.IBAN), "IBAN", "universal", rank, 0, score))
 
 
-def _tn_id(text: Column, rank: int) -> Column:
-    context = text.rlike(IU + P.TN_ID_CONTEXT)
+def _ip(rank: int) -> str:
+    score = f"CASE WHEN m.text NOT IN ({', '.join(map(lit, P.IGNORED_IPS))}) THEN {{}} END"
+    four = _where(_has("t", r"\p{Nd}\.\p{Nd}", ""), spans(matches("t", P.IPV4), "IP_ADDRESS", "universal", rank, 0, score.format(0.90)))
+    six = _where(f"(contains(t, '::') OR {_has('t', '(?:[0-9a-fA-F]{1,4}:){7}', '')})", spans(matches("t", P.IPV6), "IP_ADDRESS", "universal", rank, 1, score.format(0.85)))
+    return _joined([four, six])
 
-    def score(m: Column) -> Column:
-        zero = m["text"].startswith("0")
-        s = F.when(context, 0.90).otherwise(0.65) - F.when(zero, 0.10).otherwise(0.0)
-        s = F.when(around(text, m, 50).rlike(IU + P.TN_ID_CONTEXT), capped(s + 0.15, 0.98)).otherwise(s)
-        s = F.when(F.replace(m["text"], F.substring(m["text"], 1, 1), F.lit("")) == "", F.greatest(s - 0.30, F.lit(0.40))).otherwise(s)
-        return F.when(zero, s).otherwise(capped(s + 0.03, 0.99))
 
-    return spans(matches(text, P.TN_ID), "TN_NATIONAL_ID", "tn", rank, 0, score)
+def _inner_name(found: str) -> str:
+    """Matches narrowed to the name in them, which is searched with regard to case; without one they go."""
+    p = lit("(?U)" + P.NAME)
+    begin = f"m.start + regexp_instr(m.text, {p}) - 1"
+    narrow = let("name", f"regexp_extract(m.text, {p}, 0)", f"struct({begin} AS start, {begin} + length(name) AS `end`, name AS text)")
+    return f"filter(transform({found}, m -> {narrow}), m -> m.text <> '')"
 
 
-def _tn_address(text: Column, rank: int) -> Column:
-    def postal(m: Column) -> Column:
-        code = F.substring(m["text"], 1, 4).cast("int")
-        return F.when(code.between(1000, 9999), F.when(around(text, m, 60).rlike(IU + P.TN_LOCALITY), 0.95).otherwise(0.90))
+def _person(rank: int) -> str:
+    titled = spans(_inner_name(matches("t", rf"\b{P.TITLES}\.?\s+{P.NAME}", IU)), "PERSON_NAME", "universal", rank, 0, 0.85)
+    # a hit with the same span as a titled one loses in the fold, as its score is lower
+    named = spans(_inner_name(matches("t", rf"\b{P.NAME_CONTEXTS}\s*[:=\-]?\s*{P.NAME}", IU)), "PERSON_NAME", "universal", rank, 1, 0.75)
+    return _joined([titled, named])
 
-    def street(m: Column) -> Column:
-        return capped(0.80 + F.when(m["text"].rlike(r"(?U)\b\d{1,4}\b"), 0.06).otherwise(0.0) + F.when(m["text"].rlike(IU + P.TN_LOCALITY), 0.06).otherwise(0.0), 0.95)
 
-    return F.concat(spans(matches(text, P.TN_POSTAL, IU), "TN_ADDRESS", "tn", rank, 0, postal), spans(matches(text, P.TN_STREET, IU), "TN_ADDRESS", "tn", rank, 1, street))
+def _birth(rank: int) -> str:
+    near = f"CASE WHEN {_has(around('pages', 50), P.BIRTH_CONTEXT)} THEN 0.85 END"
+    found = let("pages", blocks_of("t"), _joined([spans(matches("t", p, IU), "DATE_OF_BIRTH", "universal", rank, i, near) for i, p in enumerate(P.DATES)]))
+    return _where(f"{_fragments(P.BIRTH_FRAGMENTS)} AND {_has('t', P.BIRTH_CONTEXT)}", found)
 
 
-def _tn_person(text: Column, rank: int) -> Column:
-    def prefixed(prefix: str, order: int) -> Column:
-        found = matches(text, prefix + P.TN_NAME)
+def _tn_id(rank: int) -> str:
+    zero = "(m.text LIKE '0%')"
+    s = f"CASE WHEN context THEN 0.90D ELSE 0.65D END - CASE WHEN {zero} THEN 0.10D ELSE 0.0D END"
+    s = let("s", s, f"CASE WHEN {_has(around('pages', 50), P.TN_ID_CONTEXT)} THEN least(s + 0.15D, 0.98D) ELSE s END")
+    s = let("s", s, "CASE WHEN replace(m.text, substring(m.text, 1, 1), '') = '' THEN greatest(s - 0.30D, 0.40D) ELSE s END")
+    s = let("s", s, f"CASE WHEN {zero} THEN s ELSE least(s + 0.03D, 0.99D) END")
+    found = spans(matches("t", P.TN_ID), "TN_NATIONAL_ID", "tn", rank, 0, s)
+    return _where(f"{FIVE_DIGITS} AND {_has('t', P.TN_ID, '(?U)')}", let("context", _has("t", P.TN_ID_CONTEXT), let("pages", blocks_of("t"), found)))
 
-        def narrow(m: Column) -> Column:
-            name = F.regexp_replace(m["text"], "^(?U)" + prefix, "")
-            return F.struct((m["end"] - F.length(name)).alias("start"), m["end"].alias("end"), name.alias("text"))
 
-        return spans(F.transform(found, narrow), "PERSON_NAME", "tn", rank, order, lambda m: F.greatest(0.84 - F.when(F.length(m["text"]) < 5, 0.15).otherwise(0.0), F.lit(0.55)))
+def _tn_address(rank: int) -> str:
+    postal = f"CASE WHEN cast(substring(m.text, 1, 4) AS int) BETWEEN 1000 AND 9999 THEN CASE WHEN {_has(around('pages', 60), P.TN_LOCALITY)} THEN 0.95 ELSE 0.90 END END"
+    street = f"least(0.80D + CASE WHEN {_has('m.text', P.TN_NUMBER, '(?U)')} THEN 0.06D ELSE 0.0D END + CASE WHEN {_has('m.text', P.TN_LOCALITY)} THEN 0.06D ELSE 0.0D END, 0.95D)"
+    coded = let("pages", blocks_of("t"), spans(matches("t", P.TN_POSTAL, IU), "TN_ADDRESS", "tn", rank, 0, postal))
+    return _joined(
+        [
+            _where(f"{_has('t', FOUR_DIGITS, '')} AND {_has('t', P.TN_POSTAL)}", coded),
+            _where(_fragments(P.TN_STREET_FRAGMENTS), spans(matches("t", P.TN_STREET, IU), "TN_ADDRESS", "tn", rank, 1, street)),
+        ]
+    )
 
-    ben = spans(matches(text, P.TN_BEN), "PERSON_NAME", "tn", rank, len(P.TN_PREFIXES), 0.72)
-    return F.concat(*[prefixed(p, i) for i, p in enumerate(P.TN_PREFIXES)], ben)
 
+def _tn_person(rank: int) -> str:
+    def prefixed(prefix: str, order: int) -> str:
+        narrow = let("name", f"regexp_replace(m.text, {lit('^(?U)' + prefix)}, '')", "struct(m.`end` - length(name) AS start, m.`end` AS `end`, name AS text)")
+        score = "greatest(0.84D - CASE WHEN length(m.text) < 5 THEN 0.15D ELSE 0.0D END, 0.55D)"
+        return spans(f"transform({matches('t', prefix + P.TN_NAME)}, m -> {narrow})", "PERSON_NAME", "tn", rank, order, score)
 
-def _fr_nir(text: Column, rank: int) -> Column:
-    bonus = F.when(text.rlike(IU + P.FR_NIR_CONTEXT), 0.08).otherwise(0.0)
+    ben = spans(matches("t", P.TN_BEN), "PERSON_NAME", "tn", rank, len(P.TN_PREFIXES), 0.72)
+    return _joined([*[prefixed(p, i) for i, p in enumerate(P.TN_PREFIXES)], ben])
 
-    def score(base: float):
-        def f(m: Column) -> Column:
-            d = F.regexp_replace(m["text"], r"(?U)\s", "")
-            month = F.substring(d, 4, 2).cast("int")
-            valid = (F.length(d) == 15) & (month.between(1, 12) | month.between(20, 42))
-            s = capped(base + bonus, 0.99)
-            key = F.lit(97) - F.substring(d, 1, 13).cast("long") % 97 == F.substring(d, 14, 2).cast("long")
-            return F.when(valid, F.when(key, capped(s + 0.05, 0.99)).otherwise(s))
 
-        return f
+_BARE = f"regexp_replace(m.text, {lit(BLANKS)}, '')"
 
-    return F.concat(*[spans(matches(text, p), "FR_NIR", "fr", rank, i, score(s)) for i, (p, s) in enumerate(P.FR_NIRS)])
 
+def _fr_nir(rank: int) -> str:
+    def score(base: float) -> str:
+        valid = "length(d) = 15 AND (cast(substring(d, 4, 2) AS int) BETWEEN 1 AND 12 OR cast(substring(d, 4, 2) AS int) BETWEEN 20 AND 42)"
+        key = "97 - cast(substring(d, 1, 13) AS bigint) % 97 = cast(substring(d, 14, 2) AS bigint)"
+        s = f"least({base}D + bonus, 0.99D)"
+        return let("d", _BARE, f"CASE WHEN {valid} THEN CASE WHEN {key} THEN least({s} + 0.05D, 0.99D) ELSE {s} END END")
 
-def _fr_company(text: Column, rank: int) -> Column:
-    context = text.rlike(IU + P.FR_COMPANY_CONTEXT)
+    found = _joined([spans(matches("t", p), "FR_NIR", "fr", rank, i, score(s)) for i, (p, s) in enumerate(P.FR_NIRS)])
+    return _where(FIVE_DIGITS, let("bonus", f"CASE WHEN {_has('t', P.FR_NIR_CONTEXT)} THEN 0.08D ELSE 0.0D END", found))
 
-    def score(n: int, with_: float, without: float):
-        def f(m: Column) -> Column:
-            d = F.regexp_replace(m["text"], r"(?U)\s", "")
-            return F.when((F.length(d) == n) & luhn(d), F.when(context, with_).otherwise(without))
 
-        return f
+def _fr_company(rank: int) -> str:
+    def score(n: int, with_: float, without: float) -> str:
+        return let("d", _BARE, f"CASE WHEN length(d) = {n} AND {luhn_sql('d')} THEN CASE WHEN context THEN {with_} ELSE {without} END END")
 
-    siret = spans(matches(text, P.FR_SIRET), "FR_SIRET", "fr", rank, 0, score(14, 0.95, 0.80))
-    siren = spans(matches(text, P.FR_SIREN), "FR_SIREN", "fr", rank, 1, score(9, 0.90, 0.70))
+    siret = spans(matches("t", P.FR_SIRET), "FR_SIRET", "fr", rank, 0, score(14, 0.95, 0.80))
+    siren = spans(matches("t", P.FR_SIREN), "FR_SIREN", "fr", rank, 1, score(9, 0.90, 0.70))
     # a SIREN within a SIRET scores less and overlaps, so the fold drops it
-    return F.concat(siret, siren)
-
+    return _where(FIVE_DIGITS, let("context", _has("t", P.FR_COMPANY_CONTEXT), _joined([siret, siren])))
 
-def _fr_address(text: Column, rank: int) -> Column:
-    def postal(m: Column) -> Column:
-        code = F.substring(m["text"], 1, 5).cast("int")
-        return F.when((code / 1000).cast("int").between(1, 95) | (code / 100).cast("int").between(971, 976), 0.85)
 
-    return F.concat(spans(matches(text, P.FR_POSTAL), "FR_ADDRESS", "fr", rank, 0, postal), spans(matches(text, P.FR_STREET, IU), "FR_ADDRESS", "fr", rank, 1, 0.85))
+def _fr_address(rank: int) -> str:
+    code = "cast(substring(m.text, 1, {}) AS int)"
+    postal = f"CASE WHEN {code.format(2)} BETWEEN 1 AND 95 OR {code.format(3)} BETWEEN 971 AND 976 THEN 0.85 END"
+    return _joined([_where(FIVE_DIGITS, spans(matches("t", P.FR_POSTAL), "FR_ADDRESS", "fr", rank, 0, postal)), spans(matches("t", P.FR_STREET, IU), "FR_ADDRESS", "fr", rank, 1, 0.85)])
 
 
 def _by_context(entity: str, locale: str, pattern: str, context: str, with_: float, without: float):
-    def find(text: Column, rank: int) -> Column:
-        return spans(matches(text, pattern), entity, locale, rank, 0, lambda m: F.when(text.rlike(IU + context), with_).otherwise(without))
+    def find(rank: int) -> str:
+        return _where(FIVE_DIGITS, let("context", _has("t", context), spans(matches("t", pattern), entity, locale, rank, 0, f"CASE WHEN context THEN {with_} ELSE {without} END")))
 
     return find
 
 
-def _tn_tax(text: Column, score: Column) -> Column:
-    return capped(score + F.when(text.rlike(IU + P.TN_TAX_CONTEXT), 0.05).otherwise(0.0), 0.99)
+def _tn_tax(rank: int) -> str:
+    found = _joined([spans(matches("t", p, IU), "TN_MATRICULE_FISCALE", "tn", rank, i, f"least({s}D + bonus, 0.99D)") for i, (p, s) in enumerate(P.TN_TAX_IDS)])
+    return _where(FIVE_DIGITS, let("bonus", f"CASE WHEN {_has('t', P.TN_TAX_CONTEXT)} THEN 0.05D ELSE 0.0D END", found))
 
 
 #: In registry order, which settles ties of priority.
@@ -213,15 +208,15 @@ RECOGNIZERS = [
     Recognizer("person_name", ("PERSON_NAME",), "universal", 40, _person),
     Recognizer("date_of_birth", ("DATE_OF_BIRTH",), "universal", 45, _birth),
     Recognizer("tn_national_id", ("TN_NATIONAL_ID",), "tn", 75, _tn_id),
-    Recognizer("tn_phone", ("TN_PHONE",), "tn", 80, _listed("TN_PHONE", "tn", P.TN_PHONES)),
-    Recognizer("tn_matricule_fiscale", ("TN_MATRICULE_FISCALE",), "tn", 85, _listed("TN_MATRICULE_FISCALE", "tn", P.TN_TAX_IDS, adjust=_tn_tax)),
+    Recognizer("tn_phone", ("TN_PHONE",), "tn", 80, _listed("TN_PHONE", "tn", P.TN_PHONES, test=FIVE_DIGITS)),
+    Recognizer("tn_matricule_fiscale", ("TN_MATRICULE_FISCALE",), "tn", 85, _tn_tax),
     Recognizer("tn_address", ("TN_ADDRESS",), "tn", 60, _tn_address),
     Recognizer("fr_nir", ("FR_NIR",), "fr", 80, _fr_nir),
     Recognizer("fr_company", ("FR_SIRET", "FR_SIREN"), "fr", 75, _fr_company),
-    Recognizer("fr_phone", ("FR_PHONE",), "fr", 80, _listed("FR_PHONE", "fr", P.FR_PHONES)),
+    Recognizer("fr_phone", ("FR_PHONE",), "fr", 80, _listed("FR_PHONE", "fr", P.FR_PHONES, test=FIVE_DIGITS)),
     Recognizer("fr_address", ("FR_ADDRESS",), "fr", 60, _fr_address),
     Recognizer("ma_cin", ("MA_CIN",), "ma", 75, _by_context("MA_CIN", "ma", P.MA_CIN, P.MA_CIN_CONTEXT, 0.92, 0.72)),
-    Recognizer("ma_phone", ("MA_PHONE",), "ma", 80, _listed("MA_PHONE", "ma", P.MA_PHONES)),
+    Recognizer("ma_phone", ("MA_PHONE",), "ma", 80, _listed("MA_PHONE", "ma", P.MA_PHONES, test=FIVE_DIGITS)),
     Recognizer("ma_ice", ("MA_ICE",), "ma", 85, _by_context("MA_ICE", "ma", P.MA_ICE, P.MA_ICE_CONTEXT, 0.95, 0.55)),
 ]
 #: Not selected by default.

@@ -1,7 +1,11 @@
-"""Spans of regular expressions in texts, and folds over span arrays, as Column expressions.
+"""Spans of regular expressions in texts, and folds over span arrays, as SQL expressions.
 
 A span is a struct led by its sort key (start, score negated, rank, ord), so that sorting an array of spans
-needs no comparator.
+needs no comparator. Expressions are built as SQL text: one call makes a Column of it, where building the same by
+Column methods takes thousands of calls to the JVM. Names of lambda variables differ from helper to helper, so they nest.
+
+All work is linear in the length of a text and in its number of matches: arrays grow by blocks, not by elements, and
+characters are found by blocks of the text, not from its start.
 """
 
 from __future__ import annotations
@@ -11,6 +15,19 @@ from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,minus_score:double,rank:int,ord:int,end:int,score:double,text:string,entity_type:string,locale:string>"
 EMPTY = f"array<{SPAN}>"
+_MATCHES = "array<struct<start:int,end:int,text:string>>"
+#: Elements that are folded before an array grows, and bits of the number of characters of a text's block.
+FOLDED, BLOCK_BITS = 128, 9
+
+
+def lit(text: str) -> str:
+    """A string as SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bound(value: Column, name: str, sql: str) -> Column:
+    """The expression `sql`, in which `name` stands for `value`, computed once."""
+    return F.call_function("transform", F.array(value), F.expr(f"{name} -> {sql}"))[0]
 
 
 def bind(value: Column, body) -> Column:
@@ -18,88 +35,96 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def matches(text: Column, pattern: str, flags: str = "(?U)") -> Column:
+def let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def scan(items: str, carry: str, kind: str, following: str, emitted: str) -> str:
+    """A fold of `items` (a variable) from the left: struct (carry, out), `out` an array (`kind`) of what the items let go.
+
+    `following` and `emitted` (an array of `kind`) are expressions over a.carry and the item x. A fold copies all it has
+    gathered at every step, so items are folded by blocks: once for the carry at the start of each block, then each block by itself
+    for what it lets go. So an item is copied a bounded number of times.
+    """
+    blocks = f"transform(sequence(0, cast((size({items}) - 1) div {FOLDED} AS int)), b -> slice({items}, {FOLDED} * b + 1, {FOLDED}))"
+    last = f"aggregate(part, struct(element_at(done, -1) AS carry), (a, x) -> struct({following} AS carry), a -> a.carry)"
+    carries = f"aggregate(blocks, array({carry}), (done, part) -> concat(done, array({last})))"
+    gone = f"aggregate(part, struct(carries[k] AS carry, cast(array() AS {kind}) AS out), (a, x) -> struct({following} AS carry, concat(a.out, {emitted}) AS out), a -> a.out)"
+    return let("blocks", blocks, let("carries", carries, f"struct(element_at(carries, -1) AS carry, flatten(transform(blocks, (part, k) -> {gone})) AS out)"))
+
+
+def matches(t: str, pattern: str, flags: str = "(?U)") -> str:
     """Array of (start, end, text) of all matches, in code points; half-open.
 
     Positions come from the pieces between the matches. A text without a match costs one scan.
     """
-    p = flags + pattern
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    p = lit(flags + pattern)
+    begin = "a.carry + length(x.gap)"
+    laid = scan("pairs", "0", _MATCHES, f"{begin} + length(x.hit)", f"array(struct({begin} AS start, {begin} + length(x.hit) AS `end`, x.hit AS text))")
+    pairs = let("f", f"struct(regexp_extract_all({t}, {p}, 0) AS hits, split({t}, {p}, -1) AS gaps)", "zip_with(f.hits, slice(f.gaps, 1, size(f.hits)), (h, g) -> struct(h AS hit, g AS gap))")
+    return f"CASE WHEN {t} RLIKE {p} THEN {let('pairs', pairs, f'({laid}).out')} ELSE cast(array() AS {_MATCHES}) END"
 
-    def laid(x: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-        def step(a: Column, m: Column) -> Column:
-            begin = a["at"] + F.length(m["gap"])
-            end = begin + F.length(m["hit"])
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), m["hit"].alias("text")))).alias("out"))
+def spans(found: str, entity: str, locale: str, rank: int, order: int, score: str | float, value: str = "m.text") -> str:
+    """Spans of matches; score and value are expressions over the match m. A null score drops the match."""
+    scored = f"transform({found}, m -> struct(m.start AS start, m.`end` AS `end`, cast({score} AS double) AS score, {value} AS text))"
+    return (
+        f"transform(filter({scored}, s -> s.score IS NOT NULL), s -> struct(s.start AS start, -s.score AS minus_score, {rank} AS rank, {order} AS ord, "
+        f"s.`end` AS `end`, s.score AS score, s.text AS text, {lit(entity)} AS entity_type, {lit(locale)} AS locale))"
+    )
 
-        pairs = F.zip_with(x["hits"], F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-        return F.aggregate(pairs, start, step, lambda a: a["out"])
 
-    found = F.struct(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("hits"), F.split(text, p, -1).alias("gaps"))
-    return F.when(text.rlike(p), bind(found, laid)).otherwise(none)
+def fold_sql(found: str) -> str:
+    """Left to right by (start, score descending, rank): an overlapping span replaces the last one kept only with a higher score."""
+    following = "CASE WHEN a.carry IS NULL OR x.start >= a.carry.`end` OR x.score > a.carry.score THEN x ELSE a.carry END"
+    emitted = f"CASE WHEN x.start >= a.carry.`end` THEN array(a.carry) ELSE cast(array() AS {EMPTY}) END"
+    folded = scan("sorted", f"cast(NULL AS {SPAN})", EMPTY, following, emitted)
+    return let("sorted", f"array_sort({found})", f"CASE WHEN size(sorted) <= 1 THEN sorted ELSE {let('z', folded, 'concat(z.out, array(z.carry))')} END")
 
 
-def spans(found: Column, entity: str, locale: str, rank: int, order: int, score, value=None) -> Column:
-    """Spans of matches; score and value are given a match and return Columns. A null score drops the match."""
+def fold_overlaps(found: Column) -> Column:
+    return bound(found, "spans", fold_sql("spans"))
 
-    def span(m: Column) -> Column:
-        s = score(m) if callable(score) else F.lit(float(score))
-        return F.struct(
-            m["start"].cast("int").alias("start"),
-            (-s).cast("double").alias("minus_score"),
-            F.lit(rank).alias("rank"),
-            F.lit(order).alias("ord"),
-            m["end"].cast("int").alias("end"),
-            s.cast("double").alias("score"),
-            (value(m) if value else m["text"]).alias("text"),
-            F.lit(entity).alias("entity_type"),
-            F.lit(locale).alias("locale"),
-        )
 
-    return F.filter(F.transform(found, span), lambda x: x["score"].isNotNull())
+def blocks_of(t: str) -> str:
+    """The text in blocks, for cut(): one pass over it."""
+    return f"regexp_extract_all({t}, '(?s).{{1,{1 << BLOCK_BITS}}}', 0)"
 
 
-def fold_overlaps(found: Column) -> Column:
-    """Left to right by (start, score descending, rank): an overlapping span replaces the last one kept only with a higher score."""
+def cut(blocks: str, begin: str, end: str) -> str:
+    """Characters [begin, end) of a text, from the blocks they lie in."""
+    first = f"shiftright({begin}, {BLOCK_BITS})"
+    whole = f"array_join(slice({blocks}, {first} + 1, greatest(shiftright({end} - 1, {BLOCK_BITS}) - {first} + 1, 0)), '')"
+    return f"substring({whole}, ({begin}) % {1 << BLOCK_BITS} + 1, {end} - ({begin}))"
 
-    def step(kept: Column, x: Column) -> Column:
-        last = F.element_at(kept, -1)
-        return (
-            F.when(F.size(kept) == 0, F.array(x))
-            .when(x["start"] >= last["end"], F.concat(kept, F.array(x)))
-            .when(x["score"] > last["score"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x)))
-            .otherwise(kept)
-        )
 
-    # bound, so that the expression of the spans stands in the plan once
-    return bind(found, lambda x: F.when(F.size(x) <= 1, x).otherwise(F.aggregate(F.array_sort(x), F.array().cast(EMPTY), step)))
+def around(blocks: str, n: int) -> str:
+    """The match m with n characters before and after it."""
+    return cut(blocks, f"greatest(m.start - {n}, 0)", f"(m.`end` + {n})")
 
 
-def digits(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)[\s\-]", "")
+def digits(v: str) -> str:
+    blank = lit(r"(?U)[\s\-]")
+    return f"regexp_replace({v}, {blank}, '')"
 
 
-def luhn(number: Column) -> Column:
+def luhn_sql(number: str) -> str:
     """Whether the Luhn sum of a string of digits is a multiple of ten."""
-    figures = F.transform(F.split(F.reverse(number), ""), lambda d: d.cast("int"))
-    doubled = F.transform(figures, lambda d, i: F.when(i % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d))
-    return F.aggregate(doubled, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0))) % 10 == 0
+    figures = f"transform(split(reverse({number}), ''), d -> try_cast(d AS int))"
+    doubled = f"transform({figures}, (d, i) -> CASE WHEN i % 2 = 0 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END)"
+    return f"aggregate({doubled}, 0, (sum, d) -> sum + coalesce(d, 0)) % 10 = 0"
 
 
-def mod97(iban: Column) -> Column:
+def mod97_sql(iban: str) -> str:
     """The ISO 13616 remainder, letter by letter: 1 for a valid number."""
-    moved = F.concat(F.substring(iban, 5, 40), F.substring(iban, 1, 4))
-    values = F.transform(F.filter(F.split(F.upper(moved), ""), lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55))
-    return F.aggregate(values, F.lit(0), lambda a, v: F.when(v < 10, a * 10 + v).otherwise(a * 100 + v) % 97)
+    moved = f"concat(substring({iban}, 5, 40), substring({iban}, 1, 4))"
+    values = f"transform(filter(split(upper({moved}), ''), c -> c <> ''), c -> CASE WHEN c RLIKE '[0-9]' THEN cast(c AS int) ELSE ascii(c) - 55 END)"
+    return f"aggregate({values}, 0, (rest, v) -> CASE WHEN v < 10 THEN rest * 10 + v ELSE rest * 100 + v END % 97)"
 
 
-def around(text: Column, m: Column, n: int) -> Column:
-    """The match with n characters before and after it."""
-    begin = F.greatest(m["start"] - n, F.lit(0))
-    return F.substring(text, begin + 1, m["end"] + n - begin)
+def luhn(number: Column) -> Column:
+    return bound(number, "n", luhn_sql("n"))
 
 
-def capped(score: Column, top: float) -> Column:
-    return F.least(score, F.lit(top))
+def mod97(iban: Column) -> Column:
+    return bound(iban, "n", mod97_sql("n"))

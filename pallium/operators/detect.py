@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pallium.functions import patterns as P
 from pallium.functions.recognizers import PythonRecognizer, Recognizer, ranked, select_recognizers
-from pallium.functions.spans import EMPTY, fold_overlaps
+from pallium.functions.spans import EMPTY, bound, fold_overlaps
 
 log = logging.getLogger(__name__)
 
@@ -41,8 +41,8 @@ def all_spans(text: Column, recognizers: list[Recognizer], threshold: float = P.
 
 @functools.lru_cache(512)
 def _recognized(application: str, text_col: str, recognizer: Recognizer, rank: int, threshold: float) -> Column:
-    """The spans' expression. Building one takes hundreds of calls to the JVM, so an application keeps it."""
-    return above_threshold(recognizer.recognize(F.coalesce(F.col(text_col), F.lit("")), rank), threshold)
+    """The spans' expression. An application parses it once."""
+    return bound(F.coalesce(F.col(text_col), F.lit("")), "t", f"filter({recognizer.sql(rank)}, s -> s.score >= {float(threshold)}D)")
 
 
 def detect(df: DataFrame, text_col: str = "text", locales: list[str] = P.LOCALES, threshold: float = P.CONFIDENCE, extra: list[Recognizer] = (), python: list[PythonRecognizer] = ()) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pallium.functions.spans import BLOCK_BITS, bind
+
 REDACTED = "[REDACTED]"
 
 
@@ -28,15 +30,31 @@ def value_hash(entity_type: Column, value: Column) -> Column:
     return F.sha2(F.concat_ws(":", entity_type, value), 256)
 
 
+def _cut(blocks: Column, begin: Column, end: Column) -> Column:
+    """Characters [begin, end) of a text from its blocks."""
+    first = F.shiftright(begin, BLOCK_BITS)
+    whole = F.array_join(F.slice(blocks, first + 1, F.greatest(F.shiftright(end - 1, BLOCK_BITS) - first + 1, F.lit(0))), "")
+    return F.substring(whole, begin % (1 << BLOCK_BITS) + 1, end - begin)
+
+
 def replace_spans(text: Column, spans: Column, replacement) -> Column:
-    """The text with the value of every span replaced, left to right. Blanks that a span holds behind its value stay."""
+    """The text with the value of every span replaced, left to right. Blanks that a span holds behind its value stay.
+
+    What lies between two values is cut from the blocks of the text it lies in, and all pieces are joined once, so the
+    work grows with the text and the number of spans. A null replacement makes the text null, so no value stays.
+    """
+
+    def built(x: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            return F.concat(_cut(x["blocks"], F.when(i == 0, 0).otherwise(ending(F.get(x["spans"], i - 1))), s["start"]), replacement(s))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        return F.struct((s["start"] + F.length(s["text"])).alias("at"), F.concat(a["out"], gap, replacement(s)).alias("out"))
+        tail = _cut(x["blocks"], ending(F.element_at(x["spans"], -1)), F.length(text))
+        joined = lambda p: F.when(~F.exists(p, lambda y: y.isNull()), F.concat(F.array_join(p, ""), tail))
+        return bind(F.transform(x["spans"], piece), joined)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))
+    ending = lambda s: s["start"] + F.length(s["text"])
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << BLOCK_BITS}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(bind(F.struct(blocks.alias("blocks"), spans.alias("spans")), built))
 
 
 def mask(df: DataFrame, text_col: str = "text", session_col: str = "session_id", spans_col: str = "spans", hex_len: int = 12, bypass: bool = False) -> DataFrame:

@@ -84,31 +84,3 @@ def purge_expired(vault: DataFrame, ttl_seconds: int, now: Column) -> tuple[Data
     gone = expired_sessions(vault, ttl_seconds, now)
     counts = gone.agg(F.count(F.lit(1)).alias("sessions"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
     return destroy_sessions(vault, gone), counts
-
-
-#: Characters of the pieces by which texts and values meet in leaks().
-PIECE = 5
-
-
-def _pieces(text: Column) -> Column:
-    """All distinct runs of PIECE characters."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - PIECE + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(PIECE))))
-
-
-def leaks(masked: DataFrame, detections: DataFrame, keys: list[str], masked_col: str = "masked_text", session_col: str = "session_id") -> DataFrame:
-    """(keys, entity_type), never the value, of rows whose masked text holds a value found in any text of its session.
-
-    A value meets the texts of its session that hold one certain piece of it, that of the least hash, so that common
-    beginnings and ends bring nothing together; then the whole value is looked for. Values shorter than a piece
-    meet all texts of their session.
-    """
-    values = detections.select(session_col, "entity_type", F.col("text").alias("_value")).distinct()
-    texts = masked.select(*dict.fromkeys([*keys, session_col]), F.col(masked_col).alias("_masked"))
-    piece = F.array_sort(F.transform(_pieces(F.col("_value")), lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p"))))[0]["p"]
-    long_ = values.filter(F.length("_value") >= PIECE).withColumn("_piece", piece)
-    # pieces travel without texts
-    met = texts.select(*dict.fromkeys([*keys, session_col]), F.explode(_pieces(F.col("_masked"))).alias("_piece")).join(long_, [session_col, "_piece"]).drop("_piece")
-    short = texts.drop("_masked").join(values.filter(F.length("_value") < PIECE), session_col)
-    both = met.unionByName(short).join(texts, list(dict.fromkeys([*keys, session_col])))
-    return both.filter(F.contains("_masked", F.col("_value"))).select(*keys, "entity_type").distinct()

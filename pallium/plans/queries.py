@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -18,8 +17,10 @@ from pallium.operators import policy as POL
 from pallium.operators.detect import detect, detections, spread
 from pallium.operators.mask import mask, split_failed
 from pallium.operators.restore import restore, restore_distinct, round_trip
+from pallium.operators.storage import new_path
 from pallium.operators.sensitivity import most_sensitive, route, sensitivity
-from pallium.operators.vault import build_vault, count_access, destroy_sessions, leaks, lookup_tokens, lookup_values, purge_expired, read_vault, token_clashes, upsert_vault, write_vault
+from pallium.operators.leaks import leaks
+from pallium.operators.vault import build_vault, count_access, destroy_sessions, lookup_tokens, lookup_values, purge_expired, read_vault, token_clashes, upsert_vault, write_vault
 from pallium.plans import derived as D
 from pallium.plans import oracles as O
 from pallium.sources import chat
@@ -51,9 +52,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares, or in a local one of the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares."""
+    return new_path(spark, name)
 
 
 def long_form(df: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pallium.operators.detect import detect, detections
 from pallium.operators.mask import mask, normalize_type, split_failed, token
 from pallium.operators.restore import restore, round_trip
 from pallium.operators.sensitivity import sensitivity
-from pallium.operators.vault import build_vault, leaks, purge_expired, read_vault, seal, token_clashes, unseal, upsert_vault, write_vault
+from pallium.operators.leaks import leaks
+from pallium.operators.vault import build_vault, purge_expired, read_vault, seal, token_clashes, unseal, upsert_vault, write_vault
 
 
 @pytest.fixture(scope="module")
