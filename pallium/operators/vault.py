@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pallium.operators.mask import token, value_hash
 
 COLUMNS = ["session_id", "token", "value_hash", "encrypted_value", "entity_type", "created_at", "access_count"]
+KINDS = "session_id string, token string, value_hash string, encrypted_value binary, entity_type string, created_at timestamp, access_count long"
 
 
 def seal(value: Column, key: Column) -> Column:
@@ -44,12 +48,107 @@ def upsert_vault(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def write_vault(vault: DataFrame, path: str, mode: str = "overwrite") -> None:
-    vault.repartition("session_id").write.mode(mode).parquet(path)
+# --- a vault on files ----------------------------------------------------------------------------------------
+#
+# path/rows/<write>/bucket=<n>/    rows whose (session_id, token) hash to that bucket, as one write left them
+# path/versions/<number>/          one row for each bucket that holds rows: the write that it is to be read from
+#
+# A version is a table that appears whole or not at all, after all that it names is there. Readers take the newest.
+
+BUCKETS = 64
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("session_id", "token"), F.lit(buckets)).cast("int")
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    kind = "bucket int, buckets int, location string, columns string, version int"
+    try:
+        return spark.read.schema(kind).option("basePath", f"{path}/versions").json(f"{path}/versions/version=*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], kind)
+
+
+def _newest(spark: SparkSession, path: str) -> list[Row]:
+    """A row for each bucket: at most as many as there are buckets."""
+    versions = _versions(spark, path)
+    newest = versions.agg(F.max("version")).first()[0]
+    return [] if newest is None else versions.filter(F.col("version") == newest).collect()
+
+
+def _put(spark: SparkSession, path: str, rows: DataFrame, kept: list[Row], buckets: int, version: int) -> None:
+    """Writes `rows` (with bucket) and then a version of them and of the buckets of `kept`."""
+    location = f"rows/{uuid.uuid4().hex}"
+    # empty buckets of a partitioned write leave nothing behind, so they are looked up
+    rows.repartition(buckets, "bucket").write.partitionBy("bucket").parquet(f"{path}/{location}")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("bucket").schema)
+    filled = [r["bucket"] for r in spark.read.schema(f"{columns}, bucket int").parquet(f"{path}/{location}").select("bucket").distinct().collect()]
+    named = [(b, buckets, location, columns) for b in filled] + [(r["bucket"], buckets, r["location"], columns) for r in kept]
+    table = spark.createDataFrame(named or [(-1, buckets, location, columns)], "bucket int, buckets int, location string, columns string")
+    # fails if another writer was faster; what was written is then named nowhere
+    table.coalesce(1).write.mode("errorifexists").json(f"{path}/versions/version={version}")
+
+
+def write_vault(vault: DataFrame, path: str, mode: str = "overwrite", buckets: int = BUCKETS) -> None:
+    """A new version of the vault at `path` that holds these rows only (`overwrite`), or these and the ones there (`append`).
+
+    Rows are dealt by the hash of (session_id, token), so one large session is written by many tasks.
+    """
+    spark = vault.sparkSession
+    if mode == "append":
+        upsert_into_vault(vault, path)
+        return
+    newest = _versions(spark, path).agg(F.max("version")).first()[0]
+    _put(spark, path, vault.withColumn("bucket", _bucket(buckets)), [], buckets, (newest or 0) + 1)
+
+
+def _read_buckets(spark: SparkSession, path: str, rows: list[Row]) -> DataFrame | None:
+    rows = [r for r in rows if r["bucket"] >= 0]
+    if not rows:
+        return None
+    places = [f"{path}/{r['location']}/bucket={r['bucket']}" for r in rows]
+    return spark.read.schema(rows[0]["columns"]).parquet(*places)
 
 
 def read_vault(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The newest version; older ones stay readable for those who have begun."""
+    newest = _newest(spark, path)
+    found = _read_buckets(spark, path, newest)
+    return found if found is not None else spark.createDataFrame([], newest[0]["columns"] if newest else KINDS)
+
+
+def upsert_into_vault(new: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Merges rows into the vault at `path`, the newer of equal (session_id, token). Only buckets that get rows are written again.
+
+    The vault changes at once, when its next version appears; if anything fails before, readers see what was there.
+    """
+    spark, newest = new.sparkSession, _newest(new.sparkSession, path)
+    buckets = newest[0]["buckets"] if newest else buckets
+    version = (_versions(spark, path).agg(F.max("version")).first()[0] or 0) + 1
+    dealt = new.withColumn("bucket", _bucket(buckets)).persist()
+    touched = {r["bucket"] for r in dealt.select("bucket").distinct().collect()}
+    old = _read_buckets(spark, path, [r for r in newest if r["bucket"] in touched])
+    merged = upsert_vault(old, new) if old is not None else upsert_vault(new.limit(0), new)
+    _put(spark, path, merged.withColumn("bucket", _bucket(buckets)), [r for r in newest if r["bucket"] not in touched and r["bucket"] >= 0], buckets, version)
+    dealt.unpersist()
+
+
+def destroy_in_vault(spark: SparkSession, path: str, sessions: DataFrame) -> None:
+    """Takes all rows of these sessions (session_id) out of the vault at `path`; only buckets that hold some are written again."""
+    newest = [r for r in _newest(spark, path)]
+    found = _read_buckets(spark, path, newest)
+    if found is None:
+        return
+    buckets = newest[0]["buckets"]
+    ended = sessions.select("session_id").distinct()
+    touched = {r["bucket"] for r in found.join(ended, "session_id", "left_semi").select(_bucket(buckets).alias("bucket")).distinct().collect()}
+    if touched:
+        old = _read_buckets(spark, path, [r for r in newest if r["bucket"] in touched])
+        version = _versions(spark, path).agg(F.max("version")).first()[0] + 1
+        _put(spark, path, destroy_sessions(old, ended).withColumn("bucket", _bucket(buckets)), [r for r in newest if r["bucket"] not in touched and r["bucket"] >= 0], buckets, version)
 
 
 def lookup_values(df: DataFrame, vault: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pallium.operators.restore import restore, restore_distinct, round_trip
 from pallium.operators.storage import new_path
 from pallium.operators.sensitivity import most_sensitive, route, sensitivity
 from pallium.operators.leaks import leaks
-from pallium.operators.vault import build_vault, count_access, destroy_sessions, lookup_tokens, lookup_values, purge_expired, read_vault, token_clashes, upsert_vault, write_vault
+from pallium.operators.vault import build_vault, count_access, destroy_in_vault, destroy_sessions, lookup_tokens, lookup_values, purge_expired, read_vault, token_clashes, upsert_into_vault, upsert_vault, write_vault
 from pallium.plans import derived as D
 from pallium.plans import oracles as O
 from pallium.sources import chat
@@ -232,6 +232,17 @@ def vault_upsert(spark, sf_dir):
     return upsert_vault(old, new).select("session_id", "token", "access_count")
 
 
+@query("vault_upsert_on_files", f"{_VAULT} SELECT session_id, token, CASE WHEN entity_type = 'EMAIL' THEN 7 ELSE 0 END::BIGINT AS access_count FROM vault WHERE substr(session_id, 2)::INT % 3 <> 0")
+def vault_upsert_on_files(spark, sf_dir):
+    """Newer rows of some tokens are merged into a stored vault, then some sessions are taken out of it."""
+    path = scratch(spark, "vault")
+    write_vault(note_vault(spark, sf_dir), path)
+    old = read_vault(spark, path)
+    upsert_into_vault(old.filter("entity_type = 'EMAIL'").withColumns({"created_at": F.col("created_at") + F.expr("INTERVAL 1 DAY"), "access_count": F.lit(7).cast("long")}), path)
+    destroy_in_vault(spark, path, old.select("session_id").filter(F.substring("session_id", 2, 9).cast("int") % 3 == 0))
+    return read_vault(spark, path).select("session_id", "token", "access_count")
+
+
 @query("vault_lookup_tokens", f"{_VAULT} SELECT x.session_id, x.id, v.token FROM (SELECT id, session_id, x.etype AS entity_type, x.v AS value FROM detected) x JOIN vault v ON x.session_id = v.session_id AND x.entity_type = v.entity_type AND x.value = v.value")
 def vault_lookup_tokens(spark, sf_dir):
     n = StoredNotes(spark, sf_dir)
@@ -472,6 +483,19 @@ def mask_audit_events(spark, sf_dir):
     return A.mask_events(masked_notes(spark, sf_dir), F.lit(0.0)).groupBy("session_id").agg(F.sum("entity_count").alias("entities"), F.count(F.lit(1)).alias("events"))
 
 
+@query("audit_events_of_a_run", f"""{_MASKED}, s AS (SELECT count(DISTINCT session_id) AS n FROM masked)
+SELECT 'TEXT_MASKED' AS event, count(*) AS n, sum(len(xs))::BIGINT AS entities, 0::BIGINT AS restored FROM masked
+UNION ALL SELECT 'TEXT_RESTORED', count(*), 0, sum(len(xs))::BIGINT FROM masked UNION ALL SELECT 'SESSION_ENDED', n, 0, 0 FROM s""")
+def audit_events_of_a_run(spark, sf_dir):
+    """The audit events of masking all notes, of restoring them, and of ending their sessions."""
+    n = StoredNotes(spark, sf_dir)
+    masked = n.masked()
+    restored = restore(masked.select("id", "session_id", "masked_text"), n.vault(), "masked_text", tiers=("exact",))
+    events = A.mask_events(masked, F.lit(1.0)).unionByName(A.restore_events(restored, F.lit(2.0)), True).unionByName(A.session_events(masked.select("session_id").distinct(), F.lit(3.0)), True)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return events.groupBy("event").agg(F.count(F.lit(1)).alias("n"), total("entity_count").alias("entities"), total("tokens_restored").alias("restored"))
+
+
 @query("metric_entities_by_type", f"WITH {O.resolved_ctes(D.NOTES)} SELECT x.etype AS entity_type, count(*) AS entities FROM (SELECT unnest(xs) AS x FROM resolved) GROUP BY x.etype")
 def metric_entities_by_type(spark, sf_dir):
     return A.entities_masked(note_detections(spark, sf_dir))
@@ -502,6 +526,15 @@ def metric_duration_p99(spark, sf_dir):
     return A.duration_p99(audit_events(spark, sf_dir))
 
 
+@query("metric_p99_by_day", f"{_AUDIT} SELECT epoch_us(date_trunc('day', to_timestamp(ts)::TIMESTAMP)) AS day, count(*) AS n, true AS within FROM a WHERE duration IS NOT NULL GROUP BY ALL")
+def metric_p99_by_day(spark, sf_dir):
+    """Sketches of 5 minutes merged by day; `within`: the sketch's p99 lies between the exact quantiles that its error bound allows."""
+    requests = audit_events(spark, sf_dir).withColumn("ts", F.timestamp_seconds("ts"))
+    days = A.sketched_p99(A.merged_sketches(A.duration_sketches(requests), "day"))
+    exact = requests.filter("duration is not null").groupBy(F.date_trunc("day", "ts").alias("window_start")).agg(F.percentile("duration", F.array(F.lit(0.98), F.lit(1.0))).alias("q"))
+    return days.join(exact, "window_start").select(F.unix_micros("window_start").alias("day"), "n", F.col("p99").between(F.col("q")[0], F.col("q")[1]).alias("within"))
+
+
 @query("metric_active_sessions", """WITH s AS (SELECT user_id, event_type, min(ts) AS started, max(ts) AS ended FROM events GROUP BY ALL), c AS (SELECT started AS ts, 1 AS d FROM s UNION ALL SELECT ended, -1 FROM s), g AS (SELECT ts, sum(d) AS d FROM c GROUP BY ts)
 SELECT epoch_us(ts) AS ts, sum(d) OVER (ORDER BY ts)::BIGINT AS active, sum(d) OVER (ORDER BY ts) > 100 AS alert FROM g""")
 def metric_active_sessions(spark, sf_dir):
@@ -571,6 +604,21 @@ def chain_heads(spark, sf_dir):
     return A.chain_head(A.build_chain(chain_entries(spark, sf_dir)))
 
 
+@query("chain_resumed", f"{_CHAIN} SELECT chain_id, next_sequence::INT AS next_sequence, {_FOLD} AS last_hash, resumed, true AS valid FROM (SELECT chain_id, count(*) AS next_sequence, count(*) FILTER (WHERE timestamp[12:13]::INT >= 10) AS resumed, list({{h: '', d: data, e: event, s: sequence::INT, t: timestamp}} ORDER BY sequence) AS es FROM e GROUP BY chain_id)")
+def chain_resumed(spark, sf_dir):
+    """Each day's entries up to ten o'clock are one run; a second run goes on from the stored heads. Both together are the whole chains."""
+    entries = chain_entries(spark, sf_dir)
+    late = F.substring("timestamp", 12, 2).cast("int") >= 10
+    path = scratch(spark, "chains")
+    A.build_chain(entries.filter(~late)).write.parquet(f"{path}/first")
+    first = spark.read.parquet(f"{path}/first")
+    A.build_chain(entries.filter(late), heads=A.resume_heads(first)).withColumn("resumed", F.lit(1)).write.parquet(f"{path}/second")
+    whole = first.withColumn("resumed", F.lit(0)).unionByName(spark.read.parquet(f"{path}/second"))
+    checked = A.verify_chain(whole.withColumn("pos", F.col("sequence"))).select("chain_id", "valid")
+    counts = whole.groupBy("chain_id").agg(F.sum("resumed").alias("resumed"))
+    return A.chain_head(whole).join(counts, "chain_id").join(checked, "chain_id").select("chain_id", "next_sequence", "last_hash", "resumed", "valid")
+
+
 @query("chain_verification", f"{_CHAIN} SELECT chain_id, max(sequence) < 5 AS valid, count(*) AS entries_checked, CASE WHEN max(sequence) >= 5 THEN 5 END::BIGINT AS first_broken_at, CASE WHEN max(sequence) >= 5 THEN 1 ELSE 0 END::BIGINT AS errors FROM e GROUP BY chain_id")
 def chain_verification(spark, sf_dir):
     """The sixth entry of each chain is tampered with."""

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from pallium.operators.audit import session_events
 from pallium.operators.detect import detect
 from pallium.operators.mask import mask
+from pallium.operators.vault import destroy_in_vault
 
 OPENER, CLOSER = "{{SG_", "}}"
 
@@ -39,36 +43,105 @@ def safe_cut(buffer: str, tail: int) -> int:
     return cut
 
 
-def chunk_stream(chunks: DataFrame, tail: int = 96, timeout_ms: int = 60_000) -> DataFrame:
-    """(stream_id, part, text) of chunks (stream_id, seq, delta, last): texts cut so that no token is split.
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that reordering and session expiry need; set before their queries start."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    Chunks of one micro-batch are put in the order of seq; earlier ones that come later are late and are
-    dropped, with a row whose text is null and whose part is -1 - seq. The rest goes out with the last chunk or after `timeout_ms` without one.
+
+#: The next number of a stream that has ended: whatever comes for it is late.
+ENDED = 1 << 62
+
+
+class Reorder(StatefulProcessor):
+    """Chunks of one stream in the order of their numbers, and the parts that may go out.
+
+    Chunks that come too early wait in a map by number. A timer runs while any wait, or while nothing comes.
     """
 
-    def step(key, frames, state: GroupState):
-        buffer, part, seen = state.get if state.exists else ("", 0, -1)
-        rows, ended = [], state.hasTimedOut
-        if not state.hasTimedOut:
-            pdf = pd.concat(list(frames)).sort_values("seq")
-            for seq, delta, last in pdf[["seq", "delta", "last"]].itertuples(index=False):
-                if seq <= seen:
-                    rows.append((key[0], -1 - int(seq), None))
-                    continue
-                seen, buffer, ended = int(seq), buffer + (delta or ""), bool(ended or last)
-        cut = len(buffer) if ended else safe_cut(buffer, tail)
+    def __init__(self, first: int, tail: int, gap_ms: int):
+        self.first, self.tail, self.gap_ms = first, tail, gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "next long, part long, buffer string")
+        self.waiting = handle.getMapState("waiting", "seq long", "delta string, last boolean")
+
+    def _position(self) -> tuple[int, int, str]:
+        return tuple(self.at.get()) if self.at.exists() else (self.first, 0, "")
+
+    def _alarm(self, now: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(now + self.gap_ms)
+
+    def _go(self, key, rows: list, held: dict, flush: bool) -> pd.DataFrame:
+        """Passes on what is in order; `held` are the waiting chunks by number."""
+        number, part, buffer = self._position()
+        ended = False
+        while number in held and not ended:
+            delta, ended = held.pop(number)
+            if self.waiting.containsKey((number,)):
+                self.waiting.removeKey((number,))
+            buffer, number = buffer + (delta or ""), number + 1
+        cut = len(buffer) if ended or flush else safe_cut(buffer, self.tail)
         if cut:
             rows.append((key[0], part, buffer[:cut]))
             part += 1
         if ended:
-            state.remove()
+            # what still waits comes behind the end
+            rows += [(key[0], -1 - n, None) for n in sorted(held)]
+            self.waiting.clear()
+            number, buffer, cut = ENDED, "", 0
+        self.at.update((number, part, buffer[cut:]))
+        return pd.DataFrame(rows, columns=["stream_id", "part", "text"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        number, late, held = self._position()[0], [], {}
+        for pdf in rows:
+            for seq, delta, last in pdf[["seq", "delta", "last"]].itertuples(index=False):
+                seq = int(seq)
+                if seq < number or seq in held or self.waiting.containsKey((seq,)):
+                    late.append((key[0], -1 - seq, None))
+                else:
+                    held[seq] = (delta, bool(last))
+        fresh = set(held)
+        held |= {int(k[0]): (v[0], bool(v[1])) for k, v in self.waiting.iterator()}
+        out = self._go(key, late, held, False)
+        for seq in fresh & set(held):
+            if self._position()[0] != ENDED:
+                self.waiting.updateValue((seq,), held[seq])
+        self._alarm(timerValues.getCurrentProcessingTimeInMs())
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        number, part, buffer = self._position()
+        held, rows = {int(k[0]): (v[0], bool(v[1])) for k, v in self.waiting.iterator()}, []
+        if number == ENDED or not held:
+            if buffer:
+                rows.append((key[0], part, buffer))
+            self.at.clear()
         else:
-            state.update((buffer[cut:], part, seen))
-            state.setTimeoutDuration(timeout_ms)
+            # the chunks in front of these are given up, in one row
+            rows.append((key[0], -1 - number, None))
+            self.at.update((min(held), part, buffer))
+            rows = self._go(key, rows, held, False).values.tolist()
+            self._alarm(timerValues.getCurrentProcessingTimeInMs())
         yield pd.DataFrame(rows, columns=["stream_id", "part", "text"])
 
+    def close(self) -> None:
+        pass
+
+
+def chunk_stream(chunks: DataFrame, tail: int = 96, gap_ms: int = 60_000, first: int = 0) -> DataFrame:
+    """(stream_id, part, text) of chunks (stream_id, seq, delta, last): texts in the order of seq, cut so that no token is split.
+
+    Numbers begin at `first`. A chunk that comes early waits for those before it, over micro-batches, up to `gap_ms`
+    since the last chunk came; then the missing ones are given up. Given up, and repeated or later than that, they
+    are reported by a row with a null text and the part -1 - seq (of the first of them). The rest of a text goes out with
+    its last chunk, or after `gap_ms` without one. Needs use_rocksdb().
+    """
     kind = chunks.schema["stream_id"].dataType.simpleString()
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, f"stream_id {kind}, part long, text string", "buffer string, part long, seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").transformWithStateInPandas(Reorder(first, tail, gap_ms), f"stream_id {kind}, part long, text string", "Append", "ProcessingTime")
 
 
 def restore_stream(parts: DataFrame, vault: DataFrame, session_col: str = "stream_id") -> DataFrame:
@@ -104,6 +177,75 @@ def session_stream(events: DataFrame, ttl: str = "3600 seconds", watermark: str
     return out.select(session_col, F.col("w.start").alias("started"), F.col("w.end").alias("expires"), "events")
 
 
+class Expire(StatefulProcessor):
+    """One session at a time for each key, in microseconds of event time; a timer ends it `ttl` after it was last seen."""
+
+    def __init__(self, ttl_us: int):
+        self.ttl = ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "started long, last_seen long, events long")
+
+    def _row(self, key, session: tuple[int, int, int]) -> tuple:
+        return (key[0], session[0], session[1], session[1] + self.ttl, session[2])
+
+    def _frame(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["session", "started", "last_seen", "expires", "events"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        session, ended = tuple(self.session.get()) if self.session.exists() else None, []
+        for t in sorted(int(t) for pdf in rows for t in pdf["at_us"]):
+            if session is None:
+                session = (t, t, 1)
+            elif t >= session[1] + self.ttl:
+                ended.append(self._row(key, session))
+                session = (t, t, 1)
+            else:
+                session = (min(session[0], t), max(session[1], t), session[2] + 1)
+        self.session.update(session)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(-(-(session[1] + self.ttl) // 1000))
+        yield self._frame(ended)
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = [self._row(key, tuple(self.session.get()))] if self.session.exists() else []
+        self.session.clear()
+        yield self._frame(rows)
+
+    def close(self) -> None:
+        pass
+
+
+def expired_stream(events: DataFrame, ttl_seconds: int = 3600, watermark: str = "10 minutes", session_col: str = "session_id", ts: str = "ts") -> DataFrame:
+    """(session, started, last_seen, expires, events) of sessions as they end, from a stream of their reads and stores.
+
+    Every event renews its session; one that comes `ttl_seconds` or more after the last begins a new session. A session ends when the
+    watermark passes its expiry. Events behind the watermark are dropped. Needs use_rocksdb().
+    """
+    kind = events.schema[session_col].dataType.simpleString()
+    timed = events.withWatermark(ts, watermark).select(F.col(session_col).alias("session"), ts, F.unix_micros(ts).alias("at_us"))
+    out = timed.groupBy("session").transformWithStateInPandas(Expire(ttl_seconds * 1_000_000), f"session {kind}, started long, last_seen long, expires long, events long", "Append", "EventTime")
+    return out.select(F.col("session").alias(session_col), *[F.timestamp_micros(c).alias(c) for c in ("started", "last_seen", "expires")], "events")
+
+
+def end_sessions(write: Callable[[DataFrame, int], None], vault_path: str, session_col: str = "session_id") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over expired_stream: `write` gets their SESSION_ENDED audit events, and the vault at that path loses their rows.
+
+    A batch that is run again ends the same sessions: their rows are gone already, and `write` is given the batch's number.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        if not batch.isEmpty():
+            destroy_in_vault(batch.sparkSession, vault_path, batch.select(F.col(session_col).alias("session_id")))
+            write(session_events(batch, F.unix_micros("expires") / 1e6, session_col), epoch)
+        batch.unpersist()
+
+    return run
+
+
 def rate_stream(calls: DataFrame, limit: int = 60, window_s: float = 60.0) -> DataFrame:
     """Decisions on a stream of calls (client, event_id, ts in seconds); state holds the allowed times of a client.
 

@@ -14,7 +14,7 @@ from pallium.operators import audit as A
 from pallium.streaming.jobs import chunk_stream, join_parts, live_metrics, mask_stream, rate_stream, restore_stream, safe_cut
 
 SF = "/root/testdata/sf0.001"
-SOME = ["recognize_person_name", "mask_notes", "mask_leaks", "vault_build", "vault_written_and_read", "rate_decisions", "audit_written_and_read", "detect_with_failing_recognizer", "sensitivity_reasons", "restore_reformatted", "policy_masked_views", "sensitivity_scores", "chain_heads", "metric_active_sessions", "session_activity", "chat_request_texts"]
+SOME = ["recognize_person_name", "mask_notes", "mask_leaks", "vault_build", "vault_written_and_read", "rate_decisions", "audit_written_and_read", "detect_with_failing_recognizer", "sensitivity_reasons", "restore_reformatted", "policy_masked_views", "sensitivity_scores", "chain_heads", "chain_resumed", "chain_verification", "metric_p99_by_day", "audit_events_of_a_run", "vault_upsert_on_files", "metric_active_sessions", "session_activity", "chat_request_texts"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
