@@ -43,12 +43,18 @@ def candidate_tokens(text: Column, tiers: tuple[str, ...] = TIERS) -> Column:
 
 
 def _with_values(df: DataFrame, vault: DataFrame, text_col: str, session_col: str, tiers: tuple[str, ...]) -> DataFrame:
-    """`df` with `values`, a map from each candidate token that its session knows to the value (column `value` of the vault)."""
-    rows = df.withColumn("_at", F.struct(F.col(session_col).alias("s"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("t")))
+    """`df` with `values`, a map from each candidate token that its session knows to the value (column `value` of the vault).
+
+    Only texts that may name a token are shuffled. Equal texts of a session share one map; Spark splits the join where one text has very many copies.
+    """
+    named = F.coalesce(F.col(text_col).rlike("(?i)SG"), F.lit(False))
+    nothing = df.filter(~named).withColumn("values", F.create_map().cast("map<string,string>"))
+    rows = df.filter(named).withColumn("_at", F.struct(F.col(session_col).alias("s"), F.sha2(F.col(text_col), 256).alias("t")))
     asked = rows.select("_at", F.col(session_col).alias("session_id"), F.explode(candidate_tokens(F.col(text_col), tiers)).alias("token")).distinct()
     known = asked.join(vault.select("session_id", "token", "value").filter("value is not null and value <> ''"), ["session_id", "token"])
     maps = known.groupBy("_at").agg(F.map_from_entries(F.collect_set(F.struct("token", "value"))).alias("values"))
-    return rows.join(maps, "_at", "left").withColumn("values", F.coalesce("values", F.create_map().cast("map<string,string>"))).drop("_at")
+    found = rows.join(maps, "_at", "left").withColumn("values", F.coalesce("values", F.create_map().cast("map<string,string>"))).drop("_at")
+    return found.unionByName(nothing)
 
 
 def _exact(text: Column, values: Column) -> Column:
@@ -60,9 +66,9 @@ def _exact(text: Column, values: Column) -> Column:
         found = F.filter(x["hits"], lambda t: F.map_contains_key(values, t))
         return F.struct(
             F.array_join(F.flatten(F.zip_with(x["gaps"], F.concat(put, F.array(F.lit(""))), lambda g, t: F.array(g, t))), "").alias("restored_text"),
-            F.size(found).alias("tokens_restored"),
-            (F.size(x["hits"]) - F.size(found)).alias("tokens_not_found"),
-            F.array_distinct(found).alias("restored"),
+            F.coalesce(F.size(found), F.lit(0)).alias("tokens_restored"),
+            F.coalesce(F.size(x["hits"]) - F.size(found), F.lit(0)).alias("tokens_not_found"),
+            F.coalesce(F.array_distinct(found), F.array().cast("array<string>")).alias("restored"),
             F.when(F.size(found) > 0, F.array(F.lit("exact"))).otherwise(F.array().cast("array<string>")).alias("strategies"),
         )
 

@@ -133,3 +133,16 @@ def test_texts_and_audit_lines_are_read(spark, tmp_path):
     assert (row.ts, row.event, row.session_id, row.entity_count) == (5.5, "E", "s", 3)
     with pytest.raises(ValueError, match="text"):
         write_audit(events.withColumn("text", F.lit("secret")), str(tmp_path / "b"))
+
+
+def test_texts_without_tokens_are_not_shuffled(spark):
+    vault = spark.createDataFrame([("s", "{{SG_EMAIL_0123456789ab}}", "a@b.c")], "session_id string, token string, value string")
+    rows = [(i, "s", t) for i, t in enumerate(["OK", None, "", "sg", "{{SG_EMAIL_0123456789ab}}", "{{SG_EMAIL_0123456789ab}}"])] + [(9, None, "{{SG_EMAIL_0123456789ab}}"), (10, "other", "{{SG_EMAIL_0123456789ab}}")]
+    df = spark.createDataFrame(rows, "id int, session_id string, text string")
+    for tiers in (("exact",), ("exact", "fuzzy_bracket", "bare_extraction")):
+        out = restore(df, vault, tiers=tiers)
+        got = {r.id: (r.restored_text, r.tokens_restored, r.tokens_not_found) for r in out.collect()}
+        token = rows[-1][2]
+        assert got == {0: ("OK", 0, 0), 1: (None, 0, 0), 2: ("", 0, 0), 3: ("sg", 0, 0), 4: ("a@b.c", 1, 0), 5: ("a@b.c", 1, 0), 9: (token, 0, 1), 10: (token, 0, 1)}
+    plan = restore(df, vault, tiers=("exact",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "NOT coalesce(RLIKE(text" in plan
