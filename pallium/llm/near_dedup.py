@@ -7,11 +7,10 @@ that share a key in one of the tables pass the pigeonring filter (some chain of
 within its proportional budgets), then the full Hamming check, and then the exact similarity of their texts.
 
 Equal texts are one row throughout. Linking goes in two rounds. In the first, every text is compared with the
-least id of its key only, which joins large groups of near copies with linear work. In the second, texts of
-one key whose components still differ are compared with each other where up to `CROWD` + 1 texts share the key.
-All texts of fuller keys go through one exact join: of two texts with that similarity, the first shingles of
-both (all but that share, and one more) in any common order have one in common. The order puts frequent
-shingles last; counting them decides on the work alone, so a share of the texts is enough for it.
+first text of its key, in each range that the key's texts lie in; that joins most copies, and large groups of them, with linear work. It finds
+links with a probability that grows with the similarity, so the second round finds all that still join different components, exactly: of two
+texts with that similarity, the first shingles of both (all but that share, and one more) in any common order have one in common. The order
+puts frequent shingles last; counting them decides on the work alone, so a share of the texts is enough for it.
 """
 
 from __future__ import annotations
@@ -27,7 +26,6 @@ from pallium.llm.words import Words, mix, pieces, powers
 
 BITS, GROUP, TABLES, GROUPS_IN_KEY = 256, 32, 32, 3
 SEGMENTS = 8
-CROWD = 16
 #: Every how many texts are counted for the order of shingles, and how many frequent shingles come last in it.
 COUNTED, FREQUENT = 4, 500_000
 #: Rows of one shingle on one side of a task's join.
@@ -108,43 +106,28 @@ def _chained(d: np.ndarray, distance: int, length: int = 3) -> np.ndarray:
     return good.any(axis=1)
 
 
-def _candidates(keyed: DataFrame, distance: int, leads_only: bool) -> DataFrame:
-    """(a, b) of texts that share a key, are in different components, and pass the filters. Rows come sorted by key.
+def _candidates(keyed: DataFrame, distance: int) -> DataFrame:
+    """(a, b): each text with the first one of its key in its range of texts, if they pass the filters.
 
-    A task reads its rows as they come and keeps the lead and the last CROWD rows of the key it is in.
+    Rows are sorted by ranges of (table, key, id), so the texts of a key that very many share lie in several ranges.
     """
-    names = ["table", "key", "id", "component", "f0", "f1", "f2", "f3"]
+    names = ["table", "key", "id", "f0", "f1", "f2", "f3"]
 
     def apply(batches):
-        kept = None
+        lead = None
         for batch in batches:
             x = np.stack([batch.column(n).cast(pa.int64()).to_numpy() for n in names], axis=1)
-            fresh = 0 if kept is None else len(kept)
-            x = x if kept is None else np.concatenate([kept, x])
+            x = x if lead is None else np.concatenate([lead, x])
             new = np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(axis=1)])
-            run = np.cumsum(new) - 1
             begin = np.flatnonzero(new)
-            pairs = []
-            if leads_only:
-                pairs.append((begin[run], np.arange(len(x))))
-            else:
-                for k in range(1, CROWD + 1):
-                    i = np.flatnonzero(run[:-k] == run[k:]) if len(x) > k else np.zeros(0, dtype=np.int64)
-                    if not len(i):
-                        break
-                    pairs.append((i, i + k))
-            i, j = (np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else (np.zeros(0, dtype=np.int64),) * 2
-            use = (j >= fresh) & (x[i, 3] != x[j, 3])
-            i, j = i[use], j[use]
-            d = _differences(np.ascontiguousarray(x[i, 4:]), np.ascontiguousarray(x[j, 4:]))
+            i, j = begin[np.cumsum(new) - 1], np.arange(len(x))
+            i, j = i[i != j], j[i != j]
+            d = _differences(np.ascontiguousarray(x[i, 3:]), np.ascontiguousarray(x[j, 3:]))
             use = _chained(d, distance) & (d.sum(axis=1) <= distance)
-            a, b = x[i[use], 2], x[j[use], 2]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            last = begin[-1]
-            kept = x[last : last + 1] if leads_only else x[max(last, len(x) - CROWD) :]
+            yield pa.RecordBatch.from_arrays([pa.array(x[i[use], 2]), pa.array(x[j[use], 2])], ["a", "b"])
+            lead = x[begin[-1] : begin[-1] + 1]
 
-    order = ["table", "key", "id"] if leads_only else ["table", "key", "f0", "f1", "f2", "f3", "id"]
-    dealt = keyed.select(*names).repartition("table", "key").sortWithinPartitions(*order)
+    dealt = keyed.select(*names).repartitionByRange("table", "key", "id").sortWithinPartitions("table", "key", "id")
     return dealt.mapInArrow(apply, "a long, b long").distinct()
 
 
@@ -153,13 +136,6 @@ def _shingle_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
     return [np.unique(h[lo:hi]).view(np.int64) for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
 
 
-def _crowded(keyed: DataFrame) -> DataFrame:
-    """(id, component) of texts in keys that are too full to compare all, unless they are one component."""
-    full = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    full = full.filter((F.col("n") > CROWD + 1) & (F.col("lo") < F.col("hi"))).select("table", "key")
-    return keyed.select("table", "key", "id", "component").join(full, ["table", "key"], "left_semi").select("id", "component").distinct()
-
-
 def _prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b) of different components, among them all with that similarity. `texts` has id, component, text."""
     spark = texts.sparkSession
@@ -191,7 +167,8 @@ def _prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFram
 
     prefix = stored(texts.select("id", "component", "text").mapInArrow(first, "shingle long, id long, component long, n long"), "first-shingles")
     met = prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    rows = stored(prefix.join(met.select("shingle", F.ceil(F.col("c") / SALTED).alias("parts")), "shingle"), "shared-shingles")
+    parts = stored(met.select("shingle", F.ceil(F.col("c") / SALTED).alias("parts"), "c"), "met-shingles")
+    rows = stored(join_by_hot_key(prefix, parts, "shingle", "c").filter("parts is not null"), "shared-shingles")
     left = rows.select("shingle", F.pmod(F.xxhash64("id"), "parts").alias("salt"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
     right = rows.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
     near = (F.col("na") >= similarity * F.col("nb") - 1e-9) & (F.col("nb") >= similarity * F.col("na") - 1e-9)
@@ -218,8 +195,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row per row of `docs`: (id, component_id), the least id that links of that similarity reach.
 
     Words are lower-cased (A-Z). Equal texts always link; null counts as empty. Ids are longs; rows with a null
-    id have component null and link nothing. Candidates are found with a probability that grows with the
-    similarity (tests measure it), and all of them among texts of crowded keys; links are exact. An empty table gives an empty result.
+    id have component null and link nothing. No link between different texts is lost, and none is made below
+    the similarity (but for two shingles of one 64-bit hash). An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     named = rows.filter("id is not null").select("id", F.struct(F.xxhash64("text"), F.xxhash64(F.lit("again"), "text")).alias("same"), "text")
@@ -233,9 +210,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     share = float(np.arccos(cosine) / np.pi)
     distance = int(BITS * share + 2.5 * (BITS * share * (1 - share)) ** 0.5)
 
-    def keyed(components: DataFrame) -> DataFrame:
-        placed = marked.join(components, marked.id == components.node, "left").withColumn("component", F.coalesce("component", "id"))
-        return placed.select("id", "component", *[F.col("fp")[i].alias(f"f{i}") for i in range(4)], F.posexplode("keys").alias("table", "key"))
+    keyed = marked.select("id", *[F.col("fp")[i].alias(f"f{i}") for i in range(4)], F.posexplode("keys").alias("table", "key"))
 
     def links(found: DataFrame) -> DataFrame:
         pairs = stored(found, "candidates")
@@ -244,10 +219,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         sides = pairs.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         return stored(_jaccard(sides, shingle, similarity), "near-links")
 
-    led = links(_candidates(keyed(docs.sparkSession.createDataFrame([], "node long, component long")), distance, True))
-    dealt = keyed(connected_components(led, "a", "b"))
-    crowd = stored(texts.join(_crowded(dealt), "id"), "crowded-texts")
-    both = led.union(links(_candidates(dealt, distance, False).union(_prefix_pairs(crowd, shingle, similarity)).distinct()))
+    led = links(_candidates(keyed, distance))
+    joined = connected_components(led, "a", "b").withColumnRenamed("node", "id")
+    placed = stored(texts.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "texts-of-components")
+    both = led.union(links(_prefix_pairs(placed, shingle, similarity)))
     groups = connected_components(both, "a", "b")
     component = first.join(groups, first.least == groups.node, "left").select("same", "n", F.coalesce("component", "least").alias("component_id"))
     found = join_by_hot_key(copies, component, "same", "n").select(F.col("id").alias(id_col), "component_id")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -442,3 +443,24 @@ def test_crowded_keys_miss_no_near_copy(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicate_groups(df).collect()}
     assert got == dict(enumerate(want)) and len(set(want)) == 110
+
+
+def test_no_link_of_near_copies_is_lost(spark):
+    """All pairs of different texts of the given table at that similarity, by brute force over their shingles."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the test tables")
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = {r.doc_id: WORD.findall((r.text or "").encode().lower().decode()) for r in df.select("doc_id", "text").collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, w in rows.items()}
+    holders = collections.defaultdict(list)
+    for i, x in sets.items():
+        for k in x:
+            holders[k].append(i)
+    pairs = {(a, b) for h in holders.values() if len(h) < 400 for a in h for b in h if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    want = {i: i for i in rows}
+    for _ in range(6):
+        for a, b in sorted(pairs):
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r.doc_id: r.component_id for r in near_duplicate_groups(df).collect()}
+    assert got == want and any(rows[a] != rows[b] for a, b in pairs)
