@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,28 +81,63 @@ def stream_deltas(df: DataFrame, provider: str = "openai", chunk_col: str = "chu
     return df.withColumn("delta", text)
 
 
-def _steps(path: str) -> list[str | int]:
-    return [int(s) if s.isdigit() else s for s in path.replace("]", "").replace("[", ".").split(".")]
+#: A step of a path: a quoted key in brackets, an index in brackets, or a plain key.
+_STEP = re.compile(r"\['((?:[^'\\]|\\.)*)'\]|\[(\d+)\]|\.?([^.\[\]]+)")
+_BLANK = re.compile(r"[ \t\n\r]*")
+_skip = json.JSONDecoder().raw_decode
+
 
+def _steps(path: str) -> list[str | int]:
+    """Keys and indexes of a path like messages[0].content or ['a.b'].text."""
+    return [int(m[2]) if m[2] is not None else m[3] if m[3] is not None else re.sub(r"\\(.)", r"\1", m[1]) for m in _STEP.finditer(path)]
+
+
+def _after(body: str, at: int) -> int:
+    return _BLANK.match(body, at).end()
+
+
+def _place(body: str, steps: list[str | int]) -> tuple[int, int]:
+    """Where the value at a path stands in a JSON text: [begin, end). KeyError if there is none. Of equal keys the last one counts."""
+    at = _after(body, 0)
+    for step in steps:
+        if body[at] != ("[" if isinstance(step, int) else "{"):
+            raise KeyError(step)
+        found, n, at = None, 0, _after(body, at + 1)
+        while body[at] not in "]}":
+            key: str | int = n
+            if not isinstance(step, int):
+                key, at = json.decoder.scanstring(body, at + 1)
+                at = _after(body, _after(body, at) + 1)
+            if key == step:
+                found = at
+            at = _after(body, _skip(body, at)[1])
+            if body[at] == ",":
+                at = _after(body, at + 1)
+            n += 1
+        if found is None:
+            raise KeyError(step)
+        at = found
+    return at, _skip(body, at)[1]
 
 
 def _put(bodies: pd.Series, changes: pd.Series) -> pd.Series:
     def one(body, new):
         if body is None or new is None or not len(new):
             return body
-        doc = json.loads(body)
-        for c in new:
-            *way, last = _steps(c["path"])
-            at = doc
-            for s in way:
-                at = at[s]
-            at[last] = c["text"]
-        return json.dumps(doc, ensure_ascii=False)
+        # from the back, so that places in front stay
+        for (begin, end), text in sorted(((_place(body, _steps(c["path"])), c["text"]) for c in new), reverse=True):
+            body = body[:begin] + json.dumps(text, ensure_ascii=False) + body[end:]
+        return body
 
     return pd.Series([one(b, n) for b, n in zip(bodies, changes, strict=True)])
 
 
 def set_texts(df: DataFrame, replacements: DataFrame, body_col: str = "body", id_col: str = "request_id") -> DataFrame:
-    """`df` with the texts of `replacements` (id, path, text) put at their paths; everything else in a body stays."""
+    """`df` with the texts of `replacements` (id, path, text) put at their paths.
+
+    Only the characters of these values change: numbers, blanks, escapes and unknown fields stay as they are written. A
+    key with dots, brackets or quotes is written as ['key'] in a path. A path that a body doesn't have is an error. A null
+    text becomes JSON's null.
+    """
     changes = replacements.groupBy(id_col).agg(F.collect_list(F.struct("path", "text")).alias("_changes"))
     return df.join(changes, id_col, "left").withColumn(body_col, F.pandas_udf(_put, "string")(F.col(body_col), F.col("_changes"))).drop("_changes")

@@ -146,3 +146,22 @@ def test_texts_without_tokens_are_not_shuffled(spark):
         assert got == {0: ("OK", 0, 0), 1: (None, 0, 0), 2: ("", 0, 0), 3: ("sg", 0, 0), 4: ("a@b.c", 1, 0), 5: ("a@b.c", 1, 0), 9: (token, 0, 1), 10: (token, 0, 1)}
     plan = restore(df, vault, tiers=("exact",))._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan and "NOT coalesce(RLIKE(text" in plan
+
+
+def test_only_the_texts_of_a_body_change(spark):
+    from pallium.sources.chat import _place, _steps, request_texts, set_texts
+
+    body = '{ "temperature": 1.50e0,\n "big": 12345678901234567890, "a.b": {"x": [1, {"text": "old\\u00e9"}]},  "messages": [ {"role":"user","content":"one"} , {"content": [{"type":"image_url"},{"type": "text", "text" : "two"}]}], "esc": "\\u0041\\/", "prompt": "p" }'
+    new = [("messages[0].content", 'a "b"\n'), ("messages[1].content[1].text", "zwei €"), ("prompt", ""), ("['a.b'].x[1].text", None)]
+    df = spark.createDataFrame([(1, body), (2, body), (3, None)], "request_id int, body string")
+    out = {r.request_id: r.body for r in set_texts(df, spark.createDataFrame([(1, p, t) for p, t in new] + [(3, "prompt", "x")], "request_id int, path string, text string")).collect()}
+    want = body.replace('"one"', '"a \\"b\\"\\n"').replace('"two"', '"zwei €"').replace('"prompt": "p"', '"prompt": ""').replace('"old\\u00e9"', "null")
+    assert out == {1: want, 2: body, 3: None}
+    # every path that is read can be written
+    for r in request_texts(df.filter("request_id = 1")).collect():
+        begin, end = _place(body, _steps(r.path))
+        assert body[begin:end] == f'"{r.text}"'
+    for path in ("nothing", "messages[7].content", "prompt.x", "messages.x"):
+        with pytest.raises(KeyError):
+            _place(body, _steps(path))
+    assert _steps("a[0]['b.c\\'d'].e") == ["a", 0, "b.c'd", "e"]
