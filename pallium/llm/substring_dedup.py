@@ -4,7 +4,7 @@ Fixed-block anchors. A block is `window // 2 + 1` words. The reference index hol
 at multiples of the block length in their document; every rolling window of that length probes it. Any
 repeat of `window` words has an indexed block on one side and the equal probe on the other, so each of its
 words lies near a hit. Hits are then extended: the `window`-word sequences around them are compared by
-their own 64-bit hash and bucket, and overlapping equal ones together form the maximal exact repeats.
+a 64-bit hash and by their bucket, which another hash chooses, and overlapping equal ones together form the maximal exact repeats.
 
 Documents are dealt into chunks of a few MB by the hash of their id and text. A chunk sends each key once to each
 bucket, packed, however often the passage occurs in it, so a passage found in a third of all documents
@@ -43,10 +43,10 @@ def _block_keys(words: Words, block: int, buckets: int) -> tuple[np.ndarray, np.
     return at, key, place % block == 0
 
 
-def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Slices of sorted `bucket << 32 | key` values, one for each bucket that occurs."""
-    cut = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)).tolist()
-    return ((b, slice(lo, hi)) for b, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if hi > lo)
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Slices of sorted bucket numbers, one for each bucket that occurs: the work grows with the keys, not with the buckets."""
+    begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=np.int64)
+    return ((int(b), slice(lo, hi)) for b, lo, hi in zip(bucket[begin].tolist(), begin.tolist(), np.append(begin[1:], len(bucket)).tolist(), strict=True))
 
 
 def _bits(x: np.ndarray) -> bytes:
@@ -67,7 +67,7 @@ def _anchors(id_col: str, text_col: str, block: int, buckets: int):
         unique, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         reference = np.zeros(len(unique), dtype=bool)
         reference[inverse[aligned]] = True
-        rows = [(chunk, b, (unique[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), _bits(reference[s]), _bits(count[s] > 1)) for b, s in _by_bucket(unique, buckets)]
+        rows = [(chunk, b, (unique[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), _bits(reference[s]), _bits(count[s] > 1)) for b, s in _by_bucket(unique >> np.uint64(32))]
         return _table(rows, [("chunk", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("aligned", pa.binary()), ("twice", pa.binary())])
 
     return emit
@@ -113,7 +113,7 @@ def _extend(id_col: str, text_col: str, window: int, block: int, buckets: int, w
         unique, inverse = np.unique(key, return_inverse=True)
         hit = np.zeros(len(unique), dtype=bool)
         found = dict(zip(hits["bucket"].to_pylist(), hits["hits"].to_pylist(), strict=True))
-        for b, s in _by_bucket(unique, buckets):
+        for b, s in _by_bucket(unique >> np.uint64(32)):
             if b in found:
                 hit[s] = _unbits(found[b], s.stop - s.start)
         near = np.zeros(len(words) + 1, dtype=np.int64)
@@ -123,18 +123,20 @@ def _extend(id_col: str, text_col: str, window: int, block: int, buckets: int, w
         # a window's blocks start at its first window - block + 1 words
         near_hit = near[first + window - block + 1] > near[first]
         h, place = np.unique(h[near_hit], return_index=True)
-        place = first[near_hit][place].astype(np.uint32)
-        bucket = mix_bucket(h, wide)
+        first = first[near_hit][place]
+        bucket = _second(words, window, first) % np.uint64(wide)
         order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(wide + 1)).tolist()
-        rows = [(chunk, b, h[o].tobytes(), place[o].tobytes()) for b in range(wide) if len(o := order[cut[b] : cut[b + 1]])]
+        rows = [(chunk, b, h[order[s]].tobytes(), first[order[s]].astype(np.uint32).tobytes()) for b, s in _by_bucket(bucket[order])]
         return _table(rows, fields)
 
     return emit
 
 
-def mix_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+def _second(words: Words, window: int, first: np.ndarray) -> np.ndarray:
+    """Another hash of the windows that begin at these words, independent of the first one. It chooses a window's bucket, so as many
+    more bits are compared as the number of buckets has."""
+    at, h = words.windows(words.hashes(), window, 3)
+    return h[np.searchsorted(at, first)]
 
 
 def _answer_repeats(keep_first: bool):
@@ -169,7 +171,10 @@ def _remove(id_col: str, text_col: str, id_type: pa.DataType, window: int, keep_
         first, h = words.windows(words.hashes(), window, 2)
         gone = np.zeros(len(words) + 1, dtype=bool)  # by first word of the window
         _, place, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        # equal by two hashes
         again = count[inverse] > 1
+        other = _second(words, window, first) if again.any() else h
+        again &= other == other[place[inverse]] if again.any() else again
         if keep_first:
             again &= place[inverse] != np.arange(len(h))
         gone[first[again]] = True
