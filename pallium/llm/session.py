@@ -38,17 +38,19 @@ def text_megabytes(docs: DataFrame, column: str = "text") -> float:
     return (row["n"] or 0) / 1e6
 
 
-def join_by_hot_key(left: DataFrame, right: DataFrame, key: str, weight: str, total: int | None = None, hot_share: float = 1e-3) -> DataFrame:
+def join_by_hot_key(left: DataFrame, right: DataFrame, key: str, weight: str, total: int | None = None, hot_share: float | None = None) -> DataFrame:
     """left join of `left` with `right` (unique by `key`), where few keys may hold most left rows.
 
     `right[weight]` says how many left rows have the key, `total` how many there are (counted if not given). Keys
-    with over `hot_share` of them number at most 1 / hot_share: that is the proven size of what is broadcast. Their
+    with over `hot_share` of them number at most 1 / hot_share: that is the proven size of what is broadcast. Unless given, it is a
+    thousandth, or a quarter of what a shuffle partition holds on average if that is less, so no other key makes a task much larger than the rest. Their
     left rows stay where they are, all others are joined by a shuffle. `left` is read twice, so it should be stored.
     `weight` isn't returned.
     """
     if total is None:
         total = right.agg(F.sum(weight).alias("n")).first()["n"] or 0
-    least = max(hot_share * total, 100)
+    share = hot_share or min(1e-3, 1 / (4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    least = max(share * total, 100)
     hot = right.filter(F.col(weight) > least).drop(weight)
     cold = right.filter(F.col(weight) <= least).drop(weight)
     spread = left.join(F.broadcast(hot), key)

@@ -464,3 +464,12 @@ def test_no_link_of_near_copies_is_lost(spark):
             want[a] = want[b] = min(want[a], want[b])
     got = {r.doc_id: r.component_id for r in near_duplicate_groups(df).collect()}
     assert got == want and any(rows[a] != rows[b] for a, b in pairs)
+
+
+def test_binomial_tails_against_sums():
+    import math
+
+    for n, k, p in [(1, 0, 0.3), (10, 3, 0.05), (600, 2, 0.01), (600, 599, 0.9), (600, 600, 0.5), (37, 36, 0.99), (900, 45, 0.05)]:
+        want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+        assert Q.binomial_tail(k, n, p) == pytest.approx(want, rel=1e-9)
+    assert 0.4 < Q.binomial_tail(10**8, 10**10, 0.01) < 0.6, "work doesn't grow with k"
