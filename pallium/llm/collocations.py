@@ -28,7 +28,7 @@ from pallium.llm.words import mix, pieces, text_bytes
 #: Bits of the bitmap of frequent n-grams of an order.
 FILTER_BITS = 1 << 26
 #: Bytes of text that are counted together.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
