@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pallium.llm.session import join_by_hot_key, stored
+from pallium.llm.session import join_by_hot_key, stored, temporary_tables
 
 WORD = r"[^\x20\x09-\x0D]"
 #: Neighbouring classes that one task numbers.
@@ -164,12 +164,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result; other columns are ignored.
     """
     docs = _numbered(docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
-    lines = stored(document_lines(docs), "lines")
-    levels = suffix_levels(lines)
-    classes = suffix_classes(levels)
-    gone = lines.select("at", "line", "place").join(repeated_lines(levels, classes, min_lines, alone_words), ["at", "line"])
-    runs = repeated_runs(levels, classes).select("at", F.lit(None).cast("int").alias("place"), "length")
-    found = gone.select("at", "place", F.lit(0).alias("length")).union(runs).groupBy("at").agg(F.array_sort(F.collect_set("place")).alias("places"), F.max("length").alias("longest"))
+    with temporary_tables(docs.sparkSession):
+        lines = stored(document_lines(docs), "lines")
+        levels = suffix_levels(lines)
+        classes = suffix_classes(levels)
+        gone = lines.select("at", "line", "place").join(repeated_lines(levels, classes, min_lines, alone_words), ["at", "line"])
+        runs = repeated_runs(levels, classes).select("at", F.lit(None).cast("int").alias("place"), "length")
+        found = gone.select("at", "place", F.lit(0).alias("length")).union(runs).groupBy("at").agg(F.array_sort(F.collect_set("place")).alias("places"), F.max("length").alias("longest"))
+        found = stored(found, "lines-that-go", keep=True)
     joined = docs.join(found, "at", "left")
     split, places = F.split("text", "\n", -1), F.coalesce(F.col("places"), F.array().cast("array<int>"))
     kept = F.transform(F.array(split), lambda x: F.array_join(F.flatten(F.transform(_kept_runs(F.col("places")), lambda r: F.slice(x, r["from"], r["length"]))), "\n"))[0]

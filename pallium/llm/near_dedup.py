@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pallium.llm.components import connected_components
-from pallium.llm.session import join_by_hot_key, stored
+from pallium.llm.session import join_by_hot_key, stored, temporary_tables
 from pallium.llm.words import Words, mix, pieces, powers
 
 BITS, GROUP, TABLES, GROUPS_IN_KEY = 256, 32, 32, 3
 SEGMENTS = 8
 #: Every how many texts are counted for the order of shingles, and how many frequent shingles come last in it.
 COUNTED, FREQUENT = 4, 500_000
+#: Bits of the bitmap of first shingles that several texts have; a full one saves nothing and loses nothing.
+FILTER_BITS = 1 << 26
 #: Rows of one shingle on one side of a task's join.
 SALTED = 1000
 
@@ -136,6 +138,21 @@ def _shingle_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
     return [np.unique(h[lo:hi]).view(np.int64) for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
 
 
+def _set(bitmap: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    spot = shingles & (8 * len(bitmap) - 1)
+    return (bitmap[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+
+
+def _bitmap(met: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, set for all shingles of `met`; made by the executors in pages of 4 KB."""
+    spot = F.col("shingle").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    pages = met.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("set"))
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for r in pages.toLocalIterator():
+        out[(r["page"] - 1) * 4096 : r["page"] * 4096] = np.frombuffer(r["set"], dtype=np.uint8)
+    return out
+
+
 def _prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b) of different components, among them all with that similarity. `texts` has id, component, text."""
     spark = texts.sparkSession
@@ -149,26 +166,38 @@ def _prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFram
     often = counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 3").orderBy(F.desc("n"), "shingle").limit(FREQUENT).orderBy("shingle").toArrow()
     shared = spark.sparkContext.broadcast((often["shingle"].to_numpy(), often["n"].to_numpy()))
 
-    def first(batches):
+    def prefixes(part):
+        """Per text: (its first shingles, number of its shingles)."""
         value, number = shared.value
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                sets, size = [], []
-                for x in _shingle_sets(part.column("text"), shingle):
-                    at = np.minimum(np.searchsorted(value, x), max(len(value) - 1, 0))
-                    n = np.where(value[at] == x, number[at], 0) if len(value) else np.zeros(len(x), dtype=np.int64)
-                    sets.append(x[np.lexsort((x, n))][: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1])
-                    size.append(len(x))
-                times = [len(x) for x in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])), *[pa.array(np.repeat(part.column(c).to_numpy(), times)) for c in ("id", "component")], pa.array(np.repeat(np.array(size, dtype=np.int64), times))],
-                    ["shingle", "id", "component", "n"],
-                )
-
-    prefix = stored(texts.select("id", "component", "text").mapInArrow(first, "shingle long, id long, component long, n long"), "first-shingles")
-    met = prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    parts = stored(met.select("shingle", F.ceil(F.col("c") / SALTED).alias("parts"), "c"), "met-shingles")
-    rows = stored(join_by_hot_key(prefix, parts, "shingle", "c").filter("parts is not null"), "shared-shingles")
+        for x in _shingle_sets(part.column("text"), shingle):
+            at = np.minimum(np.searchsorted(value, x), max(len(value) - 1, 0))
+            n = np.where(value[at] == x, number[at], 0) if len(value) else np.zeros(len(x), dtype=np.int64)
+            yield x[np.lexsort((x, n))][: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1], len(x)
+
+    def first(filter_):
+        """(shingle, id, component, n) of first shingles, of those that the filter knows if there is one; without it, shingle and component alone."""
+
+        def apply(batches):
+            for batch in batches:
+                for part in pieces(batch, "text"):
+                    sets, size = zip(*prefixes(part)) if part.num_rows else ((), ())
+                    if filter_ is not None:
+                        sets = [x[_set(filter_.value, x)] for x in sets]
+                    times = [len(x) for x in sets]
+                    found = [pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])), pa.array(np.repeat(part.column("component").to_numpy(), times))]
+                    if filter_ is not None:
+                        found += [pa.array(np.repeat(part.column("id").to_numpy(), times)), pa.array(np.repeat(np.array(size, dtype=np.int64), times))]
+                    yield pa.RecordBatch.from_arrays(found, ["shingle", "component", "id", "n"][: len(found)])
+
+        return apply
+
+    # most first shingles are no other text's: which ones are is found by number alone, then only these go with their texts
+    alone = texts.select("id", "component", "text")
+    bare = alone.mapInArrow(first(None), "shingle long, component long")
+    met = stored(bare.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("shingle", F.ceil(F.col("c") / SALTED).alias("parts"), "c"), "met-shingles")
+    known = spark.sparkContext.broadcast(_bitmap(met))
+    prefix = stored(alone.mapInArrow(first(known), "shingle long, component long, id long, n long"), "first-shingles")
+    rows = stored(join_by_hot_key(prefix, met, "shingle", "c").filter("parts is not null"), "shared-shingles")
     left = rows.select("shingle", F.pmod(F.xxhash64("id"), "parts").alias("salt"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
     right = rows.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
     near = (F.col("na") >= similarity * F.col("nb") - 1e-9) & (F.col("nb") >= similarity * F.col("na") - 1e-9)
@@ -199,31 +228,32 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     the similarity (but for two shingles of one 64-bit hash). An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    named = rows.filter("id is not null").select("id", F.struct(F.xxhash64("text"), F.xxhash64(F.lit("again"), "text")).alias("same"), "text")
-    copies = stored(named.select("id", "same"), "text-ids")
-    first = stored(copies.groupBy("same").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-texts")
-    alone = first.select(F.col("least").alias("id"))
-    texts = stored(named.select("id", "text").join(alone, "id", "left_semi"), "texts")
-    marked = stored(_marked(texts, shingle), "margins")
-    # at this similarity about share * 256 bits differ; two and a half deviations above
-    cosine = 2 * similarity / (1 + similarity)
-    share = float(np.arccos(cosine) / np.pi)
-    distance = int(BITS * share + 2.5 * (BITS * share * (1 - share)) ** 0.5)
-
-    keyed = marked.select("id", *[F.col("fp")[i].alias(f"f{i}") for i in range(4)], F.posexplode("keys").alias("table", "key"))
-
-    def links(found: DataFrame) -> DataFrame:
-        pairs = stored(found, "candidates")
-        # only texts of candidates travel
-        wanted = stored(texts.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi"), "candidate-texts")
-        sides = pairs.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        return stored(_jaccard(sides, shingle, similarity), "near-links")
-
-    led = links(_candidates(keyed, distance))
-    joined = connected_components(led, "a", "b").withColumnRenamed("node", "id")
-    placed = stored(texts.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "texts-of-components")
-    both = led.union(links(_prefix_pairs(placed, shingle, similarity)))
-    groups = connected_components(both, "a", "b")
-    component = first.join(groups, first.least == groups.node, "left").select("same", "n", F.coalesce("component", "least").alias("component_id"))
-    found = join_by_hot_key(copies, component, "same", "n").select(F.col("id").alias(id_col), "component_id")
+    with temporary_tables(docs.sparkSession):
+        named = rows.filter("id is not null").select("id", F.struct(F.xxhash64("text"), F.xxhash64(F.lit("again"), "text")).alias("same"), "text")
+        copies = stored(named.select("id", "same"), "text-ids")
+        first = stored(copies.groupBy("same").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-texts")
+        alone = first.select(F.col("least").alias("id"))
+        texts = stored(named.select("id", "text").join(alone, "id", "left_semi"), "texts")
+        marked = stored(_marked(texts, shingle), "margins")
+        # at this similarity about share * 256 bits differ; two and a half deviations above
+        cosine = 2 * similarity / (1 + similarity)
+        share = float(np.arccos(cosine) / np.pi)
+        distance = int(BITS * share + 2.5 * (BITS * share * (1 - share)) ** 0.5)
+
+        keyed = marked.select("id", *[F.col("fp")[i].alias(f"f{i}") for i in range(4)], F.posexplode("keys").alias("table", "key"))
+
+        def links(found: DataFrame) -> DataFrame:
+            pairs = stored(found, "candidates")
+            # only texts of candidates travel
+            wanted = stored(texts.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi"), "candidate-texts")
+            sides = pairs.join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+            return stored(_jaccard(sides, shingle, similarity), "near-links")
+
+        led = links(_candidates(keyed, distance))
+        joined = connected_components(led, "a", "b").withColumnRenamed("node", "id")
+        placed = stored(texts.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "texts-of-components")
+        both = led.union(links(_prefix_pairs(placed, shingle, similarity)))
+        groups = connected_components(both, "a", "b")
+        component = first.join(groups, first.least == groups.node, "left").select("same", "n", F.coalesce("component", "least").alias("component_id"))
+        found = stored(join_by_hot_key(copies, component, "same", "n").select(F.col("id").alias(id_col), "component_id"), "near-groups", keep=True)
     return found.unionByName(rows.filter("id is null").select(F.col("id").alias(id_col), F.lit(None).cast("long").alias("component_id")))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,14 +26,44 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there and work is done once."""
+#: Tables written by each thread that nobody has removed: (application, thread) -> paths.
+_WRITTEN: dict[tuple[str, int], list[str]] = {}
+
+
+def _written(spark: SparkSession) -> list[str]:
+    return _WRITTEN.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage ends there and work is done once.
+
+    The table goes with the next release(), or at the end of the temporary_tables() it is made in, unless `keep`.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _written(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, begin: int = 0) -> None:
+    """Removes the tables that this thread has stored, from number `begin` on. Whoever calls this reads none of them any more."""
+    paths = _written(spark)
+    for path in paths[begin:]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del paths[begin:]
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Tables stored within go at the end; what is read later must be stored with `keep`. After an error they stay, for those who look for its cause."""
+    begin = len(_written(spark))
+    yield
+    release(spark, begin)
+
+
 def text_megabytes(docs: DataFrame, column: str = "text") -> float:
     """Size of all texts, for choosing numbers of partitions."""
     row = docs.agg(F.sum(F.octet_length(column)).alias("n")).first()

@@ -473,3 +473,22 @@ def test_binomial_tails_against_sums():
         want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
         assert Q.binomial_tail(k, n, p) == pytest.approx(want, rel=1e-9)
     assert 0.4 < Q.binomial_tail(10**8, 10**10, 0.01) < 0.6, "work doesn't grow with k"
+
+
+def test_temporary_tables_go(spark, tmp_path, monkeypatch):
+    from pallium.llm import session
+    from pallium.llm.session import release, stored, temporary_tables
+
+    release(spark)
+    monkeypatch.setattr(session, "shared_folder", lambda spark: f"file://{tmp_path}")
+    names = lambda: sorted(p.split("-")[0] for p in os.listdir(tmp_path))
+    first = stored(spark.range(3), "first")
+    with temporary_tables(spark):
+        inner = stored(spark.range(5), "inner")
+        kept = stored(inner.filter("id > 1"), "kept", keep=True)
+    assert names() == ["first", "kept"] and first.count() == kept.count() == 3
+    release(spark)
+    assert names() == ["kept"]
+    df = spark.createDataFrame([(i, "one line of some eight words or even more\nshort") for i in range(5)], "doc_id long, text string")
+    assert LD.line_dedup(df).filter("n_removed > 0").count() == 4 and near_duplicate_groups(df).filter("component_id = 0").count() == 5
+    assert names() == ["kept", "lines", "near"]
