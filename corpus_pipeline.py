@@ -10,7 +10,7 @@ from pallium.llm.line_dedup import line_dedup
 from pallium.llm.near_dedup import near_duplicate_groups
 from pallium.llm.packing import pack
 from pallium.llm.quality import judge
-from pallium.llm.session import stored
+from pallium.llm.session import release, stored
 from pallium.llm.substring_dedup import substring_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -38,12 +38,14 @@ def _with_text(docs: DataFrame, new: DataFrame, text: str) -> DataFrame:
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the later copies of repeated line runs; documents that were such copies throughout go."""
+    release(spark)
     docs = _numbered(docs)
     return _with_text(docs, line_dedup(docs, "row_id"), "kept_text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least row number, of each group at a similarity of 0.8 of five-word shingles."""
+    release(spark)
     docs = _numbered(docs)
     gone = near_duplicate_groups(docs, "row_id").filter("row_id <> component_id").select("row_id")
     return docs.join(gone, "row_id", "left_anti").select(*COLUMNS)
@@ -51,12 +53,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without all but the first copy of each repeated passage of 35 words or more."""
+    release(spark)
     docs = _numbered(docs)
     return _with_text(docs, substring_dedup(docs, "row_id", keep_first=True, spaced=False), "kept_text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
+    release(spark)
     out = pack(docs, TOKENIZER)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -74,10 +78,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written and read again by the next."""
+    """All stages over `documents`, each written and read again by the next. A stage begins by removing what those before it had stored for themselves."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = stored(docs, name.replace(" ", "-"))
+            docs = stored(docs, name.replace(" ", "-"), keep=True)
     return docs
