@@ -44,7 +44,7 @@ def safe_cut(buffer: str, tail: int) -> int:
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """The state store that reordering and session expiry need; set before their queries start."""
+    """The state store that reordering and session expiry need, for all queries that the session starts from now on. Queries that go on from a checkpoint keep theirs."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -138,8 +138,9 @@ def chunk_stream(chunks: DataFrame, tail: int = 96, gap_ms: int = 60_000, first:
     Numbers begin at `first`. A chunk that comes early waits for those before it, over micro-batches, up to `gap_ms`
     since the last chunk came; then the missing ones are given up. Given up, and repeated or later than that, they
     are reported by a row with a null text and the part -1 - seq (of the first of them). The rest of a text goes out with
-    its last chunk, or after `gap_ms` without one. Needs use_rocksdb().
+    its last chunk, or after `gap_ms` without one. Sets use_rocksdb() for the session.
     """
+    use_rocksdb(chunks.sparkSession)
     kind = chunks.schema["stream_id"].dataType.simpleString()
     return chunks.groupBy("stream_id").transformWithStateInPandas(Reorder(first, tail, gap_ms), f"stream_id {kind}, part long, text string", "Append", "ProcessingTime")
 
@@ -222,8 +223,9 @@ def expired_stream(events: DataFrame, ttl_seconds: int = 3600, watermark: str =
     """(session, started, last_seen, expires, events) of sessions as they end, from a stream of their reads and stores.
 
     Every event renews its session; one that comes `ttl_seconds` or more after the last begins a new session. A session ends when the
-    watermark passes its expiry. Events behind the watermark are dropped. Needs use_rocksdb().
+    watermark passes its expiry. Events behind the watermark are dropped. Sets use_rocksdb() for the session.
     """
+    use_rocksdb(events.sparkSession)
     kind = events.schema[session_col].dataType.simpleString()
     timed = events.withWatermark(ts, watermark).select(F.col(session_col).alias("session"), ts, F.unix_micros(ts).alias("at_us"))
     out = timed.groupBy("session").transformWithStateInPandas(Expire(ttl_seconds * 1_000_000), f"session {kind}, started long, last_seen long, expires long, events long", "Append", "EventTime")
