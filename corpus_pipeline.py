@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pallium.llm.line_dedup import line_dedup
 from pallium.llm.near_dedup import near_duplicate_groups
 from pallium.llm.packing import pack
-from pallium.llm.quality import judge
+from pallium.llm.quality import apply_cutoffs, fit_cutoffs, text_signals
 from pallium.llm.session import release, stored
 from pallium.llm.substring_dedup import substring_dedup
 
@@ -23,11 +23,15 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the risk-controlled cutoffs keep."""
-    docs = _numbered(docs)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").distinct()
-    kept = judge(docs, docs.select("row_id", "doc_id").join(labels, "doc_id"), id_col="row_id").filter("kept").select("row_id")
-    return docs.join(kept, "row_id", "left_semi").select(*COLUMNS)
+    """Documents that the base rules and the risk-controlled cutoffs keep, with a row number.
+
+    Cutoffs are fitted first; then each document is judged where it is read, so no text is shuffled or written beside the result.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    cutoffs = fit_cutoffs(stored(text_signals(docs), "signals"), labels)
+    whole = docs.withColumn("_row", F.struct(*[c for c in COLUMNS if c != "row_id"]))
+    kept = apply_cutoffs(text_signals(whole, "_row"), cutoffs).filter("kept").select("_row.*")
+    return kept.withColumn("row_id", F.monotonically_increasing_id()).select(*COLUMNS)
 
 
 def _with_text(docs: DataFrame, new: DataFrame, text: str) -> DataFrame:
