@@ -79,9 +79,14 @@ def mask(df: DataFrame, text_col: str = "text", session_col: str = "session_id",
 
 
 def split_failed(masked: DataFrame, keys: list[str], text_col: str = "text", masked_col: str = "masked_text") -> tuple[DataFrame, DataFrame]:
-    """(rows safe to pass on, quarantine of keys and reason): no text ever goes on unmasked after a failure."""
+    """(rows safe to pass on, quarantine of keys and reason): no text ever goes on unmasked after a failure.
+
+    The reason is generated, then filtered: a plain filter would move before the masked text is made, and Spark would
+    run the recognizers in it once for each time that the masking names the spans.
+    """
     failed = F.col(masked_col).isNull() & F.col(text_col).isNotNull()
     if "errors" in masked.columns:
         failed = failed | (F.size("errors") > 0)
     reason = F.when(F.col(masked_col).isNull(), "masking failed").otherwise("recognizer failed")
-    return masked.filter(~F.coalesce(failed, F.lit(True))), masked.filter(F.coalesce(failed, F.lit(True))).select(*keys, reason.alias("reason"))
+    judged = masked.select("*", F.explode_outer(F.array(F.when(F.coalesce(failed, F.lit(True)), reason))).alias("_reason"))
+    return judged.filter("_reason is null").drop("_reason"), judged.filter("_reason is not null").select(*keys, F.col("_reason").alias("reason"))

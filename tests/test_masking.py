@@ -73,6 +73,15 @@ def test_failures_go_to_quarantine(spark):
     assert {r.id for r in ok.collect()} == {2, 3} and bad.columns == ["id", "reason"] and bad.first().id == 1
 
 
+def test_failed_rows_are_told_without_another_detection(spark):
+    texts = spark.createDataFrame([(1, "s", "mail a@b.com"), (2, "s", "none"), (3, "s", None)], "id int, session_id string, text string")
+    plain = mask(detect(texts))
+    ok, bad = split_failed(plain.withColumn("masked_text", F.when(F.col("id") != 2, F.col("masked_text"))), ["id"])
+    assert [tuple(r) for r in bad.collect()] == [(2, "masking failed")] and sorted(r.id for r in ok.collect()) == [1, 3] and ok.columns == plain.columns
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("@[a-zA-Z0-9.")
+    assert 0 < scans(plain) == scans(bad) == scans(ok)
+
+
 def test_token_forms(spark):
     row = spark.range(1).select(token(F.lit("s"), F.lit("tn-national id"), F.lit("v"), 8).alias("t"), normalize_type(F.lit(" tn - phone ")).alias("n")).first()
     assert row.t.startswith("{{SG_TN_NATIONAL_ID_") and len(row.t) == len("{{SG_TN_NATIONAL_ID_}}") + 8 and row.n == "TN_PHONE"
