@@ -70,8 +70,9 @@ def pieces_of_values(values: DataFrame, session_col: str) -> DataFrame:
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length("_value") - PIECE + 1, F.lit(1))), lambda i: F.substring(raw, i, F.lit(PIECE)))
     rows = values.select(session_col, "_value", F.explode(F.array_distinct(windows)).alias("_piece")).distinct()
     shared = rows.groupBy(session_col, "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = rows.join(shared, [session_col, "_piece"]).groupBy(session_col, "_value").agg(F.min_by("_piece", F.struct("_n", F.xxhash64("_piece"), "_piece")).alias("_piece"))
-    return values.join(rarest, [session_col, "_value"])
+    # tables as large as the values: a broadcast would take them through the driver
+    rarest = rows.join(shared.hint("merge"), [session_col, "_piece"]).groupBy(session_col, "_value").agg(F.min_by("_piece", F.struct("_n", F.xxhash64("_piece"), "_piece")).alias("_piece"))
+    return values.join(rarest.hint("merge"), [session_col, "_value"])
 
 
 def _filter(pieces: DataFrame, session_col: str, bits: int) -> np.ndarray:
@@ -142,5 +143,5 @@ def leaks(masked: DataFrame, detections: DataFrame, keys: list[str], masked_col:
         here = [x if filters == 1 else x.filter(dealt == k) for x in (named, texts)]
         hits = _hits(here[1], columns, session_col, _filter(here[0], session_col, bits), sorted(size["sizes"]), size["reach"] or 0)
         found = hits if found is None else found.unionByName(hits)
-    met = found.join(named, [session_col, "_piece"])
+    met = found.join(named.hint("merge"), [session_col, "_piece"])
     return met.filter(F.contains("_around", F.col("_value").cast("binary"))).select(*keys, "entity_type").distinct()

@@ -8,7 +8,7 @@ from pallium.operators.detect import detect, detections
 from pallium.operators.mask import mask, normalize_type, split_failed, token
 from pallium.operators.restore import restore, round_trip
 from pallium.operators.sensitivity import sensitivity
-from pallium.operators.leaks import leaks
+from pallium.operators.leaks import leaks, pieces_of_values
 from pallium.operators.vault import build_vault, purge_expired, read_vault, seal, token_clashes, unseal, upsert_vault, write_vault
 
 
@@ -73,6 +73,17 @@ def test_failures_go_to_quarantine(spark):
     assert {r.id for r in ok.collect()} == {2, 3} and bad.columns == ["id", "reason"] and bad.first().id == 1
 
 
+def test_leaks_send_no_table_through_the_driver(spark):
+    texts = spark.createDataFrame([(1, "s", "mail a@b.com"), (2, "s", "none")], "id int, session_id string, masked_text string")
+    values = spark.createDataFrame([("s", "EMAIL", "a@b.com"), ("s", "EMAIL", "c@b.com")], "session_id string, entity_type string, text string")
+    pieces = pieces_of_values(values.withColumnRenamed("text", "_value"), "session_id")
+    found = leaks(texts, values, ["id"])
+    assert pieces.count() == 2 and [tuple(r) for r in found.collect()] == [(1, "EMAIL")]
+    for df in (pieces, found):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_failed_rows_are_told_without_another_detection(spark):
     texts = spark.createDataFrame([(1, "s", "mail a@b.com"), (2, "s", "none"), (3, "s", None)], "id int, session_id string, text string")
     plain = mask(detect(texts))
