@@ -46,7 +46,7 @@ def _block_keys(words: Words, block: int, buckets: int) -> tuple[np.ndarray, np.
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Slices of sorted bucket numbers, one for each bucket that occurs: the work grows with the keys, not with the buckets."""
     begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=np.int64)
-    return ((int(b), slice(lo, hi)) for b, lo, hi in zip(bucket[begin].tolist(), begin.tolist(), np.append(begin[1:], len(bucket)).tolist(), strict=True))
+    return ((int(b), slice(lo, hi)) for b, lo, hi in zip(bucket[begin].tolist(), begin.tolist(), np.append(begin, len(bucket))[1:].tolist(), strict=True))
 
 
 def _bits(x: np.ndarray) -> bytes:
