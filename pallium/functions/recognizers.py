@@ -61,6 +61,18 @@ def _joined(found: list[str]) -> str:
     return f"concat({', '.join(found)})"
 
 
+def _found(pattern: str, found: str, flags: str = "(?U)") -> str:
+    """`found`, an expression over the matches `hits` of a pattern, of texts that have some; what it needs of the text is not looked for in others."""
+    return let("hits", matches("t", pattern, flags), _where("size(hits) > 0", found))
+
+
+def _all_found(patterns: list[str], name: str, value: str, found: Callable[[str, int], str], flags: str = "(?U)") -> str:
+    """The spans `found` of the matches of several patterns, with `name` for a `value` of the text that is looked for only if there are some."""
+    all_hits = "array(" + ", ".join(matches("t", p, flags) for p in patterns) + ")"
+    joined = _joined([found(f"hits[{i}]", i) for i in range(len(patterns))])
+    return let("hits", all_hits, _where("exists(hits, h -> size(h) > 0)", let(name, value, joined)))
+
+
 def _listed(entity: str, locale: str, specs: list[tuple[str, float]], flags: str = IU, test: str = "true"):
     def find(rank: int) -> str:
         return _where(test, _joined([spans(matches("t", p, flags), entity, locale, rank, i, s) for i, (p, s) in enumerate(specs)]))
@@ -115,7 +127,8 @@ def _person(rank: int) -> str:
     titled = spans(_inner_name(matches("t", rf"\b{P.TITLES}\.?\s+{P.NAME}", IU)), "PERSON_NAME", "universal", rank, 0, 0.85)
     # a hit with the same span as a titled one loses in the fold, as its score is lower
     named = spans(_inner_name(matches("t", rf"\b{P.NAME_CONTEXTS}\s*[:=\-]?\s*{P.NAME}", IU)), "PERSON_NAME", "universal", rank, 1, 0.75)
-    return _joined([titled, named])
+    # what is left of a match is a name as it stands in the text, so there is none without such a name
+    return _where(_has("t", P.NAME, "(?U)"), _joined([titled, named]))
 
 
 def _birth(rank: int) -> str:
@@ -130,17 +143,17 @@ def _tn_id(rank: int) -> str:
     s = let("s", s, f"CASE WHEN {_has(around('pages', 50), P.TN_ID_CONTEXT)} THEN least(s + 0.15D, 0.98D) ELSE s END")
     s = let("s", s, "CASE WHEN replace(m.text, substring(m.text, 1, 1), '') = '' THEN greatest(s - 0.30D, 0.40D) ELSE s END")
     s = let("s", s, f"CASE WHEN {zero} THEN s ELSE least(s + 0.03D, 0.99D) END")
-    found = spans(matches("t", P.TN_ID), "TN_NATIONAL_ID", "tn", rank, 0, s)
-    return _where(f"{FIVE_DIGITS} AND {_has('t', P.TN_ID, '(?U)')}", let("context", _has("t", P.TN_ID_CONTEXT), let("pages", blocks_of("t"), found)))
+    found = spans("hits", "TN_NATIONAL_ID", "tn", rank, 0, s)
+    return _where(FIVE_DIGITS, _found(P.TN_ID, let("context", _has("t", P.TN_ID_CONTEXT), let("pages", blocks_of("t"), found))))
 
 
 def _tn_address(rank: int) -> str:
     postal = f"CASE WHEN cast(substring(m.text, 1, 4) AS int) BETWEEN 1000 AND 9999 THEN CASE WHEN {_has(around('pages', 60), P.TN_LOCALITY)} THEN 0.95 ELSE 0.90 END END"
     street = f"least(0.80D + CASE WHEN {_has('m.text', P.TN_NUMBER, '(?U)')} THEN 0.06D ELSE 0.0D END + CASE WHEN {_has('m.text', P.TN_LOCALITY)} THEN 0.06D ELSE 0.0D END, 0.95D)"
-    coded = let("pages", blocks_of("t"), spans(matches("t", P.TN_POSTAL, IU), "TN_ADDRESS", "tn", rank, 0, postal))
+    coded = _found(P.TN_POSTAL, let("pages", blocks_of("t"), spans("hits", "TN_ADDRESS", "tn", rank, 0, postal)), IU)
     return _joined(
         [
-            _where(f"{_has('t', FOUR_DIGITS, '')} AND {_has('t', P.TN_POSTAL)}", coded),
+            _where(_has("t", FOUR_DIGITS, ""), coded),
             _where(_fragments(P.TN_STREET_FRAGMENTS), spans(matches("t", P.TN_STREET, IU), "TN_ADDRESS", "tn", rank, 1, street)),
         ]
     )
@@ -166,18 +179,17 @@ def _fr_nir(rank: int) -> str:
         s = f"least({base}D + bonus, 0.99D)"
         return let("d", _BARE, f"CASE WHEN {valid} THEN CASE WHEN {key} THEN least({s} + 0.05D, 0.99D) ELSE {s} END END")
 
-    found = _joined([spans(matches("t", p), "FR_NIR", "fr", rank, i, score(s)) for i, (p, s) in enumerate(P.FR_NIRS)])
-    return _where(FIVE_DIGITS, let("bonus", f"CASE WHEN {_has('t', P.FR_NIR_CONTEXT)} THEN 0.08D ELSE 0.0D END", found))
+    bonus = f"CASE WHEN {_has('t', P.FR_NIR_CONTEXT)} THEN 0.08D ELSE 0.0D END"
+    return _where(FIVE_DIGITS, _all_found([p for p, _ in P.FR_NIRS], "bonus", bonus, lambda hits, i: spans(hits, "FR_NIR", "fr", rank, i, score(P.FR_NIRS[i][1]))))
 
 
 def _fr_company(rank: int) -> str:
     def score(n: int, with_: float, without: float) -> str:
         return let("d", _BARE, f"CASE WHEN length(d) = {n} AND {luhn_sql('d')} THEN CASE WHEN context THEN {with_} ELSE {without} END END")
 
-    siret = spans(matches("t", P.FR_SIRET), "FR_SIRET", "fr", rank, 0, score(14, 0.95, 0.80))
-    siren = spans(matches("t", P.FR_SIREN), "FR_SIREN", "fr", rank, 1, score(9, 0.90, 0.70))
+    kinds = [("FR_SIRET", score(14, 0.95, 0.80)), ("FR_SIREN", score(9, 0.90, 0.70))]
     # a SIREN within a SIRET scores less and overlaps, so the fold drops it
-    return _where(FIVE_DIGITS, let("context", _has("t", P.FR_COMPANY_CONTEXT), _joined([siret, siren])))
+    return _where(FIVE_DIGITS, _all_found([P.FR_SIRET, P.FR_SIREN], "context", _has("t", P.FR_COMPANY_CONTEXT), lambda hits, i: spans(hits, kinds[i][0], "fr", rank, i, kinds[i][1])))
 
 
 def _fr_address(rank: int) -> str:
@@ -188,14 +200,15 @@ def _fr_address(rank: int) -> str:
 
 def _by_context(entity: str, locale: str, pattern: str, context: str, with_: float, without: float):
     def find(rank: int) -> str:
-        return _where(FIVE_DIGITS, let("context", _has("t", context), spans(matches("t", pattern), entity, locale, rank, 0, f"CASE WHEN context THEN {with_} ELSE {without} END")))
+        return _where(FIVE_DIGITS, _found(pattern, let("context", _has("t", context), spans("hits", entity, locale, rank, 0, f"CASE WHEN context THEN {with_} ELSE {without} END"))))
 
     return find
 
 
 def _tn_tax(rank: int) -> str:
-    found = _joined([spans(matches("t", p, IU), "TN_MATRICULE_FISCALE", "tn", rank, i, f"least({s}D + bonus, 0.99D)") for i, (p, s) in enumerate(P.TN_TAX_IDS)])
-    return _where(FIVE_DIGITS, let("bonus", f"CASE WHEN {_has('t', P.TN_TAX_CONTEXT)} THEN 0.05D ELSE 0.0D END", found))
+    bonus = f"CASE WHEN {_has('t', P.TN_TAX_CONTEXT)} THEN 0.05D ELSE 0.0D END"
+    scored = lambda hits, i: spans(hits, "TN_MATRICULE_FISCALE", "tn", rank, i, f"least({P.TN_TAX_IDS[i][1]}D + bonus, 0.99D)")
+    return _where(FIVE_DIGITS, _all_found([p for p, _ in P.TN_TAX_IDS], "bonus", bonus, scored, IU))
 
 
 #: In registry order, which settles ties of priority.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pallium.functions import patterns as P
 from pallium.functions.recognizers import PythonRecognizer, Recognizer, ranked, select_recognizers
-from pallium.functions.spans import EMPTY, bound, fold_overlaps
+from pallium.functions.spans import EMPTY, FIELDS, bound, fold_overlaps
 
 log = logging.getLogger(__name__)
 
@@ -24,8 +24,9 @@ def boost_locale(spans: Column, boost: float = P.LOCALE_BOOST) -> Column:
     """Spans of a certain locale score `boost` more, at most 1."""
 
     def more(s: Column) -> Column:
-        score = F.when(s["locale"] == "universal", s["score"]).otherwise(F.least(s["score"] + boost, F.lit(1.0)))
-        return s.withField("score", score).withField("minus_score", -score)
+        score = F.least(s["score"] + boost, F.lit(1.0))
+        changed = {"minus_score": -score, "score": score}
+        return F.when(s["locale"] == "universal", s).otherwise(F.struct(*[changed.get(c, s[c]).alias(c) for c in FIELDS]))
 
     return F.transform(spans, more)
 

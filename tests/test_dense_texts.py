@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pallium.functions.recognizers import RECOGNIZERS
-from pallium.functions.spans import FOLDED, fold_overlaps
+from pallium.functions.spans import FEW, FOLDED, bound, fold_overlaps, luhn, matches
 from pallium.operators.detect import detect
 from pallium.operators.leaks import leaks
 from pallium.operators.mask import mask, replace_spans
@@ -149,3 +149,22 @@ def test_leaks_in_long_texts_take_linear_time(spark):
 
     seconds(1000)
     assert seconds(3_000_000) < 3 * max(seconds(300_000), 2)
+
+
+def test_few_matches_are_placed_without_folds(spark):
+    sql = matches("t", "x+", "")
+    few = sql.split(f"size(f.hits) <= {FEW} THEN ")[1].split(" ELSE ")[0]
+    assert "aggregate" not in few
+    texts = ["", "x", "🎉x", "x\u0001xx\u0001", "\u0001", *["é🎉".join(["xx"] * n) for n in (FEW - 1, FEW, FEW + 1)]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", bound(F.col("t"), "t", sql).alias("m")).collect()
+    for r in rows:
+        assert [tuple(m) for m in r.m] == [(m.start(), m.end(), m.group()) for m in re.finditer("x+", texts[r.i])], r.i
+
+
+def test_luhn_against_plain_sums(spark):
+    rng = random.Random(7)
+    numbers = ["", "0", "4111111111111111", "4111 1111 1111 1111", "7a9٣92739871-", *["".join(rng.choice("0123456789") for _ in range(rng.randrange(1, 20))) for _ in range(200)]]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n string").select("n", luhn(F.col("n")).alias("ok")).collect()
+    for r in rows:
+        figures = [int(c) if c in "0123456789" else 0 for c in reversed(r.n)]
+        assert r.ok == (sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(figures)) % 10 == 0), r.n
