@@ -33,9 +33,9 @@ def canonical(kind: Column, suffix: Column) -> Column:
 
 
 def candidate_tokens(text: Column, tiers: tuple[str, ...] = TIERS) -> Column:
-    """Distinct canonical tokens that any of the tiers could read in the text."""
+    """Distinct canonical tokens that any of the tiers could read in the text; exact ones are looked up as they are written."""
     found = [F.regexp_extract_all(text, F.lit("(?i)" + EXACT), F.lit(0))]
-    for tier in tiers:
+    for tier in (t for t in tiers if t != "exact"):
         for p in PATTERNS[tier]:
             kinds, ends = (F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(g)) for g in (1, 2))
             found.append(F.zip_with(kinds, ends, canonical))
@@ -49,7 +49,7 @@ def _with_values(df: DataFrame, vault: DataFrame, text_col: str, session_col: st
     """
     named = F.coalesce(F.col(text_col).rlike("(?i)SG"), F.lit(False))
     nothing = df.filter(~named).withColumn("values", F.create_map().cast("map<string,string>"))
-    rows = df.filter(named).withColumn("_at", F.struct(F.col(session_col).alias("s"), F.sha2(F.col(text_col), 256).alias("t")))
+    rows = df.filter(named).withColumn("_at", F.struct(F.col(session_col).alias("s"), F.unhex(F.sha2(F.col(text_col), 256)).alias("t")))
     asked = rows.select("_at", F.col(session_col).alias("session_id"), F.explode(candidate_tokens(F.col(text_col), tiers)).alias("token")).distinct()
     known = asked.join(vault.select("session_id", "token", "value").filter("value is not null and value <> ''"), ["session_id", "token"])
     maps = known.groupBy("_at").agg(F.map_from_entries(F.collect_set(F.struct("token", "value"))).alias("values"))
@@ -63,14 +63,15 @@ def _exact(text: Column, values: Column) -> Column:
 
     def built(x: Column) -> Column:
         put = F.transform(x["hits"], lambda t: F.coalesce(F.element_at(values, t), t))
-        found = F.filter(x["hits"], lambda t: F.map_contains_key(values, t))
-        return F.struct(
-            F.array_join(F.flatten(F.zip_with(x["gaps"], F.concat(put, F.array(F.lit(""))), lambda g, t: F.array(g, t))), "").alias("restored_text"),
+        written = F.array_join(F.flatten(F.zip_with(x["gaps"], F.concat(put, F.array(F.lit(""))), lambda g, t: F.array(g, t))), "")
+        counted = lambda found: F.struct(
+            written.alias("restored_text"),
             F.coalesce(F.size(found), F.lit(0)).alias("tokens_restored"),
             F.coalesce(F.size(x["hits"]) - F.size(found), F.lit(0)).alias("tokens_not_found"),
             F.coalesce(F.array_distinct(found), F.array().cast("array<string>")).alias("restored"),
             F.when(F.size(found) > 0, F.array(F.lit("exact"))).otherwise(F.array().cast("array<string>")).alias("strategies"),
         )
+        return bind(F.filter(x["hits"], lambda t: F.map_contains_key(values, t)), counted)
 
     return bind(F.struct(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("hits"), F.split(text, p, -1).alias("gaps")), built)
 

@@ -147,16 +147,17 @@ def note_vault(spark, sf_dir) -> DataFrame:
 
 
 class StoredNotes:
-    """Notes with their spans, written once for queries that read them several times."""
+    """Notes with their spans, and masked if so wished, written once for queries that read them several times."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, masked: bool = False):
         path = scratch(spark, "spans")
         found = detect(notes(spark, sf_dir))
+        found = mask(found) if masked else found
         found.write.parquet(path)
         self.spans = spark.read.schema(found.schema).parquet(path)
 
     def masked(self) -> DataFrame:
-        return mask(self.spans)
+        return self.spans if "masked_text" in self.spans.columns else mask(self.spans)
 
     def detections(self) -> DataFrame:
         return detections(self.spans, ["id", "session_id"])
@@ -293,7 +294,7 @@ def mask_quarantine(spark, sf_dir):
 @query("mask_leaks", f"{_MASKED}, kept AS (SELECT id, session_id, CASE WHEN id % 10 = 3 THEN text ELSE masked_text END AS t FROM masked), v AS (SELECT DISTINCT session_id, x.etype AS entity_type, x.v AS value FROM (SELECT session_id, unnest(xs) AS x FROM masked)) SELECT DISTINCT id, entity_type FROM kept JOIN v ON kept.session_id = v.session_id AND contains(t, value)")
 def mask_leaks(spark, sf_dir):
     """Every tenth note went out unmasked: found are its own values, and those of other notes of its session."""
-    n = StoredNotes(spark, sf_dir)
+    n = StoredNotes(spark, sf_dir, masked=True)
     out = n.masked().withColumn("masked_text", F.when(F.col("id") % 10 == 3, F.col("text")).otherwise(F.col("masked_text")))
     return leaks(out, n.detections(), ["id"])
 
@@ -303,7 +304,7 @@ def mask_leaks(spark, sf_dir):
 
 @query("restore_exact", f"{_MASKED} SELECT id, text AS restored_text, len(xs)::INT AS tokens_restored, 0 AS tokens_not_found FROM masked")
 def restore_exact(spark, sf_dir):
-    n = StoredNotes(spark, sf_dir)
+    n = StoredNotes(spark, sf_dir, masked=True)
     out = restore(n.masked().select("id", "session_id", "masked_text"), n.vault(), "masked_text", tiers=("exact",))
     return out.select("id", "restored_text", "tokens_restored", "tokens_not_found")
 
@@ -317,7 +318,7 @@ def _reformatted(df: DataFrame) -> DataFrame:
 
 @query("restore_reformatted", f"{_MASKED} SELECT id, text AS restored_text, CASE id % 4 WHEN 2 THEN 'bare_extraction' WHEN 3 THEN 'exact' ELSE 'fuzzy_bracket' END AS strategies FROM masked WHERE len(xs) > 0 UNION ALL SELECT id, text, '' FROM masked WHERE len(xs) = 0")
 def restore_reformatted(spark, sf_dir):
-    n = StoredNotes(spark, sf_dir)
+    n = StoredNotes(spark, sf_dir, masked=True)
     out = restore(_reformatted(n.masked()).select("id", "session_id", "reply"), n.vault(), "reply")
     return out.select("id", "restored_text", F.array_join("strategies", ",").alias("strategies"))
 
@@ -326,7 +327,7 @@ def restore_reformatted(spark, sf_dir):
   CASE WHEN len(xs) = 0 THEN 1.0::DOUBLE WHEN id % 2 = 0 THEN 0.0::DOUBLE ELSE (len(xs) / len(list_distinct(list_transform(xs, lambda x: concat(x.etype, ':', x.v)))))::DOUBLE END AS completeness FROM masked""")
 def restore_completeness(spark, sf_dir):
     """Every other reply leaves all tokens out."""
-    n = StoredNotes(spark, sf_dir)
+    n = StoredNotes(spark, sf_dir, masked=True)
     sent = F.regexp_extract_all("masked_text", F.lit(r"\{\{SG_[A-Z_]+_[a-f0-9]+\}\}"), F.lit(0))
     replies = n.masked().select("id", "session_id", F.when(F.col("id") % 2 == 1, F.col("masked_text")).otherwise("none").alias("reply"), F.array_distinct(sent).alias("sent_tokens"))
     out = restore(replies, n.vault(), "reply", tiers=("exact",), tokens_sent="sent_tokens")
@@ -335,7 +336,7 @@ def restore_completeness(spark, sf_dir):
 
 @query("restore_distinct_tokens", f"{_MASKED} SELECT id, concat(text, ' and ', text) AS restored_text, len(list_distinct(list_transform(xs, lambda x: concat(x.etype, ':', x.v))))::INT AS distinct_restored, 0 AS distinct_not_found FROM masked")
 def restore_distinct_tokens(spark, sf_dir):
-    n = StoredNotes(spark, sf_dir)
+    n = StoredNotes(spark, sf_dir, masked=True)
     twice = n.masked().select("id", "session_id", F.concat_ws(" and ", "masked_text", "masked_text").alias("reply"))
     return restore_distinct(twice, n.vault(), "reply").select("id", "restored_text", "distinct_restored", "distinct_not_found")
 
@@ -343,7 +344,7 @@ def restore_distinct_tokens(spark, sf_dir):
 @query("restore_round_trip", f"{_MASKED} SELECT id FROM masked WHERE len(list_filter(xs, lambda x: x.etype = 'EMAIL')) > 0")
 def restore_round_trip(spark, sf_dir):
     """The vault has lost its e-mail addresses, so texts with one are not what they were."""
-    n = StoredNotes(spark, sf_dir)
+    n = StoredNotes(spark, sf_dir, masked=True)
     vault = n.vault().filter("entity_type <> 'EMAIL'")
     return round_trip(n.masked().select("id", "session_id", "text", "masked_text"), vault).select("id")
 
@@ -488,7 +489,7 @@ SELECT 'TEXT_MASKED' AS event, count(*) AS n, sum(len(xs))::BIGINT AS entities,
 UNION ALL SELECT 'TEXT_RESTORED', count(*), 0, sum(len(xs))::BIGINT FROM masked UNION ALL SELECT 'SESSION_ENDED', n, 0, 0 FROM s""")
 def audit_events_of_a_run(spark, sf_dir):
     """The audit events of masking all notes, of restoring them, and of ending their sessions."""
-    n = StoredNotes(spark, sf_dir)
+    n = StoredNotes(spark, sf_dir, masked=True)
     masked = n.masked()
     restored = restore(masked.select("id", "session_id", "masked_text"), n.vault(), "masked_text", tiers=("exact",))
     events = A.mask_events(masked, F.lit(1.0)).unionByName(A.restore_events(restored, F.lit(2.0)), True).unionByName(A.session_events(masked.select("session_id").distinct(), F.lit(3.0)), True)
@@ -508,7 +509,7 @@ def metric_requests_by_status(spark, sf_dir):
 
 @query("metric_tokens_restored", f"{_MASKED} SELECT sum(len(xs))::BIGINT AS tokens_restored FROM masked")
 def metric_tokens_restored(spark, sf_dir):
-    n = StoredNotes(spark, sf_dir)
+    n = StoredNotes(spark, sf_dir, masked=True)
     out = restore(n.masked().select("id", "session_id", "masked_text"), n.vault(), "masked_text", tiers=("exact",))
     return A.tokens_restored(out)
 
@@ -665,7 +666,7 @@ def chat_set_texts(spark, sf_dir):
 @query("chat_stream_restored", f"{_MASKED} SELECT id AS stream_id, text FROM masked")
 def chat_stream_restored(spark, sf_dir):
     """Masked notes cut into chunks of seven characters, in two providers' forms, put together and restored."""
-    n = StoredNotes(spark, sf_dir)
+    n = StoredNotes(spark, sf_dir, masked=True)
     from pallium.streaming.jobs import restore_chunks
 
     m = n.masked()
@@ -681,7 +682,7 @@ def chat_stream_restored(spark, sf_dir):
 @query("chat_stream_parts_restored", f"{_MASKED} SELECT id AS stream_id, text FROM masked")
 def chat_stream_parts_restored(spark, sf_dir):
     """Masked notes in parts that split no token, restored piece by piece by the streaming join, and put together."""
-    n = StoredNotes(spark, sf_dir)
+    n = StoredNotes(spark, sf_dir, masked=True)
     from pallium.streaming.jobs import join_parts, restore_stream
 
     m = n.masked()

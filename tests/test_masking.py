@@ -185,3 +185,11 @@ def test_only_the_texts_of_a_body_change(spark):
         with pytest.raises(KeyError):
             _place(body, _steps(path))
     assert _steps("a[0]['b.c\\'d'].e") == ["a", 0, "b.c'd", "e"]
+
+
+def test_stored_notes_are_masked_once(spark):
+    from pallium.plans.queries import QUERIES
+
+    for name in ("audit_events_of_a_run", "restore_completeness", "restore_exact", "chat_stream_restored"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "[REDACTED]" not in plan, name
