@@ -152,8 +152,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return stored(docs.orderBy("doc", F.xxhash64("text"), F.rand(3)).withColumn("at", F.monotonically_increasing_id()), "numbered-documents")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, alone_words: int = 8) -> DataFrame:
-    """One row per row of `docs`: (id, n_lines, n_removed, longest_run, kept_text).
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, alone_words: int = 8, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of `docs`: (id, n_lines, n_removed, longest_run, kept_text), then the columns `also` of it.
 
     Lines end at a line feed and compare byte by byte. A line goes if it lies in a later copy of a repeated
     run of at least `min_lines` lines with a word, or is itself a later copy of a line of `alone_words` words
@@ -161,9 +161,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts all lines; longest_run is the length of the longest run in the document, in lines with a word, that occurs
     elsewhere or again, wherever it is the original too. Null texts are empty: one line, nothing removed. Rows with
     equal or null ids are documents of their own, in the order of their texts' hashes. An empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored. Texts are shuffled once, at every size: what goes is as large a table as the documents are many.
     """
-    docs = _numbered(docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
+    carried = F.struct(*also) if also else F.lit(0)
+    docs = _numbered(docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), carried.alias("also")))
     with temporary_tables(docs.sparkSession):
         lines = stored(document_lines(docs), "lines")
         levels = suffix_levels(lines)
@@ -172,7 +173,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs = repeated_runs(levels, classes).select("at", F.lit(None).cast("int").alias("place"), "length")
         found = gone.select("at", "place", F.lit(0).alias("length")).union(runs).groupBy("at").agg(F.array_sort(F.collect_set("place")).alias("places"), F.max("length").alias("longest"))
         found = stored(found, "lines-that-go", keep=True)
-    joined = docs.join(found, "at", "left")
+    joined = docs.join(found.hint("merge"), "at", "left")
     split, places = F.split("text", "\n", -1), F.coalesce(F.col("places"), F.array().cast("array<int>"))
     kept = F.transform(F.array(split), lambda x: F.array_join(F.flatten(F.transform(_kept_runs(F.col("places")), lambda r: F.slice(x, r["from"], r["length"]))), "\n"))[0]
     return joined.select(
@@ -181,6 +182,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.size(places).cast("long").alias("n_removed"),
         F.coalesce("longest", F.lit(0)).cast("long").alias("longest_run"),
         F.when(F.size(places) == 0, F.col("text")).otherwise(kept).alias("kept_text"),
+        *[F.col("also")[c].alias(c) for c in also],
     )
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -492,3 +493,30 @@ def test_temporary_tables_go(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame([(i, "one line of some eight words or even more\nshort") for i in range(5)], "doc_id long, text string")
     assert LD.line_dedup(df).filter("n_removed > 0").count() == 4 and near_duplicate_groups(df).filter("component_id = 0").count() == 5
     assert names() == ["kept", "lines", "near"]
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from pallium.llm.session import CLEANUP, stored
+
+    files = lambda: {f.getName() for f in _java_files(spark) if f.getName().startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(CLEANUP)
+    held = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n")), "held")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(CLEANUP) == setting and held.count() == 7
+
+
+def _java_files(spark):
+    found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().iterator()
+    while found.hasNext():
+        yield found.next()
+
+
+def test_line_dedup_joins_texts_alike_at_every_size(spark):
+    df = spark.createDataFrame([(i, "one line of some eight words or even more\nshort", f"x{i}") for i in range(5)], "doc_id long, text string, tag string")
+    out = LD.line_dedup(df, also=("tag",))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {(r.doc_id, r.n_removed, r.tag) for r in out.collect()} == {(i, 0 if i == 0 else 2, f"x{i}") for i in range(5)}
