@@ -34,24 +34,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.withColumn("row_id", F.monotonically_increasing_id()).select(*COLUMNS)
 
 
-def _with_text(docs: DataFrame, new: DataFrame, text: str) -> DataFrame:
-    """docs with the texts of `new`, unless that leaves no word of a document."""
-    joined = docs.select("row_id", "doc_id", "lang", "source").join(new.select("row_id", F.col(text).alias("text")), "row_id")
-    return joined.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+def _with_words(docs: DataFrame) -> DataFrame:
+    """docs with new texts, unless that leaves no word of a document."""
+    return docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the later copies of repeated line runs; documents that were such copies throughout go."""
     release(spark)
     docs = _numbered(docs)
-    return _with_text(docs, line_dedup(docs, "row_id"), "kept_text")
+    return _with_words(line_dedup(docs, "row_id", also=("doc_id", "lang", "source")).withColumnRenamed("kept_text", "text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least row number, of each group at a similarity of 0.8 of five-word shingles."""
     release(spark)
     docs = _numbered(docs)
-    gone = near_duplicate_groups(docs, "row_id").filter("row_id <> component_id").select("row_id")
+    # written, so that Spark knows its size when it plans: a few rows need no shuffle of all texts
+    gone = stored(near_duplicate_groups(docs, "row_id").filter("row_id <> component_id").select("row_id"), "near-copies", keep=True)
     return docs.join(gone, "row_id", "left_anti").select(*COLUMNS)
 
 
@@ -59,7 +59,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without all but the first copy of each repeated passage of 35 words or more."""
     release(spark)
     docs = _numbered(docs)
-    return _with_text(docs, substring_dedup(docs, "row_id", keep_first=True, spaced=False), "kept_text")
+    new = substring_dedup(docs, "row_id", keep_first=True, spaced=False).select("row_id", F.col("kept_text").alias("text"))
+    return _with_words(docs.select("row_id", "doc_id", "lang", "source").join(new, "row_id"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

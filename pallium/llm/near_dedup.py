@@ -153,8 +153,8 @@ def _bitmap(met: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b) of different components, among them all with that similarity. `texts` has id, component, text."""
+def _prefix_pairs(texts: DataFrame, joined: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) of different components, among them all with that similarity. `texts` has id and text, `joined` the id and component of those that others were linked with."""
     spark = texts.sparkSession
 
     def shingles(batches):
@@ -163,7 +163,7 @@ def _prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *_shingle_sets(part.column("text"), shingle)]))], ["shingle"])
 
     counted = texts.filter(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0).select("text").mapInArrow(shingles, "shingle long")
-    often = counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 3").orderBy(F.desc("n"), "shingle").limit(FREQUENT).orderBy("shingle").toArrow()
+    often = stored(counted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 3"), "frequent-shingles").orderBy(F.desc("n"), "shingle").limit(FREQUENT).orderBy("shingle").toArrow()
     shared = spark.sparkContext.broadcast((often["shingle"].to_numpy(), often["n"].to_numpy()))
 
     def prefixes(part):
@@ -175,33 +175,38 @@ def _prefix_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFram
             yield x[np.lexsort((x, n))][: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1], len(x)
 
     def first(filter_):
-        """(shingle, id, component, n) of first shingles, of those that the filter knows if there is one; without it, shingle and component alone."""
+        """(shingle, id, n, place) of first shingles, of those that the filter knows if there is one; without it, shingles alone."""
 
         def apply(batches):
             for batch in batches:
                 for part in pieces(batch, "text"):
                     sets, size = zip(*prefixes(part)) if part.num_rows else ((), ())
+                    places = [np.arange(len(x)) for x in sets]
                     if filter_ is not None:
-                        sets = [x[_set(filter_.value, x)] for x in sets]
-                    times = [len(x) for x in sets]
-                    found = [pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets])), pa.array(np.repeat(part.column("component").to_numpy(), times))]
+                        chosen = [_set(filter_.value, x) for x in sets]
+                        sets, places = [x[c] for x, c in zip(sets, chosen, strict=True)], [x[c] for x, c in zip(places, chosen, strict=True)]
+                    times, none = [len(x) for x in sets], np.zeros(0, dtype=np.int64)
+                    found = [pa.array(np.concatenate([none, *sets]))]
                     if filter_ is not None:
-                        found += [pa.array(np.repeat(part.column("id").to_numpy(), times)), pa.array(np.repeat(np.array(size, dtype=np.int64), times))]
-                    yield pa.RecordBatch.from_arrays(found, ["shingle", "component", "id", "n"][: len(found)])
+                        found += [pa.array(np.repeat(part.column("id").to_numpy(), times)), pa.array(np.repeat(np.array(size, dtype=np.int64), times)), pa.array(np.concatenate([none, *places]))]
+                    yield pa.RecordBatch.from_arrays(found, ["shingle", "id", "n", "place"][: len(found)])
 
         return apply
 
     # most first shingles are no other text's: which ones are is found by number alone, then only these go with their texts
-    alone = texts.select("id", "component", "text")
-    bare = alone.mapInArrow(first(None), "shingle long, component long")
-    met = stored(bare.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("shingle", F.ceil(F.col("c") / SALTED).alias("parts"), "c"), "met-shingles")
-    known = spark.sparkContext.broadcast(_bitmap(met))
-    prefix = stored(alone.mapInArrow(first(known), "shingle long, component long, id long, n long"), "first-shingles")
+    bare = texts.select("text").mapInArrow(first(None), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("c"))
+    known = spark.sparkContext.broadcast(_bitmap(stored(bare.filter("c > 1").select("shingle"), "shingles-of-several")))
+    several = stored(texts.select("id", "text").mapInArrow(first(known), "shingle long, id long, n long, place long"), "shingles-with-ids")
+    prefix = stored(several.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "first-shingles")
+    met = prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    met = stored(met.select("shingle", F.ceil(F.col("c") / SALTED).alias("parts"), "c"), "met-shingles")
     rows = stored(join_by_hot_key(prefix, met, "shingle", "c").filter("parts is not null"), "shared-shingles")
-    left = rows.select("shingle", F.pmod(F.xxhash64("id"), "parts").alias("salt"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    right = rows.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    left = rows.select("shingle", F.pmod(F.xxhash64("id"), "parts").alias("salt"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    right = rows.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
     near = (F.col("na") >= similarity * F.col("nb") - 1e-9) & (F.col("nb") >= similarity * F.col("na") - 1e-9)
-    return left.join(right, ["shingle", "salt"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
+    # two such texts have so many shingles in common; if this is the first of them, they are all from here on in both
+    enough = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
+    return left.join(right, ["shingle", "salt"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near & enough).select("a", "b").distinct()
 
 
 def _jaccard(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -251,8 +256,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
         led = links(_candidates(keyed, distance))
         joined = connected_components(led, "a", "b").withColumnRenamed("node", "id")
-        placed = stored(texts.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")), "texts-of-components")
-        both = led.union(links(_prefix_pairs(placed, shingle, similarity)))
+        both = led.union(links(_prefix_pairs(texts, joined, shingle, similarity)))
         groups = connected_components(both, "a", "b")
         component = first.join(groups, first.least == groups.node, "left").select("same", "n", F.coalesce("component", "least").alias("component_id"))
         found = stored(join_by_hot_key(copies, component, "same", "n").select(F.col("id").alias(id_col), "component_id"), "near-groups", keep=True)

@@ -520,3 +520,31 @@ def test_line_dedup_joins_texts_alike_at_every_size(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert {(r.doc_id, r.n_removed, r.tag) for r in out.collect()} == {(i, 0 if i == 0 else 2, f"x{i}") for i in range(5)}
+
+
+def test_near_copies_hold_texts_once(spark, monkeypatch):
+    """Beside the texts of candidate pairs, one table holds texts."""
+    tables, real = [], near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name, **k: tables.append((name, df.columns)) or real(df, name, **k))
+    df = spark.createDataFrame([(i, f"{PASSAGE} {i // 2} {i % 2}") for i in range(8)], "doc_id long, text string")
+    assert {r.component_id for r in near_duplicate_groups(df).collect()} == {0}
+    assert [name for name, columns in tables if "text" in columns and name != "candidate-texts"] == ["texts"]
+
+
+def test_near_copies_of_different_lengths_are_linked_by_first_shingles(spark, monkeypatch):
+    """Pairs at and just below the similarity, met by the exact round alone, with the shared words at any place."""
+    texts = []
+    for k, n in enumerate((20, 40, 75, 120)):
+        body = [f"t{k}w{i}" for i in range(n)]
+        for cut in (int(n * 0.8), int(n * 0.8) + 1, int(n * 0.84), n - 1):
+            texts += [" ".join(body[:cut]), " ".join(body[n - cut :])]
+        texts.append(" ".join(body))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = list(range(len(texts)))
+    for _ in range(6):
+        for i, x in enumerate(sets):
+            want[i] = min(want[j] for j, y in enumerate(sets) if len(x & y) >= 0.8 * len(x | y))
+    monkeypatch.setattr(near_dedup, "_candidates", lambda keyed, distance: keyed.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicate_groups(df).collect()}
+    assert got == dict(enumerate(want)) and 4 <= len(set(want)) < len(texts)
