@@ -2,8 +2,9 @@
 
 A document is the sequence of its lines that hold a word. Lines that occur once end every repeat, so the suffixes
 are those that begin with a repeated line, and each reaches to the end of its stretch of repeated lines. Prefix
-doubling ranks them by their first 1, 2, 4, ... lines, until no rank is divided any more. Then ranks are classes of
-equal stretches in the order of the suffix array. The longest common prefix of two neighbouring classes follows from
+doubling ranks them by their first 1, 2, 4, ... lines, until no rank is divided any more; suffixes that end before are
+settled and leave the doubling. Then ranks are classes of equal stretches in the order of the suffix array. The longest
+common prefix of two neighbouring classes follows from
 the ranks of all levels, the longest first. Neighbours with a prefix of at least m lines form an interval, which is a
 repeated run; in each interval, the suffix that comes first (by document, then line) is the original, and the m
 lines of all others go. Overlapping and adjacent such stretches together are the later copies of the maximal runs.
@@ -18,66 +19,86 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pallium.llm.session import join_by_hot_key, stored, temporary_tables
+from pallium.llm.session import in_order, join_by_hot_key, numbered_in_order, stored, temporary_tables
 
-WORD = r"[^\x20\x09-\x0D]"
+WORD, BLANK = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
 #: Neighbouring classes that one task numbers.
 CHUNK = 1 << 16
 
 
-def document_lines(docs: DataFrame) -> DataFrame:
-    """(at, line, place, words, id) of `docs` (at, text): place counts all lines of the text, line those with a word."""
+def _has_words(text: Column, n: int) -> Column:
+    """Whether there are at least n words. Looks no further than the n-th, and at no character twice."""
+    return text.rlike(rf"\A{BLANK}*+(?:{WORD}++{BLANK}++){{{n - 1}}}{WORD}") if n > 0 else F.lit(True)
+
+
+def document_lines(docs: DataFrame, most_words: int = 8) -> DataFrame:
+    """(at, line, place, words, id) of `docs` (at, text): place counts all lines of the text, line those with a word.
+    words is `most_words` for lines of so many words or more, and 0 for all others."""
     split = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("place"), x.alias("text")))
-    held = docs.select("at", F.posexplode(F.filter(split, lambda x: x["text"].rlike(WORD))).alias("line", "l"))
+    held = docs.select("at", F.posexplode(F.filter(split, lambda x: F.ltrim(x["text"], F.lit(" \t\n\x0b\f\r")) != "")).alias("line", "l"))
     # two hashes make ids of distinct lines distinct; the second one's seed is the text in front
     id_ = F.struct(F.xxhash64("l.text").alias("a"), F.xxhash64(F.lit("line"), "l.text").alias("b"))
-    return held.select("at", "line", "l.place", F.regexp_count("l.text", F.lit(WORD + "+")).alias("words"), id_.alias("id"))
+    return held.select("at", "line", "l.place", F.when(_has_words(F.col("l.text"), most_words), most_words).otherwise(0).alias("words"), id_.alias("id"))
 
 
-def _ranked(rows: DataFrame, keys: list[str], least: int = 1) -> tuple[DataFrame, int]:
-    """(`rows` with `rank` instead of the keys, number of ranks): rank is the order of the keys. Rows whose keys fewer than `least` rows share go.
+def _ranked(rows: DataFrame, keys: list[str], least: int = 1) -> tuple[DataFrame, bool]:
+    """(`rows` with `rank` instead of the keys, whether a rank was divided). Rows whose keys fewer than `least` rows share go.
 
-    Sorting distinct keys by range and numbering them as they lie needs no single task. `rows` are stored.
+    A rank is the number of rows with smaller keys. If the keys are head and tail, rows that share a head take the ranks from
+    head on, so ranks of rows that aren't among these stay in order with them. Distinct keys are sorted by range and counted
+    as they lie, which needs no single task; where a head begins that lies in several ranges is told by a row for each range.
+    `rows` are stored.
     """
     shared = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    order = stored(shared.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()).select(F.struct(*keys).alias("key"), "rank", "n"), "ranks")
-    found = order.agg(F.count(F.lit(1)).alias("ranks"), F.sum("n").alias("n")).first()
+    order = in_order(shared, *[F.col(k) for k in keys], name="keys-in-order")
+    sizes = order.groupBy("chunk").agg(F.sum("n").alias("rows"))
+    begin = sizes.select("chunk", F.coalesce(F.sum("rows").over(W.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("chunk").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranks = order.withColumn("inside", inside).join(F.broadcast(begin), "chunk").withColumn("rank", F.col("begin") + F.col("inside"))
+    if "head" in keys:
+        begun = ranks.withColumn("start", F.min("rank").over(W.partitionBy("chunk", "head")))
+        last = begun.groupBy("chunk").agg(F.max(F.struct("head", "start")).alias("last"))
+        earlier = last.groupBy(F.col("last.head").alias("head")).agg(F.min("last.start").alias("earlier"))
+        ranks = begun.join(F.broadcast(earlier), "head", "left").withColumn("rank", F.col("head") + F.col("rank") - F.least("start", "earlier"))
+    ranks = stored(ranks.select(F.struct(*keys).alias("key"), "rank", "n"), "ranks")
+    divided = F.max(F.col("rank") > F.col("key.head")) if "head" in keys else F.lit(True)
+    found = ranks.agg(divided.alias("divided"), F.sum("n").alias("n")).first()
     keyed = rows.withColumn("key", F.struct(*keys)).drop(*keys)
-    return join_by_hot_key(keyed, order, "key", "n", found["n"] or 0).filter("rank is not null").drop("key"), found["ranks"]
+    return join_by_hot_key(keyed, ranks, "key", "n", found["n"] or 0).filter("rank is not null").drop("key"), bool(found["divided"])
 
 
 def suffix_levels(lines: DataFrame) -> list[DataFrame]:
-    """Level k: (at, line, words, first, reach, rank) of all suffixes that begin with a repeated line, by their first 2^k lines.
+    """Level k: (at, line, words, first, reach, span, rank) of suffixes that begin with a repeated line, by their first 2^k lines.
 
     `lines` (stored) has at, line, words and id. `first` is the rank of the first line, `reach` the number of lines
-    up to the next line that occurs once. Suffixes of equal rank share min(2^k, reach) lines. Ranks of the last
-    level are those of whole suffixes.
+    up to the next line that occurs once, `span` that of the first suffix of its stretch. Suffixes of equal rank share
+    min(2^k, reach) lines. Level k holds the stretches of 2^k lines or more: a suffix that reaches less far is settled, and its
+    rank stays. Behind the levels comes a table of all suffixes with the ranks of whole suffixes.
     """
-    shared, ranks = _ranked(lines.select("at", "line", "words", "id"), ["id"], 2)
+    shared, _ = _ranked(lines.select("at", "line", "words", "id"), ["id"], 2)
     by_line = W.partitionBy("at").orderBy("line")
     islands = stored(shared, "repeated-lines").withColumn("island", F.col("line") - F.row_number().over(by_line))
-    reach = F.max("line").over(W.partitionBy("at", "island")) - F.col("line") + 1
-    levels, step = [stored(islands.select("at", "line", "words", F.col("rank").alias("first"), reach.alias("reach"), "rank"), "level")], 1
-    most = levels[0].agg(F.max("reach").alias("n")).first()["n"] or 0
+    stretch = W.partitionBy("at", "island")
+    reach, span = F.max("line").over(stretch) - F.col("line") + 1, F.count(F.lit(1)).over(stretch)
+    here, step = stored(islands.select("at", "line", "words", F.col("rank").alias("first"), reach.alias("reach"), span.alias("span"), "rank"), "level"), 1
+    levels, left = [here], []
+    most = here.agg(F.max("reach").alias("n")).first()["n"] or 0
     while step < most:
-        last = levels[-1]
-        tails = last.select("at", (F.col("line") - step).alias("line"), F.col("rank").alias("tail"))
-        both = last.withColumnRenamed("rank", "head").join(tails, ["at", "line"], "left").withColumn("tail", F.when(F.col("reach") > step, F.col("tail")).otherwise(-1))
-        divided, more = _ranked(stored(both, "pairs-of-ranks"), ["head", "tail"])
-        if more == ranks:
+        tails = here.filter(F.col("span") > step).select("at", (F.col("line") - step).alias("line"), F.col("rank").alias("tail"))
+        both = here.filter(F.col("reach") >= step).withColumnRenamed("rank", "head").join(tails, ["at", "line"], "left")
+        both = both.withColumn("tail", F.when(F.col("reach") > step, F.col("tail")).otherwise(-1))
+        ranked, divided = _ranked(stored(both, "pairs-of-ranks"), ["head", "tail"])
+        if not divided:
             break
-        levels.append(stored(divided, "level"))
-        ranks, step = more, 2 * step
-    return levels
-
-
-def _dense(classes: DataFrame) -> DataFrame:
-    """`classes` with `i`, the place of their ranks in order: 0, 1, ... Ranks are numbers of monotonically_increasing_id."""
-    part, at = F.shiftrightunsigned("rank", 33), F.col("rank").bitwiseAND(F.lit((1 << 33) - 1))
-    # a row for each of the sort's partitions
-    sizes = classes.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    begin = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
-    return classes.withColumn("part", part).join(F.broadcast(begin), "part").withColumn("i", F.col("begin") + at).drop("part", "begin")
+        every, step = stored(ranked.unionByName(here.filter(F.col("reach") < step)), "level"), 2 * step
+        left.append(every.filter(F.col("span") < step))
+        here = every.filter(F.col("span") >= step)
+        if step <= most:
+            levels.append(here)
+    whole = here
+    for x in left:
+        whole = whole.unionByName(x)
+    return [*levels, stored(whole, "whole-suffixes") if left else whole]
 
 
 def suffix_classes(levels: list[DataFrame]) -> DataFrame:
@@ -87,12 +108,12 @@ def suffix_classes(levels: list[DataFrame]) -> DataFrame:
     `common` the longest common prefix with the class before, in lines.
     """
     classes = levels[-1].groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.first("reach").alias("reach"), F.first("first").alias("first"), F.min(F.struct("at", "line")).alias("origin"))
-    classes = stored(_dense(classes), "classes")
+    classes = stored(numbered_in_order(classes, F.col("rank")).withColumnRenamed("place", "i"), "classes")
     before = classes.select((F.col("i") + 1).alias("i"), F.col("origin").alias("other"), F.col("first").alias("other_first"), F.col("reach").alias("other_reach"))
     alike = classes.join(before, "i").filter("first = other_first").select("i", F.col("origin.at").alias("a"), F.col("origin.line").alias("p"), F.col("other.at").alias("b"), F.col("other.line").alias("q"), F.least("reach", "other_reach").alias("left"), F.lit(0).alias("common"))
     alike, pairs = stored(alike, "neighbours"), None
     # different classes that share 2^k more lines both reach so far, so each level meets the pairs and suffixes that do
-    for k in reversed(range(len(levels))):
+    for k in reversed(range(len(levels) - 1)):
         size = 1 << k
         entering = alike.filter(F.col("left") >= size) if pairs is None else alike.filter((F.col("left") >= size) & (F.col("left") < 2 * size))
         pairs = entering if pairs is None else pairs.unionByName(entering)
@@ -166,7 +187,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     carried = F.struct(*also) if also else F.lit(0)
     docs = _numbered(docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), carried.alias("also")))
     with temporary_tables(docs.sparkSession):
-        lines = stored(document_lines(docs), "lines")
+        lines = stored(document_lines(docs, alone_words), "lines")
         levels = suffix_levels(lines)
         classes = suffix_classes(levels)
         gone = lines.select("at", "line", "place").join(repeated_lines(levels, classes, min_lines, alone_words), ["at", "line"])

@@ -548,3 +548,20 @@ def test_near_copies_of_different_lengths_are_linked_by_first_shingles(spark, mo
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_duplicate_groups(df).collect()}
     assert got == dict(enumerate(want)) and 4 <= len(set(want)) < len(texts)
+
+
+def test_settled_suffixes_leave_the_doubling(spark):
+    """Level k holds stretches of 2^k lines or more only; behind the levels come all suffixes."""
+    long = "\n".join(["x"] * 20)
+    levels = LD.suffix_levels(_lines(spark, [long, long, *[f"a {i}\nb\nc\nd {i}" for i in range(10)], *["b\nonly " + str(i) for i in range(10)]]))
+    assert [x.count() for x in levels] == [70, 60, 40, 40, 40, 70]
+    assert levels[-1].select("rank").distinct().count() == 20 + 2 + 1
+
+
+def test_words_of_lines_are_counted_as_far_as_needed(spark):
+    """Blank lines, blanks of all kinds, and a line that a pattern which tries each place anew would read for hours."""
+    lines = ["", " \t\x0b\f\r", "a b c d e f g", "a b c d e f g h", "\ta\x0bb\fc\rd e  f\tg é ", "a b c d e f g\xa0h", "x" * 1_000_000 + " y", "a b c d e f g h i"]
+    got = {r.place: r.words for r in LD.document_lines(spark.createDataFrame([(1, "\n".join(lines))], "at long, text string")).collect()}
+    assert got == {i: 8 if len(WORD.findall(x)) >= 8 else 0 for i, x in enumerate(lines) if WORD.search(x)}
+    few = LD.document_lines(spark.createDataFrame([(1, "a\na b\na b c")], "at long, text string"), 2)
+    assert [r.words for r in few.collect()] == [0, 2, 2]
