@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pallium.llm.session import in_order, stored
-from pallium.llm.words import mix, pieces, text_bytes
+from pallium.llm.words import byte_hashes, mix, pieces, text_bytes
 
 #: Bits of the bitmap of frequent n-grams of an order.
 FILTER_BITS = 1 << 26
@@ -46,6 +46,22 @@ def _cut(text: str, size: int) -> list[str]:
     return out
 
 
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, inverse, count) of np.unique for keys from 0 on. Key and place are sorted as one number where both fit in."""
+    n = len(key)
+    bits = n.bit_length()
+    if n and int(key.max()) >> (63 - bits):
+        return np.unique(key, return_index=True, return_inverse=True, return_counts=True)[1:]
+    both = np.sort((key.astype(np.int64) << bits) | np.arange(n))
+    place, key = both & ((1 << bits) - 1), both >> bits
+    new = np.ones(n, dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    begin = np.flatnonzero(new)
+    inverse = np.empty(n, dtype=np.int64)
+    inverse[place] = np.cumsum(new) - 1
+    return place[begin], inverse, np.diff(np.append(begin, n))
+
+
 class Block:
     """The n-grams of some texts: words get numbers, equal for equal (lang, word)."""
 
@@ -67,7 +83,9 @@ class Block:
         word, lang = spelt.dictionary_encode(), langs.dictionary_encode()
         text = np.searchsorted(ends, start, side="right") - 1
         both = lang.indices.to_numpy()[text].astype(np.int64) * len(word.dictionary) + word.indices.to_numpy()
-        unit, self.word = np.unique(both, return_inverse=True)
+        # first place, number by place, and count of each (lang, word)
+        self.first, self.word, self.count = _grouped(both)
+        unit = both[self.first]
         self.lang_of = lang.dictionary.take(pa.array(unit // max(len(word.dictionary), 1)))
         self.word_of = word.dictionary.take(pa.array(unit % max(len(word.dictionary), 1)))
         self.units = len(unit)
@@ -77,7 +95,7 @@ class Block:
         `number` by place, where `ok`."""
         at = np.flatnonzero(ok)
         key = number[at].astype(np.int64) * self.units + self.word[at + (len(self.word) - len(ok))]
-        _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        first, inverse, count = _grouped(key)
         return at, inverse, at[first], count
 
     def phrases(self, first: np.ndarray, size: int) -> tuple[pa.Array, pa.Array]:
@@ -90,8 +108,14 @@ class Block:
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word_hashes(langs: list[str], words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(k.encode() + b"\t" + w) for k, w in zip(langs, words, strict=True)], dtype=np.uint64)
+def _word_hashes(langs: pa.Array, words: pa.Array) -> np.ndarray:
+    """A hash of each (lang, word); words are large binaries, none of them empty."""
+    if not len(words):
+        return np.zeros(0, dtype=np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    spelt = byte_hashes(np.frombuffer(words.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets))
+    lang = langs.dictionary_encode()
+    return mix(spelt + np.array([xxhash.xxh64_intdigest(k) for k in lang.dictionary.to_pylist()], dtype=np.uint64)[lang.indices.to_numpy()])
 
 
 def _spots(hashes: list[np.ndarray], bits: int) -> np.ndarray:
@@ -111,9 +135,9 @@ def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
 
     def spots(batches):
         for batch in batches:
-            langs, phrases = batch.column("lang").to_pylist(), [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
+            langs, phrases = batch.column("lang"), [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
             if phrases:
-                yield pa.RecordBatch.from_arrays([pa.array(_spots([_word_hashes(langs, list(w)) for w in zip(*phrases, strict=True)], bits) + 1)], ["spot"])
+                yield pa.RecordBatch.from_arrays([pa.array(_spots([_word_hashes(langs, pa.array(w, pa.large_binary())) for w in zip(*phrases, strict=True)], bits) + 1)], ["spot"])
 
     rows = frequent.select("lang", "phrase").mapInArrow(spots, "spot long").groupBy(F.bitmap_bucket_number("spot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("set"))
     out = np.zeros(max(bits // 32768, 1) * 4096, dtype=np.uint8)
@@ -123,7 +147,7 @@ def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
 
 
 def _counted(docs: DataFrame, sizes: tuple[int, ...], filters: list[np.ndarray], block_bytes: int) -> DataFrame:
-    """(lang, size, phrase, n) of n-grams of these sizes, n being a long; `docs` has lang and text. With a bitmap for an
+    """(lang, phrase, n) of n-grams of these sizes, n being a long; `docs` has lang and text. With a bitmap for an
     order, an n-gram is counted only if those of that order within it may be frequent. Longer ones than words need that of words."""
     shared = [docs.sparkSession.sparkContext.broadcast(f) for f in filters]
 
@@ -131,12 +155,10 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], filters: list[np.ndarray],
         if not block.units:
             return
         if 1 in sizes:
-            # numbers of words are places in the sorted distinct words
-            first = np.unique(block.word, return_index=True)[1]
-            yield 1, first, np.bincount(block.word)
+            yield 1, block.first, block.count
         if max(sizes) == 1:
             return
-        hashes = _word_hashes(block.lang_of.to_pylist(), block.word_of.to_pylist())
+        hashes = _word_hashes(block.lang_of, block.word_of)
         known = _set(shared[0].value, _spots([hashes], 8 * len(shared[0].value)))[block.word]
         number, ok, place = block.word, block.joined & known[:-1] & known[1:], np.arange(len(block.word))
         pair = None
@@ -168,10 +190,10 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], filters: list[np.ndarray],
                     block = Block(text, lang)
                     for size, first, count in rows(block):
                         k, p = block.phrases(first, size)
-                        yield pa.RecordBatch.from_arrays([k.cast(pa.string()), pa.array(np.full(len(first), size, dtype=np.int32)), p.cast(pa.large_string()).cast(pa.string()), pa.array(count.astype(np.int64))], ["lang", "size", "phrase", "n"])
+                        yield pa.RecordBatch.from_arrays([k.cast(pa.string()), p.cast(pa.large_string()).cast(pa.string()), pa.array(count.astype(np.int64))], ["lang", "phrase", "n"])
 
-    counted = docs.mapInArrow(apply, "lang string, size int, phrase string, n long")
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(apply, "lang string, phrase string, n long")
+    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(docs: DataFrame, longest: int, least: int, bits: int = FILTER_BITS, block_bytes: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -188,7 +210,8 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, bits: int = FILT
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out.withColumnRenamed("n", "f"), words.groupBy("lang").agg(F.sum("n").alias("n"))
+    # words hold no blank, so a phrase tells its size
+    return out.select("lang", F.size(F.split("phrase", " ")).alias("size"), "phrase", F.col("n").alias("f")), words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def lockstep(stream: DataFrame, questions: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -4,9 +4,10 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pallium.llm.collocations import collocations, frequent_phrases, lockstep
+from pallium.llm.collocations import _counted, _grouped, _word_hashes, collocations, frequent_phrases, lockstep
 
 rng = np.random.default_rng(9)
 WORDS = ["the", "The", "of", "new", "york", "día", "日本", "a\x01b", "a", "b", "\x00", "x-y"]
@@ -77,3 +78,32 @@ def test_products_beyond_64_bits(spark):
     """A score of counts that no table here reaches, by the same expression."""
     df = spark.createDataFrame([(9 * 10**18, 5 * 10**18, 4 * 10**18)], "a long, l long, r long")
     assert df.select(F.expr("(cast(a as decimal(20,0)) * 2000000) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))").alias("s")).first().s == 2_000_000
+
+
+def test_keys_are_grouped_as_np_unique_does():
+    """Keys that fit beside their places into one number, keys that don't, and none; the packed sort is at hand for blocks."""
+    rng = np.random.default_rng(8)
+    for key in (rng.integers(0, 50, 1000), rng.integers(0, 1 << 50, 1000), rng.integers(0, 1 << 62, 1000) // 7 * 7, np.full(5, (1 << 62) + 1), np.zeros(0, dtype=np.int64)):
+        for got, want in zip(_grouped(key), np.unique(key, return_index=True, return_inverse=True, return_counts=True)[1:], strict=True):
+            assert np.array_equal(got, want)
+
+
+def test_counts_are_shuffled_without_sizes(spark):
+    """A phrase tells its size, so n-grams of several sizes are merged by language and phrase alone."""
+    docs = spark.createDataFrame([("en", "a b c a b c")] * 3, "lang string, text string")
+    counted = _counted(docs, (1,), [], 1 << 20)
+    assert counted.columns == ["lang", "phrase", "n"]
+    found, _ = frequent_phrases(docs, 3, 3)
+    assert {(r.size, r.phrase, r.f) for r in found.collect()} == {(1, "a", 6), (1, "b", 6), (1, "c", 6), (2, "a b", 6), (2, "b c", 6), (2, "c a", 3), (3, "a b c", 6), (3, "b c a", 3), (3, "c a b", 3)}
+
+
+def test_word_hashes_depend_on_language_and_word_alone():
+    """The bitmap's rows and the blocks' words meet by these hashes, whatever lies around them; they are arrays, not Python lists."""
+    words, langs = ["a", "b", "ab", "ba", "día", "\x00", "\x00\x00", "a" * 70_000, "a"], ["en", "en", "en", "en", "fr", "", "", "fr", "fr"]
+    array = pa.array([w.encode() for w in words], pa.large_binary())
+    whole = _word_hashes(pa.array(langs), array)
+    assert len(set(whole.tolist())) == len(words) and whole.dtype == np.uint64
+    for i in range(len(words)):
+        for part in (array.slice(i, 1), array.take(pa.array([i]))):
+            assert _word_hashes(pa.array(langs[i : i + 1]), part)[0] == whole[i]
+    assert len(_word_hashes(pa.array([], pa.string()), array.slice(0, 0))) == 0
