@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -364,6 +365,35 @@ def test_every_training_text_trains_once(docs, monkeypatch):
     assert rows.filter(first).count() + rows.filter(~first).count() == rows.count()
 
 
+def test_every_training_token_is_trained_once_from_small_batches(spark, docs, monkeypatch):
+    """All ids of all training texts, counted by the encoder alone, are targets of the gradients, in several blocks; tasks get rows by bounded batches."""
+    from pallium.llm.session import BATCH_BYTES
+
+    before, kept, sizes = spark.conf.get(BATCH_BYTES), {}, []
+    real, real_stored = lm.learn, lm.stored
+    monkeypatch.setattr(lm, "BLOCK", 100)
+    monkeypatch.setattr(lm, "learn", lambda *a: kept.setdefault("out", real(*a)))
+    monkeypatch.setattr(lm, "stored", lambda df, name: (sizes.append(int(spark.conf.get(BATCH_BYTES).rstrip("b"))), real_stored(df, name))[1])
+    assert score(docs, F.col("doc_id") % 5 == 2, TOKENIZER).count() == len(TEXTS)
+    encoder = lm.fast_encoder_of(read_tokenizer(TOKENIZER))
+    train = [(t or "").encode().lower().split() for i, t in enumerate(TEXTS) if i % 5 != 2]
+    assert kept["out"][0].trained == sum(1 + sum(len(encoder.encode_ordinary(" " + w.decode())) for w in words) for words in train)
+    assert len(sizes) == 3 and max(sizes) <= 8 << 20 and spark.conf.get(BATCH_BYTES) == before
+
+
+def test_spark_hands_python_batches_of_that_size(spark):
+    from pallium.llm.session import batches_of
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    rows = spark.range(0, 4000, numPartitions=1).select(F.repeat(F.lit("x"), 1000).alias("t"))
+    with batches_of(spark, 100_000):
+        assert rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= 200
+    assert rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] == 4000
+
+
 def test_attention_gradients_and_mass():
     from pallium.llm import attention as net
 
